@@ -29,25 +29,34 @@ from codecorpus.functions.code import file_suffix, function_label, language, tes
 from codecorpus.functions.text import base_name, count_char, extension, normalize_newlines, py_strip, split_lines
 
 
+def catalog(corpus: DataFrame) -> DataFrame:
+    """SRC-4 + PRJ-1 + PRJ-3 + PRJ-4: per file its name, extension, language
+    (NULL when no extractor exists) and test-case id; no text."""
+    name = base_name(F.col("path"))
+    ext = extension(name)
+    return corpus.select(
+        "file_id", "path", name.alias("file_name"), ext.alias("ext"),
+        language(ext).alias("language"), test_case_id(name).alias("test_case_id"),
+    )
+
+
 def source_files(corpus: DataFrame) -> DataFrame:
-    """Analysis view of a file table ``(file_id, path, content)``: name, ext,
-    language, test case and LF-normalised text, clustered by ``file_id``.
-    Files whose extension has no extractor are dropped (PRJ-4)."""
+    """Files with an extractor, with LF-normalised text (SRC-5)."""
     name = base_name(F.col("path"))
     ext = extension(name)
-    files = corpus.select(
-        "file_id",
-        "path",
-        name.alias("file_name"),
-        ext.alias("ext"),
-        language(ext).alias("language"),
-        test_case_id(name).alias("test_case_id"),
+    return corpus.select(
+        "file_id", "path", name.alias("file_name"), ext.alias("ext"),
+        language(ext).alias("language"), test_case_id(name).alias("test_case_id"),
         normalize_newlines(F.col("content")).alias("content"),
     ).filter(F.col("language").isNotNull())
-    # One shuffle places each file (and so all of its lines) in one partition;
-    # every window and group below is keyed by file_id (or a superset) and
-    # reuses this partitioning instead of exchanging the exploded lines.
-    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_file(files: DataFrame) -> DataFrame:
+    """One shuffle places each file (and so all of its lines) in one
+    partition; every window and group of the mining steps is keyed by file_id
+    (or a superset) and reuses this partitioning.  Explicit partition count:
+    the work per file is CPU-heavy text matching, so it is not coalesced."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(n, "file_id")
 
 
@@ -199,7 +208,7 @@ def extracted_functions(files: DataFrame) -> DataFrame:
     """Every function the extractors report (before the trivial filter), with
     its trivial flag and file metadata.  One shuffle (``source_files``), then
     windows, one group per file and a fold, all on that partitioning."""
-    rows = _match_ends(_kinds(exploded_lines(files, with_file_row=True)))
+    rows = _match_ends(_kinds(exploded_lines(by_file(files), with_file_row=True)))
     per_file = rows.groupBy("file_id", "language").agg(
         F.collect_list(F.when(F.col("kind") == 1, F.struct("start_line", "end_line", "name"))).alias("cands"),
         F.max("content").alias("content"),
@@ -227,7 +236,12 @@ def extracted_functions(files: DataFrame) -> DataFrame:
 
 def functions(files: DataFrame) -> DataFrame:
     """J6 result, flat: one row per non-trivial function with its label."""
-    f = extracted_functions(files).filter(~F.col("trivial"))
+    return label_functions(extracted_functions(files))
+
+
+def label_functions(extracted: DataFrame) -> DataFrame:
+    """Drop trivial wrappers (FLT-5) and label the rest (PRJ-2, PRJ-5)."""
+    f = extracted.filter(~F.col("trivial"))
     return f.select(
         "language", "test_case_id", "path", "file_id", "name", "start_line", "end_line",
         (F.col("end_line") - F.col("start_line") + 1).alias("lines"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
+from codecorpus.operators.scan import prefix_scan, row_index
 
 
 def _pos():
@@ -71,3 +72,149 @@ def threshold_retention(functions: DataFrame, thresholds=P.DEFAULT_THRESHOLDS) -
         F.coalesce("baseline_positive", F.lit(0)).alias("baseline_positive"),
         F.coalesce("baseline_negative", F.lit(0)).alias("baseline_negative"),
     )
+
+
+def _r(c, d=6):
+    return F.round(c, d)
+
+
+def size_stats(functions: DataFrame) -> DataFrame:
+    """AGG-6: count, mean, median (interpolated), min, max and population
+    standard deviation of function sizes, per label and overall ('ALL').
+    Computed from per-(label, size) counts: exact integer sums, and the
+    median as a frequency-weighted percentile over distinct sizes."""
+    per = functions.groupBy("label", "lines").agg(F.count("*").alias("n"))
+    agg = per.rollup("label").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("lines")).alias("s1"),
+        F.sum(F.col("n") * F.col("lines") * F.col("lines")).alias("s2"),
+        F.percentile(F.col("lines"), F.lit(0.5), F.col("n")).alias("median"),
+        F.min("lines").alias("min_lines"),
+        F.max("lines").alias("max_lines"),
+    )
+    mean = F.col("s1") / F.col("n")
+    var = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))
+    return agg.select(
+        F.coalesce("label", F.lit("ALL")).alias("label"),
+        F.col("n").cast("bigint").alias("n"),
+        _r(mean).alias("mean"),
+        _r(F.col("median")).alias("median"),
+        F.col("min_lines").cast("bigint").alias("min_lines"),
+        F.col("max_lines").cast("bigint").alias("max_lines"),
+        _r(F.sqrt(var)).alias("std_pop"),
+    )
+
+
+def size_histogram(functions: DataFrame, bins: int = P.HIST_BINS) -> DataFrame:
+    """AGG-9: equal-width histogram over [min, max], last bin closed; exact
+    integer bin arithmetic.  min = max widens the range by 0.5 on each side
+    (all values land in the middle bin).  All bins are returned."""
+    sc = size_counts(functions)
+    mn = sc.agg(F.min("lines")).scalar()  # scalar subqueries: one value each
+    mx = sc.agg(F.max("lines")).scalar()
+    width = mx - mn
+    b = F.when(width == 0, F.lit(bins // 2)).otherwise(
+        F.least(F.floor((F.col("lines") - mn) * bins / width), F.lit(bins - 1))
+    )
+    counted = sc.groupBy(b.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    lo0 = F.when(width == 0, mn - 0.5).otherwise(mn.cast("double"))
+    span = F.when(width == 0, F.lit(1.0)).otherwise(width.cast("double"))
+    frame = functions.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    out = frame.join(counted, "bin", "left")
+    return out.select(
+        F.col("bin").cast("bigint").alias("bin"),
+        _r(lo0 + F.col("bin") * span / bins).alias("lo"),
+        _r(lo0 + (F.col("bin") + 1) * span / bins).alias("hi"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
+    )
+
+
+def size_histogram_by_label(functions: DataFrame, edges: int = P.LABEL_HIST_EDGES) -> DataFrame:
+    """AGG-10: shared edges ``linspace(0, max, edges)`` for both labels;
+    every (label, bin) is returned, empty ones with 0."""
+    bins = edges - 1
+    per = functions.groupBy("label", "lines").agg(F.count("*").alias("n"))
+    mx = per.agg(F.max("lines")).scalar()
+    b = F.least(F.floor(F.col("lines") * bins / mx), F.lit(bins - 1)).cast("int")
+    counted = per.groupBy("label", b.alias("bin")).agg(F.sum("n").alias("n"))
+    spark = functions.sparkSession
+    frame = spark.createDataFrame([(P.POSITIVE,), (P.NEGATIVE,)], "label string").select(
+        "label", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = frame.join(counted, ["label", "bin"], "left")
+    return out.select(
+        "label", F.col("bin").cast("bigint").alias("bin"),
+        _r(F.col("bin") * mx / F.lit(float(bins))).alias("lo"),
+        _r((F.col("bin") + 1) * mx / F.lit(float(bins))).alias("hi"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
+    )
+
+
+def size_boxplot(functions: DataFrame, whis: float = P.WHISKER) -> DataFrame:
+    """AGG-11: quartiles (linear), whiskers at the most extreme values within
+    1.5 IQR, outlier count, per label; from per-(label, size) counts."""
+    per = functions.groupBy("label", "lines").agg(F.count("*").alias("n"))
+    q = per.groupBy("label").agg(
+        F.percentile(F.col("lines"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q")
+    ).select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    lo_lim = F.col("q1") - whis * F.col("iqr")
+    hi_lim = F.col("q3") + whis * F.col("iqr")
+    j = per.join(q, "label")
+    out = j.groupBy("label", "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(F.col("lines") >= lo_lim, F.col("lines"))).alias("whisker_lo"),
+        F.max(F.when(F.col("lines") <= hi_lim, F.col("lines"))).alias("whisker_hi"),
+        F.sum(F.when((F.col("lines") < lo_lim) | (F.col("lines") > hi_lim), F.col("n")).otherwise(0)).alias("n_outliers"),
+    )
+    return out.select(
+        "label", _r(F.col("q1")).alias("q1"), _r(F.col("median")).alias("median"), _r(F.col("q3")).alias("q3"),
+        _r(F.col("iqr")).alias("iqr"), F.col("whisker_lo").cast("bigint").alias("whisker_lo"),
+        F.col("whisker_hi").cast("bigint").alias("whisker_hi"), F.col("n_outliers").cast("bigint").alias("n_outliers"),
+    )
+
+
+def size_ecdf(functions: DataFrame) -> DataFrame:
+    """WIN-2: ECDF at each distinct size (the last point of a tie run):
+    cumulative count / total.  Scanned with the block method over distinct
+    sizes."""
+    sc = size_counts(functions).select("lines", "n")
+    total = sc.agg(F.sum("n")).scalar()
+    cum = prefix_scan(sc, ["lines"], {"cum_n": ("sum", F.col("n"))})
+    return cum.select(
+        F.col("lines").cast("bigint").alias("lines"), F.col("n").cast("bigint").alias("n"),
+        F.col("cum_n").cast("bigint").alias("cum_n"), _r(F.col("cum_n") / total).alias("ecdf"),
+    )
+
+
+ORDER = ("lines", "test_case_id", "path", "start_line")
+
+
+def size_middle(functions: DataFrame, half_width: int = 2) -> DataFrame:
+    """WIN-3: the functions at sorted positions n//2-2 .. n//2+2 (0-based) of
+    the size order (ties broken by test case, path, start line).  Positions
+    come from the block method, never from a one-task window."""
+    n = functions.agg(F.count("*")).scalar()
+    ranked = row_index(functions, list(ORDER), name="rn")
+    pos = F.col("rn") - 1
+    mid = F.floor(n / 2)
+    return ranked.filter((pos >= mid - half_width) & (pos <= mid + half_width)).select(
+        pos.cast("bigint").alias("pos"), "name", F.col("lines").cast("bigint").alias("lines"), "label",
+        "test_case_id", "path", F.col("start_line").cast("bigint").alias("start_line"),
+    )
+
+
+def _top(functions: DataFrame, k: int, desc: bool) -> DataFrame:
+    keys = [F.col(c).desc() if desc else F.col(c).asc() for c in ORDER]
+    return functions.orderBy(*keys).limit(k).select(
+        "name", F.col("lines").cast("bigint").alias("lines"), "label", "test_case_id", "path",
+        F.col("start_line").cast("bigint").alias("start_line"),
+    )
+
+
+def size_smallest(functions: DataFrame, k: int = 5) -> DataFrame:
+    """TOP-1: the k smallest functions (distributed top-k, k is the feature)."""
+    return _top(functions, k, desc=False)
+
+
+def size_largest(functions: DataFrame, k: int = 5) -> DataFrame:
+    """TOP-2: the k largest functions."""
+    return _top(functions, k, desc=True)

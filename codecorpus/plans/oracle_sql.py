@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codecorpus.functions import patterns as P
-from codecorpus.plans.oracle import FUNCTION_CHAIN, with_ctes
+from codecorpus.plans.oracle import CORPUS, FILES, FUNCTION_CHAIN, LINES, LINES_C, NAME_RE, q, with_ctes
 
 
 def _thresholds(ts) -> str:
@@ -30,7 +30,116 @@ FROM per, base""",
 
 FUNCTIONS = with_ctes(*FUNCTION_CHAIN, body="SELECT * FROM functions")
 
+
+def _zip_strip(col: str, pattern: str, repl: str) -> str:
+    """Rebuild text from split pieces and transformed matches (mirrors the
+    newline-keeping / layout-keeping strippers)."""
+    p = f"string_split_regex({col}, {q(pattern)})"
+    m = f"regexp_extract_all({col}, {q(pattern)})"
+    return (f"array_to_string(list_transform(generate_series(1, len({p})), "
+            f"lambda k: {p}[k] || coalesce(regexp_replace({m}[k], '[^\\n\\r]', {q(repl)}, 'g'), '')), '')")
+
+
+STRIP_NL = _zip_strip("content", P.COMMENT_SPACED, "")
+STRIP_LAYOUT = _zip_strip("content", P.COMMENT_ANY, " ")
+STRIP_ALL = f"regexp_replace(content, {q(P.COMMENT_SPACED)}, '', 'g')"
+
+
+def _rust_lines(t: str) -> str:
+    return (f"((length({t}) - length(replace({t}, chr(10), ''))) + "
+            f"CASE WHEN length({t}) > 0 AND NOT suffix({t}, chr(10)) THEN 1 ELSE 0 END)")
+
+
+def _sfx(path: str) -> str:
+    fn = f"regexp_extract({path}, {q(NAME_RE)}, 0)"
+    return f"CASE WHEN contains({fn}, '_bad') THEN '_bad' WHEN contains({fn}, '_good') THEN '_good' ELSE '' END"
+
+
 ORACLE: dict[str, str] = {
+    "lines": with_ctes(CORPUS, FILES, LINES, LINES_C, body=(
+        "SELECT file_id, i + 1 AS line_no, line, c AS depth FROM lines_c")),
+    "strip_keep_newlines": with_ctes(CORPUS, body=f"SELECT file_id, {STRIP_NL} AS content FROM corpus"),
+    "strip_keep_layout": with_ctes(CORPUS, body=f"SELECT file_id, {STRIP_LAYOUT} AS content FROM corpus"),
+    "strip_all": with_ctes(CORPUS, body=f"SELECT file_id, {STRIP_ALL} AS content FROM corpus"),
+    "comment_audit": with_ctes(CORPUS, ("a", f"""SELECT file_id, {_rust_lines('content')} AS lines_before,
+            {_rust_lines(STRIP_NL)} AS lines_newlines, {_rust_lines(STRIP_LAYOUT)} AS lines_layout FROM corpus"""),
+        body="""SELECT file_id, lines_before, lines_newlines, lines_layout,
+                lines_before = lines_newlines AS ok_newlines, lines_before = lines_layout AS ok_layout FROM a"""),
+    "testcase_groups": with_ctes(CORPUS, FILES, body="""
+        SELECT test_case_id, count(*) AS n_files, min(path) AS first_path, max(path) AS last_path
+        FROM files GROUP BY test_case_id"""),
+    "testcase_limit": with_ctes(CORPUS, FILES, body="""
+        SELECT test_case_id, path FROM files
+        WHERE test_case_id IN (SELECT DISTINCT test_case_id FROM files ORDER BY test_case_id LIMIT 5)"""),
+    "file_counts": with_ctes(CORPUS, FILES, body="SELECT ext, language, count(*) AS n_files FROM files GROUP BY ext, language"),
     "functions": FUNCTIONS,
+    "function_names": with_ctes(*FUNCTION_CHAIN, body="""
+        SELECT DISTINCT f.test_case_id, e.name FROM extracted e JOIN files f USING (file_id)"""),
+    "function_labels": with_ctes(*FUNCTION_CHAIN, body=f"""
+        SELECT path, name, start_line, {_sfx('path')} AS file_suffix, label FROM functions"""),
+    "function_labels_note": with_ctes(*FUNCTION_CHAIN, ("has", """
+        SELECT f.test_case_id, bool_or(e.name = 'badSink') AS has_badsink
+        FROM extracted e JOIN files f USING (file_id) GROUP BY f.test_case_id"""), body="""
+        SELECT path, name, start_line, label,
+               CASE WHEN contains(name, 'badSink') OR (contains(name, 'bad') AND NOT coalesce(has_badsink, false))
+                    THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label_note
+        FROM functions LEFT JOIN has USING (test_case_id)"""),
+    "line_labels": with_ctes(*FUNCTION_CHAIN, body="""
+        SELECT file_id, name, label, unnest(generate_series(start_line, end_line)) AS line_no FROM functions"""),
+    "testcase_summary": with_ctes(*FUNCTION_CHAIN, ("g", "SELECT test_case_id, count(*) AS n_files FROM files GROUP BY 1"),
+        ("p", """SELECT test_case_id, count(*) AS total_functions,
+                 count(*) FILTER (WHERE label = 'POSITIVE') AS positive_functions,
+                 count(*) FILTER (WHERE label = 'NEGATIVE') AS negative_functions FROM functions GROUP BY 1"""),
+        body="""SELECT test_case_id, n_files, coalesce(total_functions, 0) AS total_functions,
+                coalesce(positive_functions, 0) AS positive_functions, coalesce(negative_functions, 0) AS negative_functions
+                FROM g LEFT JOIN p USING (test_case_id)"""),
+    "dataset_summary": with_ctes(*FUNCTION_CHAIN,
+        ("ft", """SELECT coalesce(language, 'ALL') AS language, count(DISTINCT test_case_id) AS test_cases, count(*) AS files
+                  FROM files GROUP BY ROLLUP (language)"""),
+        ("fn", """SELECT coalesce(language, 'ALL') AS language, count(*) AS total_functions,
+                  count(*) FILTER (WHERE label = 'POSITIVE') AS positive_functions,
+                  count(*) FILTER (WHERE label = 'NEGATIVE') AS negative_functions FROM functions GROUP BY ROLLUP (language)"""),
+        body="""SELECT language, test_cases, files, coalesce(total_functions, 0) AS total_functions,
+                coalesce(positive_functions, 0) AS positive_functions, coalesce(negative_functions, 0) AS negative_functions
+                FROM ft LEFT JOIN fn USING (language)"""),
     "threshold_retention": THRESHOLD_RETENTION,
+    "size_stats": with_ctes(*FUNCTION_CHAIN, body="""
+        SELECT coalesce(label, 'ALL') AS label, count(*) AS n, round(avg(lines), 6) AS mean,
+               round(quantile_cont(lines, 0.5), 6) AS median, min(lines) AS min_lines, max(lines) AS max_lines,
+               round(stddev_pop(lines), 6) AS std_pop
+        FROM functions GROUP BY ROLLUP (label)"""),
+    "size_histogram": with_ctes(*FUNCTION_CHAIN, ("r", "SELECT min(lines) AS mn, max(lines) AS mx FROM functions"),
+        ("c", f"""SELECT CASE WHEN mx = mn THEN {P.HIST_BINS // 2}
+                         ELSE least(floor((lines - mn) * {P.HIST_BINS} / (mx - mn)), {P.HIST_BINS - 1}) END AS bin,
+                         count(*) AS n FROM functions, r GROUP BY 1"""),
+        body=f"""SELECT b.bin,
+                round(CASE WHEN mx = mn THEN (mn - 0.5) + b.bin * 1.0 / {P.HIST_BINS} ELSE mn + b.bin * (mx - mn) / {P.HIST_BINS} END, 6) AS lo,
+                round(CASE WHEN mx = mn THEN (mn - 0.5) + (b.bin + 1) * 1.0 / {P.HIST_BINS} ELSE mn + (b.bin + 1) * (mx - mn) / {P.HIST_BINS} END, 6) AS hi,
+                coalesce(c.n, 0) AS n
+                FROM range({P.HIST_BINS}) b(bin) CROSS JOIN r LEFT JOIN c ON c.bin = b.bin"""),
+    "size_histogram_by_label": with_ctes(*FUNCTION_CHAIN, ("r", "SELECT max(lines) AS mx FROM functions"),
+        ("c", f"""SELECT label, least(floor(lines * {P.LABEL_HIST_EDGES - 1} / mx), {P.LABEL_HIST_EDGES - 2}) AS bin, count(*) AS n
+                  FROM functions, r GROUP BY 1, 2"""),
+        body=f"""SELECT l.label, b.bin, round(b.bin * mx / {P.LABEL_HIST_EDGES - 1}.0, 6) AS lo,
+                round((b.bin + 1) * mx / {P.LABEL_HIST_EDGES - 1}.0, 6) AS hi, coalesce(c.n, 0) AS n
+                FROM (VALUES ('POSITIVE'), ('NEGATIVE')) l(label) CROSS JOIN range({P.LABEL_HIST_EDGES - 1}) b(bin) CROSS JOIN r
+                LEFT JOIN c ON c.label = l.label AND c.bin = b.bin"""),
+    "size_boxplot": with_ctes(*FUNCTION_CHAIN, ("qs", """SELECT label, quantile_cont(lines, 0.25) AS q1,
+                quantile_cont(lines, 0.5) AS median, quantile_cont(lines, 0.75) AS q3 FROM functions GROUP BY label"""),
+        body=f"""SELECT label, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
+                min(lines) FILTER (WHERE lines >= q1 - {P.WHISKER} * (q3 - q1)) AS whisker_lo,
+                max(lines) FILTER (WHERE lines <= q3 + {P.WHISKER} * (q3 - q1)) AS whisker_hi,
+                count(*) FILTER (WHERE lines < q1 - {P.WHISKER} * (q3 - q1) OR lines > q3 + {P.WHISKER} * (q3 - q1)) AS n_outliers
+                FROM functions JOIN qs USING (label) GROUP BY label, q1, median, q3"""),
+    "size_ecdf": with_ctes(*FUNCTION_CHAIN, ("c", "SELECT lines, count(*) AS n FROM functions GROUP BY lines"),
+        body="""SELECT lines, n, sum(n) OVER (ORDER BY lines) AS cum_n,
+                round(sum(n) OVER (ORDER BY lines) / sum(n) OVER (), 6) AS ecdf FROM c"""),
+    "size_middle": with_ctes(*FUNCTION_CHAIN, ("r", """SELECT *, row_number() OVER (ORDER BY lines, test_case_id, path, start_line) - 1 AS pos,
+                count(*) OVER () AS n FROM functions"""),
+        body="""SELECT pos, name, lines, label, test_case_id, path, start_line FROM r
+                WHERE pos BETWEEN n // 2 - 2 AND n // 2 + 2"""),
+    "size_smallest": with_ctes(*FUNCTION_CHAIN, body="""SELECT name, lines, label, test_case_id, path, start_line FROM functions
+                ORDER BY lines, test_case_id, path, start_line LIMIT 5"""),
+    "size_largest": with_ctes(*FUNCTION_CHAIN, body="""SELECT name, lines, label, test_case_id, path, start_line FROM functions
+                ORDER BY lines DESC, test_case_id DESC, path DESC, start_line DESC LIMIT 5"""),
 }

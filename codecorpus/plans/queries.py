@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
+from codecorpus.functions import text as tx
 from codecorpus.operators import functions as fx
-from codecorpus.operators import stats
+from codecorpus.operators import grouping, labels, stats
 from codecorpus.sources.corpus import virtual_corpus
 from codecorpus.sources.tables import table
 
@@ -28,24 +29,133 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return fx.source_files(corpus(spark, sf))
 
 
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.catalog(corpus(spark, sf))
+
+
+def extracted_df(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.extracted_functions(files(spark, sf))
+
+
 def functions_df(spark: SparkSession, sf: str) -> DataFrame:
     return fx.functions(files(spark, sf))
 
 
+def _long(*cols):
+    return [F.col(c).cast("bigint").alias(c) for c in cols]
+
+
+# --- step 1: text -----------------------------------------------------------
+def q_lines(spark, sf):
+    lines = fx.exploded_lines(fx.by_file(files(spark, sf)))
+    return lines.select("file_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "line",
+                        F.col("c").cast("bigint").alias("depth"))
+
+
+def q_strip_keep_newlines(spark, sf):
+    return corpus(spark, sf).select("file_id", tx.strip_keep_newlines("content").alias("content"))
+
+
+def q_strip_keep_layout(spark, sf):
+    return corpus(spark, sf).select("file_id", tx.strip_keep_layout("content").alias("content"))
+
+
+def q_strip_all(spark, sf):
+    return corpus(spark, sf).select("file_id", tx.strip_all("content").alias("content"))
+
+
+def q_comment_audit(spark, sf):
+    c = corpus(spark, sf)
+    before = tx.rust_line_count("content")
+    nl = tx.rust_line_count(tx.strip_keep_newlines("content"))
+    lay = tx.rust_line_count(tx.strip_keep_layout("content"))
+    out = c.select("file_id", before.alias("lines_before"), nl.alias("lines_newlines"), lay.alias("lines_layout"))
+    return out.select(
+        *_long("file_id", "lines_before", "lines_newlines", "lines_layout"),
+        (F.col("lines_before") == F.col("lines_newlines")).alias("ok_newlines"),
+        (F.col("lines_before") == F.col("lines_layout")).alias("ok_layout"),
+    )
+
+
+# --- step 2: grouping -------------------------------------------------------
+def q_testcase_groups(spark, sf):
+    return grouping.testcase_groups(catalog(spark, sf))
+
+
+def q_testcase_limit(spark, sf):
+    return grouping.testcase_limit(catalog(spark, sf), 5)
+
+
+def q_file_counts(spark, sf):
+    return grouping.file_counts(catalog(spark, sf))
+
+
+# --- step 3: functions ------------------------------------------------------
 def q_functions(spark, sf):
     return functions_df(spark, sf).select(
         "language", "test_case_id", "path", "file_id", "name",
-        F.col("start_line").cast("bigint").alias("start_line"),
-        F.col("end_line").cast("bigint").alias("end_line"),
-        F.col("lines").cast("bigint").alias("lines"), "label",
+        *_long("start_line", "end_line", "lines"), "label",
     )
 
 
+def q_function_names(spark, sf):
+    return labels.function_names(extracted_df(spark, sf))
+
+
+def q_function_labels(spark, sf):
+    return labels.function_labels(functions_df(spark, sf)).withColumn("start_line", F.col("start_line").cast("bigint"))
+
+
+def q_function_labels_note(spark, sf):
+    ex = extracted_df(spark, sf)
+    return labels.function_labels_note(ex, fx.label_functions(ex)).withColumn(
+        "start_line", F.col("start_line").cast("bigint"))
+
+
+def q_line_labels(spark, sf):
+    return labels.line_labels(functions_df(spark, sf)).select("file_id", "name", "label", *_long("line_no"))
+
+
+# --- step 4: analytics ------------------------------------------------------
+def q_testcase_summary(spark, sf):
+    return grouping.testcase_summary(catalog(spark, sf), functions_df(spark, sf))
+
+
+def q_dataset_summary(spark, sf):
+    return grouping.dataset_summary(catalog(spark, sf), functions_df(spark, sf))
+
+
 def q_threshold_retention(spark, sf):
     return stats.threshold_retention(functions_df(spark, sf), P.NOTEBOOK_THRESHOLDS)
 
 
+def _fn_stat(op):
+    return lambda spark, sf: op(functions_df(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
+    "lines": q_lines,
+    "strip_keep_newlines": q_strip_keep_newlines,
+    "strip_keep_layout": q_strip_keep_layout,
+    "strip_all": q_strip_all,
+    "comment_audit": q_comment_audit,
+    "testcase_groups": q_testcase_groups,
+    "testcase_limit": q_testcase_limit,
+    "file_counts": q_file_counts,
     "functions": q_functions,
+    "function_names": q_function_names,
+    "function_labels": q_function_labels,
+    "function_labels_note": q_function_labels_note,
+    "line_labels": q_line_labels,
+    "testcase_summary": q_testcase_summary,
+    "dataset_summary": q_dataset_summary,
     "threshold_retention": q_threshold_retention,
+    "size_stats": _fn_stat(stats.size_stats),
+    "size_histogram": _fn_stat(stats.size_histogram),
+    "size_histogram_by_label": _fn_stat(stats.size_histogram_by_label),
+    "size_boxplot": _fn_stat(stats.size_boxplot),
+    "size_ecdf": _fn_stat(stats.size_ecdf),
+    "size_middle": _fn_stat(stats.size_middle),
+    "size_smallest": _fn_stat(stats.size_smallest),
+    "size_largest": _fn_stat(stats.size_largest),
 }
