@@ -13,14 +13,18 @@ every step distributed:
    ``#groups + #blocks`` rows) and scan those totals per group by block id;
 4. join the block prefix back and combine.
 
-The range exchange is one node referenced by both branches, so Spark reuses it
-(``ReusedExchange``) and both branches see the same block ids.
+Both branches must see the same block ids.  Two range exchanges would sample
+their bounds independently, and Catalyst prunes the two branches to different
+columns (so it would not reuse one exchange), hence the range-partitioned frame
+is persisted: both branches read the one shuffle behind it.  A lost cached
+block is recomputed from that same shuffle dependency (same bounds).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +53,11 @@ def prefix_scan(
     base = df
     for name, (_, expr) in scans.items():
         base = base.withColumn(f"__x_{name}", expr)
-    ranged = base.repartitionByRange(n, *keys).withColumn("__blk", F.spark_partition_id())
+    ranged = (
+        base.repartitionByRange(n, *keys)
+        .withColumn("__blk", F.spark_partition_id())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
 
     upper = Window.currentRow if inclusive else -1
     w_in = Window.partitionBy(*group_cols, "__blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upper)

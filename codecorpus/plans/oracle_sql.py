@@ -143,3 +143,202 @@ ORACLE: dict[str, str] = {
     "size_largest": with_ctes(*FUNCTION_CHAIN, body="""SELECT name, lines, label, test_case_id, path, start_line FROM functions
                 ORDER BY lines DESC, test_case_id DESC, path DESC, start_line DESC LIMIT 5"""),
 }
+
+
+# --- curation, windows, features (driver window W = 8) -------------------------
+import math as _math  # noqa: E402
+
+from codecorpus.plans.oracle import EXT_RE  # noqa: E402
+
+W = 8
+_H = "(('0x' || substr(md5({}), 1, 8))::BIGINT)"
+
+
+def _h(expr: str) -> str:
+    return _H.format(expr)
+
+
+MAN = ("man", f"""
+  SELECT file_id AS doc_pos, 0 AS file_pos, file_name,
+         CASE WHEN file_id % 11 = 0 THEN 'CWE-000: Other' ELSE cwe END AS cwe,
+         vulnerability_location, len(string_split(vulnerability_location, ',')) AS n_lines
+  FROM corpus WHERE file_id % 13 <> 0""")
+
+INGEST = ("ingest", f"""
+  SELECT * FROM (
+    SELECT file_id, regexp_extract(path, {q(r'^(.*)[/\\][^/\\]+$')}, 1) AS folder, path, fn AS file_name,
+           regexp_extract(fn, {q(EXT_RE)}, 1) AS file_extension, content
+    FROM (SELECT *, regexp_extract(path, {q(NAME_RE)}, 0) AS fn FROM corpus))
+  WHERE starts_with(file_name, 'CWE') AND file_extension IN ('.java', '.c', '.cpp') AND folder <> ''""")
+
+TESTCASE = ("testcase", """
+  SELECT i.file_id, i.folder, i.path, i.file_name, i.file_extension, i.content, l.cwe, l.vulnerability_location
+  FROM ingest i JOIN (SELECT file_name, arg_max(cwe, doc_pos) AS cwe, arg_max(vulnerability_location, doc_pos) AS vulnerability_location
+                      FROM man GROUP BY file_name) l USING (file_name)""")
+
+CASES = ("cases", f"""
+  SELECT file_id,
+         CASE WHEN rn <= floor(n * 70 / 100) THEN 0 WHEN rn <= floor(n * 70 / 100) + floor(n * 20 / 100) THEN 1 ELSE 2 END AS model_id,
+         file_name, file_extension, {STRIP_NL} AS file_content, cwe, vulnerability_location
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_extension ORDER BY path, file_id) AS rn,
+               count(*) OVER (PARTITION BY file_extension) AS n FROM testcase)""")
+
+WIN = ("win", f"""
+  SELECT file_id, file_name, cwe, 0 AS cwe_int,
+         CASE WHEN inside THEN L - st END AS vulnerability_location,
+         CASE WHEN inside THEN array_to_string(lines[st + 1 : en], chr(10)) ELSE '' END AS vlw_content,
+         0 AS "offset", model_id
+  FROM (SELECT *, L >= 0 AND L < len(lines) AS inside, greatest(0, L - bf) AS st,
+               least(len(lines), L + ({W - 1} - bf) + 1) AS en
+        FROM (SELECT file_id, file_name, cwe, model_id, TRY_CAST(trim(vulnerability_location) AS INTEGER) AS L,
+                     string_split(file_content, chr(10)) AS lines, ({_h("'vlw' || file_name")} % {W - 1}) + 1 AS bf
+              FROM cases WHERE NOT contains(vulnerability_location, ','))
+        WHERE L IS NOT NULL)""")
+
+HS = ("hs", f"""SELECT file_id, file_name, model_id,
+       CASE WHEN {_h("'split' || file_id")} % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM win""")
+
+TOK = ("tok", f"""
+  SELECT file_id, line_no, pos, token FROM (
+    SELECT file_id, line_no, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (
+      SELECT file_id, line_no, string_split(line, ' ') AS t FROM (
+        SELECT file_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no
+        FROM (SELECT file_id, string_split(vlw_content, chr(10))[1:{W}] AS l FROM win))))
+  WHERE token <> ''""")
+
+VOCAB = ("vocab", """SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS token_id
+                     FROM (SELECT token, count(*) AS n FROM tok GROUP BY token)""")
+
+ENC = ("enc", """SELECT file_id, line_no, list(token_id ORDER BY pos) AS ids FROM tok JOIN vocab USING (token)
+                 GROUP BY file_id, line_no""")
+
+_PAD = ("list_concat(CASE WHEN len(x) > 98 THEN x[len(x) - 97 : len(x)] ELSE x END, "
+        "list_transform(range(greatest(98 - len(x), 0)), lambda i: 0))")
+
+TR = ("tr", f"""SELECT w.file_id, w.file_name, h.split, w.vulnerability_location AS rel FROM win w JOIN hs h USING (file_id)
+                WHERE len(string_split(w.vlw_content, chr(10))[1:{W}]) = {W}""")
+PADDED = ("padded", f"""SELECT file_id, line_no, {_PAD.replace('x', 'coalesce(e.ids, [])')} AS ids
+                        FROM (SELECT file_id, unnest(range({W})) AS line_no FROM tr) l LEFT JOIN enc e USING (file_id, line_no)""")
+SEQS = ("seqs", """SELECT file_id, array_to_string(list(array_to_string(ids, ',') ORDER BY line_no), '|') AS seq,
+                   count(*) AS n_lines, count(*) FILTER (WHERE len(ids) <> 98) AS bad_lines FROM padded GROUP BY file_id""")
+
+CUR = (CORPUS, MAN, INGEST, TESTCASE, CASES, WIN)
+FEAT = CUR + (HS, TOK, VOCAB, ENC)
+TRAIN = FEAT + (TR, PADDED, SEQS)
+
+SCORES = ("scores", """SELECT l.doc_id AS row_id, l.toxic AS label, l.quality, (d.n_chars % 997) / 997.0::DOUBLE AS score
+                       FROM labels l JOIN documents d USING (doc_id)""")
+EP = ("ep", """SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch,
+                      value AS valid_loss FROM events""")
+
+
+def _auroc(label: str, name: str) -> str:
+    return f"""SELECT (sum(pos) + sum(neg))::BIGINT AS n, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg,
+       round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                  THEN sum(pos * (neg_below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) ELSE 0 END, 6) AS auroc,
+       '{name}' AS label_name
+FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS neg_below
+      FROM (SELECT 1.0::DOUBLE / (1.0::DOUBLE + exp(-score)) AS s, sum({label})::DOUBLE AS pos, sum(1 - {label})::DOUBLE AS neg
+            FROM scores GROUP BY 1))"""
+
+
+def _clog(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN greatest(ln({x}), -100.0) ELSE -100.0 END"
+
+
+def _rung(r: int, prev: str | None) -> tuple[str, str]:
+    alive = f" AND trial IN (SELECT trial FROM {prev} WHERE kept)" if prev else ""
+    return (f"k{r}", f"""SELECT {r}::BIGINT AS rung, trial, valid_loss, rk, rk <= greatest(floor(cnt / 2), 1) AS kept
+        FROM (SELECT trial, valid_loss, row_number() OVER (ORDER BY valid_loss, trial) AS rk, count(*) OVER () AS cnt
+              FROM ep WHERE epoch = {r - 1}{alive})""")
+
+
+_LN_LR = (_math.log(P.SEARCH_LR[0]), _math.log(P.SEARCH_LR[1]) - _math.log(P.SEARCH_LR[0]))
+_LN_WD = (_math.log(P.SEARCH_WEIGHT_DECAY[0]), _math.log(P.SEARCH_WEIGHT_DECAY[1]) - _math.log(P.SEARCH_WEIGHT_DECAY[0]))
+
+
+def _u(name: str) -> str:
+    return f"({_h(repr(name) + ' || trial')} / {float(2 ** 32)!r})"
+
+
+ORACLE.update({
+    "manifest_flaws": with_ctes(CORPUS, MAN, body="SELECT doc_pos, file_pos, file_name, cwe, vulnerability_location, n_lines FROM man"),
+    "manifest_join": with_ctes(CORPUS, MAN, INGEST, TESTCASE, body="""
+        SELECT file_id, folder, path, file_name, file_extension, cwe, vulnerability_location FROM testcase"""),
+    "prefix_split": with_ctes(CORPUS, MAN, INGEST, TESTCASE, CASES, body="""
+        SELECT file_id, model_id, file_name, file_extension, cwe, vulnerability_location, md5(file_content) AS content_md5 FROM cases"""),
+    "pk_violations": with_ctes(*CUR, body="""
+        SELECT 'Cases' AS table_name, model_id::BIGINT AS model_id, file_name, count(*) AS n FROM cases
+        GROUP BY model_id, file_name HAVING count(*) > 1
+        UNION ALL
+        SELECT 'VLW2', NULL::BIGINT, file_name, count(*) FROM win GROUP BY file_name HAVING count(*) > 1"""),
+    "class_histogram": with_ctes(*CUR, body="SELECT cwe, count(cwe) AS total FROM win GROUP BY cwe"),
+    "line_windows": with_ctes(*CUR, body="""
+        SELECT file_id, file_name, cwe, cwe_int, vulnerability_location, "offset", model_id, vlw_content FROM win"""),
+    "hash_split": with_ctes(*CUR, HS, body="SELECT file_id, file_name, model_id, split FROM hs"),
+    "vocab": with_ctes(*CUR, TOK, VOCAB, body="SELECT token, n, token_id FROM vocab"),
+    "token_encode": with_ctes(*FEAT, body="SELECT file_id, line_no, array_to_string(ids, ' ') AS ids FROM enc"),
+    "token_lengths": with_ctes(*FEAT, body="""
+        SELECT coalesce(split, 'ALL') AS split, max(len(ids)) AS max_tokens FROM enc JOIN hs USING (file_id) GROUP BY ROLLUP (split)"""),
+    "training_rows": with_ctes(*TRAIN, body=f"""
+        SELECT tr.file_id, file_name, split, seq,
+               array_to_string(list_transform(range({W}), lambda i: CASE WHEN i = rel THEN 1 ELSE 0 END), ',') AS label
+        FROM tr JOIN seqs USING (file_id)"""),
+    "shape_audit": with_ctes(*TRAIN, body=f"""
+        SELECT count(*) AS rows, count(*) FILTER (WHERE n_lines <> {W} OR bad_lines > 0) AS bad_seq,
+               count(*) FILTER (WHERE rel IS NULL OR rel < 0 OR rel >= {W}) AS bad_label
+        FROM tr JOIN seqs USING (file_id)"""),
+    "batches": with_ctes(*TRAIN, ("b", f"""SELECT tr.*, row_number() OVER (PARTITION BY split ORDER BY {_h("'batch' || file_id")}, file_id) AS rn
+                                          FROM tr JOIN seqs USING (file_id)"""), body="""
+        SELECT split, (rn - 1) // 4 AS batch_id, count(*) AS n_rows, sum(rel) AS label_pos_sum, min(file_id) AS first_file_id
+        FROM b GROUP BY 1, 2 HAVING count(*) = 4"""),
+    "embedding_lookup": with_ctes(*CUR, TOK, body=f"""
+        SELECT t.file_id, sum(t.n)::BIGINT AS n_tokens, round(sum(t.n * e.embedding[1]::DOUBLE), 4) AS sum_dim0,
+               round(sum(t.n * e.embedding[64]::DOUBLE), 4) AS sum_dim63
+        FROM (SELECT file_id, {_h('token')} % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS n FROM tok GROUP BY 1, 2) t
+        JOIN embeddings e USING (vec_id) GROUP BY t.file_id"""),
+    "mean_pool": """SELECT label, dim - 1 AS dim, round(avg(x::DOUBLE), 5) AS value, count(*) AS n
+        FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim""",
+    "attention_pool": with_ctes(
+        ("w", "SELECT list_transform(range(64), lambda d: ((d % 7) - 3) / 10.0::DOUBLE) AS w"),
+        ("sc", """SELECT e.label, e.vec_id, e.embedding,
+                  list_reduce(list_transform(range(64), lambda i: e.embedding[i + 1] * w.w[i + 1]), lambda a, x: a + x, 0.0::DOUBLE) AS s
+                  FROM embeddings e, w"""),
+        ("ex", "SELECT sc.*, exp(s - max(s) OVER (PARTITION BY label)) AS e FROM sc"),
+        body="""SELECT label, dim - 1 AS dim, round(sum(e * x) / any_value(z), 5) AS value FROM (
+                  SELECT label, e, sum(e) OVER (PARTITION BY label) AS z, unnest(embedding)::DOUBLE AS x,
+                         generate_subscripts(embedding, 1) AS dim FROM ex) GROUP BY label, dim"""),
+    "auroc": with_ctes(SCORES, body=_auroc("label", "toxic") + "\nUNION ALL\n" + _auroc("quality", "quality")),
+    "bce_loss": with_ctes(SCORES, body=f"""SELECT count(*) AS n,
+        round(avg(-(label * {_clog('score')} + (1 - label) * {_clog('1 - score')})), 6) AS bce FROM scores"""),
+    "weighted_bce": with_ctes(SCORES, body=f"""SELECT count(*) AS n,
+        round(avg(-({P.WEIGHTED_BCE_ALPHA} * label * ln(score + {P.WEIGHTED_BCE_EPS}) + (1 - {P.WEIGHTED_BCE_ALPHA}) * (1 - label) * ln(1 - score + {P.WEIGHTED_BCE_EPS}))), 6) AS wbce,
+        round(avg(-({P.WEIGHTED_BCE_ALPHA} * label * ln(score + {P.WEIGHTED_BCE_EPS}) - (1 - {P.WEIGHTED_BCE_ALPHA}) * (1 - label) * ln(1 - score + {P.WEIGHTED_BCE_EPS}))), 6) AS wbce_as_written
+        FROM scores"""),
+    "early_stopping": with_ctes(EP,
+        ("es", """SELECT *, min(valid_loss) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_min
+                  FROM ep"""),
+        ("es2", """SELECT *, epoch - coalesce(max(CASE WHEN valid_loss < coalesce(prior_min, 'inf'::DOUBLE) THEN epoch END)
+                   OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS counter FROM es"""),
+        ("per", f"""SELECT trial, count(*) AS n_epochs, min(epoch) FILTER (WHERE counter = {P.PATIENCE}) AS stop_epoch FROM es2 GROUP BY trial"""),
+        body="""SELECT trial, n_epochs, stop_epoch, count(*) AS epochs_run, round(min(valid_loss), 6) AS best_loss
+                FROM ep JOIN per USING (trial) WHERE stop_epoch IS NULL OR epoch <= stop_epoch GROUP BY trial, n_epochs, stop_epoch"""),
+    "best_trial": with_ctes(EP, body="""SELECT trial, epoch, round(valid_loss, 6) AS loss FROM (
+        SELECT trial, max(epoch) AS epoch, arg_max(valid_loss, epoch) AS valid_loss FROM ep GROUP BY trial)
+        ORDER BY valid_loss, trial LIMIT 1"""),
+    "halving_rungs": with_ctes(EP, _rung(5, None), _rung(10, "k5"), _rung(20, "k10"), body="""
+        SELECT rung, trial, round(valid_loss, 6) AS loss, rk AS rank, kept FROM k5
+        UNION ALL SELECT rung, trial, round(valid_loss, 6), rk, kept FROM k10
+        UNION ALL SELECT rung, trial, round(valid_loss, 6), rk, kept FROM k20"""),
+    "learning_curve": with_ctes(EP, body="""SELECT trial, epoch, round(valid_loss, 6) AS valid_loss,
+        round(min(valid_loss) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_so_far
+        FROM ep"""),
+    "search_space": with_ctes(("t", "SELECT DISTINCT user_id AS trial FROM events"), body=f"""
+        SELECT trial,
+               round(exp({_LN_LR[0]!r} + {_u('lr')} * {_LN_LR[1]!r}), 9) AS lr,
+               [{', '.join(str(v) for v in P.SEARCH_BATCH)}][floor({_u('batch')} * {len(P.SEARCH_BATCH)})::INT + 1]::BIGINT AS batch_size,
+               [{', '.join(str(v) for v in P.SEARCH_NODES)}][floor({_u('nodes')} * {len(P.SEARCH_NODES)})::INT + 1]::BIGINT AS lstm_nodes,
+               round({P.SEARCH_DROPOUT[0]!r} + {_u('dropout')} * {P.SEARCH_DROPOUT[1] - P.SEARCH_DROPOUT[0]!r}, 9) AS dropout,
+               round(exp({_LN_WD[0]!r} + {_u('wd')} * {_LN_WD[1]!r}), 12) AS weight_decay
+        FROM t"""),
+})

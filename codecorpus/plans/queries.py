@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from codecorpus.functions import patterns as P
 from codecorpus.functions import text as tx
 from codecorpus.operators import functions as fx
-from codecorpus.operators import grouping, labels, stats
+from codecorpus.operators import curate, evaluate, features, grouping, labels, stats, windows
+from codecorpus.sources import manifest as mf
 from codecorpus.sources.corpus import virtual_corpus
 from codecorpus.sources.tables import table
 
@@ -133,6 +134,142 @@ def _fn_stat(op):
     return lambda spark, sf: op(functions_df(spark, sf))
 
 
+# --- step 5: curation -------------------------------------------------------
+DRIVER_WINDOW = 8  # W for driver queries: the prose is short (see FIXTURES.md)
+
+
+def flaws_df(spark, sf):
+    return mf.manifest_flaws(mf.parse_manifest_strings(mf.manifest_from_corpus(corpus(spark, sf))))
+
+
+def testcase_df(spark, sf):
+    return curate.testcase_table(curate.ingest_files(corpus(spark, sf)), flaws_df(spark, sf))
+
+
+def cases_df(spark, sf):
+    return curate.prefix_split(testcase_df(spark, sf))
+
+
+def windows_df(spark, sf):
+    return windows.line_windows(cases_df(spark, sf), DRIVER_WINDOW)
+
+
+def split_windows_df(spark, sf):
+    return windows.hash_split(windows_df(spark, sf), ["file_id"])
+
+
+def q_manifest_flaws(spark, sf):
+    return flaws_df(spark, sf).select(F.col("doc_pos").cast("bigint").alias("doc_pos"), F.col("file_pos").cast("bigint").alias("file_pos"),
+                                      "file_name", "cwe", "vulnerability_location", "n_lines")
+
+
+def q_manifest_join(spark, sf):
+    return testcase_df(spark, sf).drop("content")
+
+
+def q_prefix_split(spark, sf):
+    c = cases_df(spark, sf)
+    return c.select("file_id", F.col("model_id").cast("bigint").alias("model_id"), "file_name", "file_extension", "cwe",
+                    "vulnerability_location", F.md5("file_content").alias("content_md5"))
+
+
+def q_pk_violations(spark, sf):
+    cases = cases_df(spark, sf)
+    return curate.key_violations(cases, ["model_id", "file_name"], "Cases").unionByName(
+        curate.key_violations(windows.line_windows(cases, DRIVER_WINDOW), ["file_name"], "VLW2"))
+
+
+def q_class_histogram(spark, sf):
+    return curate.class_histogram(windows_df(spark, sf)).withColumn("total", F.col("total").cast("bigint"))
+
+
+# --- step 6: windows and features --------------------------------------------
+def q_line_windows(spark, sf):
+    return windows_df(spark, sf).select(
+        "file_id", "file_name", "cwe", *_long("cwe_int", "vulnerability_location", "offset", "model_id"), "vlw_content")
+
+
+def q_hash_split(spark, sf):
+    return split_windows_df(spark, sf).select("file_id", "file_name", F.col("model_id").cast("bigint").alias("model_id"), "split")
+
+
+def tokens_df(spark, sf):
+    return features.window_tokens(windows_df(spark, sf), DRIVER_WINDOW)
+
+
+def q_vocab(spark, sf):
+    return features.vocab(tokens_df(spark, sf))
+
+
+def encoded_df(spark, sf):
+    t = tokens_df(spark, sf)
+    return features.encode(t, features.vocab(t))
+
+
+def q_token_encode(spark, sf):
+    return encoded_df(spark, sf).select("file_id", F.col("line_no").cast("bigint").alias("line_no"),
+                                        F.array_join("ids", " ").alias("ids"))
+
+
+def q_token_lengths(spark, sf):
+    e = encoded_df(spark, sf).join(split_windows_df(spark, sf).select("file_id", "split"), "file_id")
+    return e.rollup("split").agg(F.max(F.size("ids")).cast("bigint").alias("max_tokens")).select(
+        F.coalesce("split", F.lit("ALL")).alias("split"), "max_tokens")
+
+
+def training_df(spark, sf):
+    return features.training_rows(split_windows_df(spark, sf), encoded_df(spark, sf), DRIVER_WINDOW, P.TOKENS_PER_LINE)
+
+
+def q_training_rows(spark, sf):
+    t = training_df(spark, sf)
+    seq = F.array_join(F.transform("seq", lambda x: F.array_join(x, ",")), "|")
+    return t.select("file_id", "file_name", "split", seq.alias("seq"), F.array_join("label", ",").alias("label"))
+
+
+def q_shape_audit(spark, sf):
+    a = features.shape_audit(training_df(spark, sf), DRIVER_WINDOW, P.TOKENS_PER_LINE)
+    return a.select(*[F.col(c).cast("bigint").alias(c) for c in a.columns])
+
+
+def q_batches(spark, sf):
+    b = features.batches(training_df(spark, sf), 4)
+    return b.select("split", "batch_id", *_long("n_rows", "label_pos_sum", "first_file_id"))
+
+
+# --- step 7: vectors ----------------------------------------------------------
+def q_embedding_lookup(spark, sf):
+    return features.token_vectors(tokens_df(spark, sf), table(spark, sf, "embeddings"))
+
+
+def q_mean_pool(spark, sf):
+    return features.mean_pool(table(spark, sf, "embeddings"))
+
+
+def q_attention_pool(spark, sf):
+    return features.attention_pool(table(spark, sf, "embeddings"))
+
+
+# --- step 8: evaluation --------------------------------------------------------
+def scores_df(spark, sf):
+    return evaluate.scores_from_tables(table(spark, sf, "labels"), table(spark, sf, "documents"))
+
+
+def epochs_df(spark, sf):
+    return evaluate.epochs_from_events(table(spark, sf, "events"))
+
+
+def q_auroc(spark, sf):
+    s = scores_df(spark, sf)
+    a = evaluate.auroc(s, "score", "label").withColumn("label_name", F.lit("toxic"))
+    b = evaluate.auroc(s, "score", "quality").withColumn("label_name", F.lit("quality"))
+    return a.unionByName(b)
+
+
+def q_search_space(spark, sf):
+    return evaluate.search_space(epochs_df(spark, sf).select("trial").distinct())
+
+
 QUERIES: dict[str, Query] = {
     "lines": q_lines,
     "strip_keep_newlines": q_strip_keep_newlines,
@@ -158,4 +295,28 @@ QUERIES: dict[str, Query] = {
     "size_middle": _fn_stat(stats.size_middle),
     "size_smallest": _fn_stat(stats.size_smallest),
     "size_largest": _fn_stat(stats.size_largest),
+    "manifest_flaws": q_manifest_flaws,
+    "manifest_join": q_manifest_join,
+    "prefix_split": q_prefix_split,
+    "pk_violations": q_pk_violations,
+    "class_histogram": q_class_histogram,
+    "line_windows": q_line_windows,
+    "hash_split": q_hash_split,
+    "vocab": q_vocab,
+    "token_encode": q_token_encode,
+    "token_lengths": q_token_lengths,
+    "training_rows": q_training_rows,
+    "shape_audit": q_shape_audit,
+    "batches": q_batches,
+    "embedding_lookup": q_embedding_lookup,
+    "mean_pool": q_mean_pool,
+    "attention_pool": q_attention_pool,
+    "auroc": q_auroc,
+    "bce_loss": lambda spark, sf: evaluate.bce(scores_df(spark, sf)),
+    "weighted_bce": lambda spark, sf: evaluate.weighted_bce(scores_df(spark, sf)),
+    "early_stopping": lambda spark, sf: evaluate.early_stopping(epochs_df(spark, sf)),
+    "best_trial": lambda spark, sf: evaluate.best_trial(epochs_df(spark, sf)),
+    "halving_rungs": lambda spark, sf: evaluate.halving_rungs(epochs_df(spark, sf)),
+    "learning_curve": lambda spark, sf: evaluate.learning_curve(epochs_df(spark, sf)),
+    "search_space": q_search_space,
 }
