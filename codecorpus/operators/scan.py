@@ -43,11 +43,14 @@ def prefix_scan(
     group_cols: Sequence[str] = (),
     inclusive: bool = True,
     blocks: int | None = None,
+    totals_as: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add one column per ``scans`` entry ``name -> (op, expr)`` with op in
     ``sum|min|max``: the op over all rows of the same group ordered at or
     before (``inclusive``) or strictly before the row.  ``order_cols`` must
-    give a total order within a group (add a unique tie-breaker)."""
+    give a total order within a group (add a unique tie-breaker).
+    ``totals_as`` maps a scan name to a column that receives the op over the
+    whole group (taken from the small block table, no extra pass)."""
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
     base = df
@@ -69,9 +72,11 @@ def prefix_scan(
         *[_AGG[op](f"__x_{name}").alias(f"__t_{name}") for name, (op, _) in scans.items()]
     )
     w_blk = Window.partitionBy(*group_cols).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*group_cols)
     prefix = totals.select(
         *group_cols, "__blk",
         *[_AGG[op](f"__t_{name}").over(w_blk).alias(f"__p_{name}") for name, (op, _) in scans.items()],
+        *[_AGG[scans[name][0]](f"__t_{name}").over(w_all).alias(col) for name, col in (totals_as or {}).items()],
     )
     joined = local.join(prefix, [*group_cols, "__blk"], "left")
     out = joined
@@ -81,7 +86,10 @@ def prefix_scan(
     return out.drop(*drop)
 
 
-def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "rn") -> DataFrame:
+def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "rn",
+              count_as: str | None = None) -> DataFrame:
     """1-based row number within ``group_cols`` by ``order_cols`` (total
-    order required), computed with the block method."""
-    return prefix_scan(df, order_cols, {name: ("sum", F.lit(1).cast("bigint"))}, group_cols)
+    order required), computed with the block method; ``count_as`` also adds
+    the group size."""
+    return prefix_scan(df, order_cols, {name: ("sum", F.lit(1).cast("bigint"))}, group_cols,
+                       totals_as={name: count_as} if count_as else None)

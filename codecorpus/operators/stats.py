@@ -108,19 +108,23 @@ def size_stats(functions: DataFrame) -> DataFrame:
 def size_histogram(functions: DataFrame, bins: int = P.HIST_BINS) -> DataFrame:
     """AGG-9: equal-width histogram over [min, max], last bin closed; exact
     integer bin arithmetic.  min = max widens the range by 0.5 on each side
-    (all values land in the middle bin).  All bins are returned."""
-    sc = size_counts(functions)
-    mn = sc.agg(F.min("lines")).scalar()  # scalar subqueries: one value each
-    mx = sc.agg(F.max("lines")).scalar()
-    width = mx - mn
+    (all values land in the middle bin).  All bins are returned.  Everything
+    after the size counts runs on tables of at most (#distinct sizes) rows."""
+    every = Window.partitionBy()  # over distinct sizes / bins only
+    sc = size_counts(functions).select(
+        "lines", "n", F.min("lines").over(every).alias("mn"), F.max("lines").over(every).alias("mx"))
+    width = F.col("mx") - F.col("mn")
     b = F.when(width == 0, F.lit(bins // 2)).otherwise(
-        F.least(F.floor((F.col("lines") - mn) * bins / width), F.lit(bins - 1))
+        F.least(F.floor((F.col("lines") - F.col("mn")) * bins / width), F.lit(bins - 1))
     )
-    counted = sc.groupBy(b.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
-    lo0 = F.when(width == 0, mn - 0.5).otherwise(mn.cast("double"))
-    span = F.when(width == 0, F.lit(1.0)).otherwise(width.cast("double"))
+    counted = sc.groupBy(b.cast("int").alias("bin")).agg(
+        F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
     frame = functions.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    out = frame.join(counted, "bin", "left")
+    out = frame.join(counted, "bin", "left").select(
+        "bin", "n", F.max("mn").over(every).alias("mn"), F.max("mx").over(every).alias("mx"))
+    width = F.col("mx") - F.col("mn")
+    lo0 = F.when(width == 0, F.col("mn") - 0.5).otherwise(F.col("mn").cast("double"))
+    span = F.when(width == 0, F.lit(1.0)).otherwise(width.cast("double"))
     return out.select(
         F.col("bin").cast("bigint").alias("bin"),
         _r(lo0 + F.col("bin") * span / bins).alias("lo"),
@@ -133,18 +137,19 @@ def size_histogram_by_label(functions: DataFrame, edges: int = P.LABEL_HIST_EDGE
     """AGG-10: shared edges ``linspace(0, max, edges)`` for both labels;
     every (label, bin) is returned, empty ones with 0."""
     bins = edges - 1
-    per = functions.groupBy("label", "lines").agg(F.count("*").alias("n"))
-    mx = per.agg(F.max("lines")).scalar()
-    b = F.least(F.floor(F.col("lines") * bins / mx), F.lit(bins - 1)).cast("int")
-    counted = per.groupBy("label", b.alias("bin")).agg(F.sum("n").alias("n"))
+    every = Window.partitionBy()  # over distinct (label, size) / bins only
+    per = functions.groupBy("label", "lines").agg(F.count("*").alias("n")).withColumn(
+        "mx", F.max("lines").over(every))
+    b = F.least(F.floor(F.col("lines") * bins / F.col("mx")), F.lit(bins - 1)).cast("int")
+    counted = per.groupBy("label", b.alias("bin")).agg(F.sum("n").alias("n"), F.max("mx").alias("mx"))
     spark = functions.sparkSession
     frame = spark.createDataFrame([(P.POSITIVE,), (P.NEGATIVE,)], "label string").select(
         "label", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = frame.join(counted, ["label", "bin"], "left")
+    out = frame.join(counted, ["label", "bin"], "left").withColumn("mx", F.max("mx").over(every))
     return out.select(
         "label", F.col("bin").cast("bigint").alias("bin"),
-        _r(F.col("bin") * mx / F.lit(float(bins))).alias("lo"),
-        _r((F.col("bin") + 1) * mx / F.lit(float(bins))).alias("hi"),
+        _r(F.col("bin") * F.col("mx") / F.lit(float(bins))).alias("lo"),
+        _r((F.col("bin") + 1) * F.col("mx") / F.lit(float(bins))).alias("hi"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
     )
 
@@ -153,13 +158,13 @@ def size_boxplot(functions: DataFrame, whis: float = P.WHISKER) -> DataFrame:
     """AGG-11: quartiles (linear), whiskers at the most extreme values within
     1.5 IQR, outlier count, per label; from per-(label, size) counts."""
     per = functions.groupBy("label", "lines").agg(F.count("*").alias("n"))
-    q = per.groupBy("label").agg(
-        F.percentile(F.col("lines"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q")
-    ).select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    by_label = Window.partitionBy("label")  # over the distinct sizes of a label
+    q = F.percentile(F.col("lines"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).over(by_label)
+    j = per.withColumn("q", q).select(
+        "label", "lines", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    j = j.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_lim = F.col("q1") - whis * F.col("iqr")
     hi_lim = F.col("q3") + whis * F.col("iqr")
-    j = per.join(q, "label")
     out = j.groupBy("label", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(F.col("lines") >= lo_lim, F.col("lines"))).alias("whisker_lo"),
         F.max(F.when(F.col("lines") <= hi_lim, F.col("lines"))).alias("whisker_hi"),
@@ -177,11 +182,10 @@ def size_ecdf(functions: DataFrame) -> DataFrame:
     cumulative count / total.  Scanned with the block method over distinct
     sizes."""
     sc = size_counts(functions).select("lines", "n")
-    total = sc.agg(F.sum("n")).scalar()
-    cum = prefix_scan(sc, ["lines"], {"cum_n": ("sum", F.col("n"))})
+    cum = prefix_scan(sc, ["lines"], {"cum_n": ("sum", F.col("n"))}, totals_as={"cum_n": "total"})
     return cum.select(
         F.col("lines").cast("bigint").alias("lines"), F.col("n").cast("bigint").alias("n"),
-        F.col("cum_n").cast("bigint").alias("cum_n"), _r(F.col("cum_n") / total).alias("ecdf"),
+        F.col("cum_n").cast("bigint").alias("cum_n"), _r(F.col("cum_n") / F.col("total")).alias("ecdf"),
     )
 
 
@@ -192,10 +196,9 @@ def size_middle(functions: DataFrame, half_width: int = 2) -> DataFrame:
     """WIN-3: the functions at sorted positions n//2-2 .. n//2+2 (0-based) of
     the size order (ties broken by test case, path, start line).  Positions
     come from the block method, never from a one-task window."""
-    n = functions.agg(F.count("*")).scalar()
-    ranked = row_index(functions, list(ORDER), name="rn")
+    ranked = row_index(functions, list(ORDER), name="rn", count_as="n")
     pos = F.col("rn") - 1
-    mid = F.floor(n / 2)
+    mid = F.floor(F.col("n") / 2)
     return ranked.filter((pos >= mid - half_width) & (pos <= mid + half_width)).select(
         pos.cast("bigint").alias("pos"), "name", F.col("lines").cast("bigint").alias("lines"), "label",
         "test_case_id", "path", F.col("start_line").cast("bigint").alias("start_line"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,12 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.source_files(corpus(spark, sf))
+    """Mining input: documents are placed by file first, so deriving the
+    corpus is spread over all tasks and the mining shuffle by file_id is
+    already satisfied (Spark elides the second exchange)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf, "documents").repartition(n, "doc_id")
+    return fx.source_files(virtual_corpus(docs))
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +114,7 @@ def q_function_labels(spark, sf):
 
 
 def q_function_labels_note(spark, sf):
-    ex = extracted_df(spark, sf)
+    ex = extracted_df(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # read by two branches
     return labels.function_labels_note(ex, fx.label_functions(ex)).withColumn(
         "start_line", F.col("start_line").cast("bigint"))
 
