@@ -31,14 +31,19 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for reliable checkpoints.
+    """The shared folder for reliable checkpoints and stream state.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a private scratch folder is made.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="codecorpus-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    is.  Only when it is unset (local tests) a private scratch folder is made
+    and registered with ``setCheckpointDir``."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+        return configured
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="codecorpus-ckpt-"))
+    return sc.getCheckpointDir()

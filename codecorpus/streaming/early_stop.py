@@ -27,18 +27,22 @@ def _step(patience: int):
         else:
             best, bad, stopped, last = math.inf, 0, False, -1
         out = []
-        for pdf in batches:
-            for epoch, loss in pdf.sort_values("epoch")[["epoch", "valid_loss"]].itertuples(index=False):
-                if stopped or epoch <= last:
-                    continue
-                last = int(epoch)
-                if loss < best:  # NaN never improves
-                    best, bad = float(loss), 0
-                else:
-                    bad += 1
-                if bad == patience:
-                    stopped = True
-                    out.append((int(key[0]), last, best))
+        # all chunks of this trial in the micro-batch, in epoch order; reports
+        # of later micro-batches are assumed to follow (a training loop emits
+        # epochs in order), earlier or repeated epochs are ignored
+        chunks = [c for c in batches if len(c)]
+        pdf = pd.concat(chunks).sort_values("epoch") if chunks else pd.DataFrame(columns=["epoch", "valid_loss"])
+        for epoch, loss in pdf[["epoch", "valid_loss"]].itertuples(index=False):
+            if stopped or epoch <= last:
+                continue
+            last = int(epoch)
+            if loss < best:  # NaN never improves
+                best, bad = float(loss), 0
+            else:
+                bad += 1
+            if bad == patience:
+                stopped = True
+                out.append((int(key[0]), last, best))
         state.update((best, bad, stopped, last))
         if out:
             yield pd.DataFrame(out, columns=["trial", "stop_epoch", "best_loss"])

@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from codecorpus.functions import patterns as P
@@ -21,9 +22,18 @@ from codecorpus.session import checkpoint_dir
 from codecorpus.sources.files import _glob
 
 
+BINARY_FILE = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("modificationTime", T.TimestampType(), False),
+    T.StructField("length", T.LongType(), False),
+    T.StructField("content", T.BinaryType(), True),
+])
+
+
 def source_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
     return (
         spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _glob(P.ANALYSIS_EXTENSIONS))
         .option("maxFilesPerTrigger", max_files_per_trigger)
