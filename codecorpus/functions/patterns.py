@@ -30,8 +30,11 @@ CALL_STATEMENT = r"\w+\s*\([^)]*\)\s*;"
 MAX_WRAPPER_STATEMENTS = 2
 
 # --- fixed values: whitespace removed by Python's str.strip() ---
-PY_SPACE = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-TRIM = "^" + PY_SPACE + "+|" + PY_SPACE + "+$"
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # --- fixed values: extensions and language dispatch ---
 ANALYSIS_EXTENSIONS = (".c", ".cpp", ".java", ".cs")

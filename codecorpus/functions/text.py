@@ -18,9 +18,9 @@ def normalize_newlines(text) -> Column:
 
 
 def py_strip(text) -> Column:
-    """``str.strip()``: removes Unicode whitespace at both ends (Spark ``trim``
-    only removes spaces)."""
-    return F.regexp_replace(_col(text), P.TRIM, "")
+    """``str.strip()``: removes Python's whitespace set at both ends (plain
+    ``trim`` only removes spaces)."""
+    return F.trim(_col(text), F.lit(P.PY_WHITESPACE))
 
 
 def count_char(text, ch: str) -> Column:

@@ -104,8 +104,11 @@ def _header_name():
     )
     is_comment = trimmed.startswith("//") | trimmed.startswith("/*")
     skip = (lang != "cs") & ((trimmed == "") | is_comment)
-    # A header always holds "(": cheap guard before trimming and matching.
-    return F.when(F.col("line").contains("(") & ~skip, name).otherwise(F.lit(""))
+    # Cheap guards implied by every header pattern: the line holds "(" and the
+    # text before the first "(" separates type and name by whitespace.
+    before_paren = py_strip(F.substring_index(F.col("line"), "(", 1))
+    maybe = F.col("line").contains("(") & before_paren.rlike(r"\s")
+    return F.when(maybe & ~skip, name).otherwise(F.lit(""))
 
 
 def _kinds(lines: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ LINES_C = ("lines_c", """
          coalesce(lead(has_open, 2) OVER (PARTITION BY file_id ORDER BY i), false) AS open2
   FROM lines_x""")
 
-_TRIMMED = f"regexp_replace(line, {q(P.TRIM)}, '', 'g')"
+_TRIMMED = f"trim(line, {q(P.PY_WHITESPACE)})"
 
 CANDS = ("cands", f"""
   SELECT file_id, language, i, name, i + off AS b,
