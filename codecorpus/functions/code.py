@@ -57,6 +57,15 @@ def function_label_note(name, suffix, case_has_badsink) -> Column:
     ).otherwise(F.lit(P.NEGATIVE))
 
 
+def split_name(model_id) -> Column:
+    """PRJ-9: split id -> name (0 training, 1 testing, 2 validation)."""
+    m = _col(model_id)
+    out = None
+    for name, i in P.SPLIT_IDS.items():
+        out = F.when(m == i, F.lit(name)) if out is None else out.when(m == i, F.lit(name))
+    return out
+
+
 def cwe_number(cwe) -> Column:
     """EXT-3: numeric CWE class, NULL when absent."""
     return F.regexp_extract(_col(cwe), r"CWE-?([0-9]+)", 1).try_cast("int")

@@ -37,15 +37,26 @@ def vocab(tokens: DataFrame) -> DataFrame:
 
 
 def encode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Token ids per line, in token order: ``(file_id, line_no, ids)``.  The
-    vocabulary join is an equi-join on the token; a hot token is split by the
-    adaptive skew join, and the vocabulary is broadcast only when its measured
-    size allows it."""
+    """Token ids per window, grouped once by window: ``(file_id, cells)`` with
+    ``cells`` the sorted ``(line_no, pos, token_id)`` of that window (bounded
+    by the window's text).  The vocabulary join is an equi-join on the token;
+    a hot token is split by the adaptive skew join, and the vocabulary is
+    broadcast only when its measured size allows it."""
     j = tokens.join(vocabulary.select("token", F.col("token_id").cast("int").alias("token_id")), "token")
-    per_line = j.groupBy("file_id", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("p")
-    )
-    return per_line.select("file_id", "line_no", F.col("p.token_id").alias("ids"))
+    return j.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "pos", "token_id"))).alias("cells"))
+
+
+def encoded_lines(encoded: DataFrame) -> DataFrame:
+    """Per line: ``(file_id, line_no, ids)`` in token order."""
+    c = encoded.select("file_id", F.explode("cells").alias("c"))
+    per = c.groupBy("file_id", F.col("c.line_no").alias("line_no")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("c.pos").alias("pos"), F.col("c.token_id").alias("id")))).alias("p"))
+    return per.select("file_id", "line_no", F.col("p.id").alias("ids"))
+
+
+def tokens_per_line(tokens: DataFrame) -> DataFrame:
+    """AGG-8 input: every token has an id, so ids per line = tokens per line."""
+    return tokens.groupBy("file_id", "line_no").agg(F.count("*").alias("n_tokens"))
 
 
 def pad_truncate(ids: Column, width: int = P.TOKENS_PER_LINE) -> Column:
@@ -67,21 +78,20 @@ def training_rows(windows: DataFrame, encoded: DataFrame, window: int = P.WINDOW
                   width: int = P.TOKENS_PER_LINE) -> DataFrame:
     """J5: per window the first ``window`` lines as padded id lists and the
     one-hot location; only complete windows (exactly ``window`` lines) stay
-    (FLT-4, which also removes the matching label: same row)."""
+    (FLT-4, which also removes the matching label: same row).  One join of
+    windows with their encoded cells on file_id; lines without tokens become
+    all-zero rows."""
     n_lines = F.size(F.slice(split_lines(F.col("vlw_content")), 1, window))
     base = windows.select("file_id", "file_name", "split", "vulnerability_location", n_lines.alias("n_lines"))
-    # lines without tokens have no encoded row: they become all-zero rows
-    lines = base.filter(F.col("n_lines") == window).select(
-        "file_id", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("line_no")
-    )
-    ids = lines.join(encoded, ["file_id", "line_no"], "left").select(
-        "file_id", "line_no", pad_truncate(F.coalesce("ids", F.array().cast("array<int>")), width).alias("ids")
-    )
-    seq = ids.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "ids"))).alias("s"))
-    rows = base.filter(F.col("n_lines") == window).join(seq, "file_id")
+    rows = base.filter(F.col("n_lines") == window).join(encoded, "file_id", "left")
+    cells = F.coalesce(F.col("cells"), F.array().cast("array<struct<line_no:int,pos:int,token_id:int>>"))
+
+    def line_ids(l):
+        return pad_truncate(F.transform(F.filter(cells, lambda x: x["line_no"] == l), lambda x: x["token_id"]), width)
+
+    seq = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), line_ids)
     return rows.select(
-        "file_id", "file_name", "split",
-        F.col("s.ids").alias("seq"),
+        "file_id", "file_name", "split", seq.alias("seq"),
         one_hot(F.col("vulnerability_location"), window).alias("label"),
     )
 

@@ -242,11 +242,13 @@ def functions(files: DataFrame) -> DataFrame:
     return label_functions(extracted_functions(files))
 
 
-def label_functions(extracted: DataFrame) -> DataFrame:
-    """Drop trivial wrappers (FLT-5) and label the rest (PRJ-2, PRJ-5)."""
+def label_functions(extracted: DataFrame, suffix_from: str = "file_name") -> DataFrame:
+    """Drop trivial wrappers (FLT-5) and label the rest (PRJ-2, PRJ-5).
+    ``suffix_from="path"`` takes the ``_bad``/``_good`` flag from the full path
+    (PRJ-2b, the notebook's variant)."""
     f = extracted.filter(~F.col("trivial"))
     return f.select(
         "language", "test_case_id", "path", "file_id", "name", "start_line", "end_line",
         (F.col("end_line") - F.col("start_line") + 1).alias("lines"),
-        function_label(F.col("name"), file_suffix(F.col("file_name"))).alias("label"),
+        function_label(F.col("name"), file_suffix(F.col(suffix_from))).alias("label"),
     )

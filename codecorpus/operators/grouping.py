@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
@@ -30,6 +30,14 @@ def testcase_limit(catalog: DataFrame, n: int = 5) -> DataFrame:
     return members.join(F.broadcast(first), "test_case_id", "left_semi")
 
 
+def first_k(df: DataFrame, group_cols: list[str], order_cols: list, k: int) -> DataFrame:
+    """TOP-5: the first k rows of each group.  ``row_number() <= k`` is
+    planned as a window group limit, applied partially before the exchange, so
+    a large group never moves whole."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def file_counts(catalog: DataFrame) -> DataFrame:
     """AGG-15: files per extension and language."""
     return catalog.groupBy("ext", "language").agg(F.count("*").alias("n_files"))

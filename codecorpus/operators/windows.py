@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
+from codecorpus.functions.code import cwe_number
 from codecorpus.functions.text import split_lines
 
 
@@ -22,12 +23,15 @@ def window_offsets(file_name: Column, window: int, seed: str = "vlw") -> tuple[C
     return before, F.lit(window - 1) - before
 
 
-def line_windows(cases: DataFrame, window: int = P.WINDOW_LINES, seed: str = "vlw") -> DataFrame:
+def line_windows(cases: DataFrame, window: int = P.WINDOW_LINES, seed: str = "vlw",
+                 numeric_class: bool = False) -> DataFrame:
     """J4: rows with a single location (no comma); the location L is a 0-based
     line index (as written, T5).  When 0 <= L < n the window is
     lines[max(0, L-before) : min(n, L+after+1)] and the new location L-start;
     otherwise the text is empty and the location NULL.  Unparseable locations
-    are dropped here (``window_rejects`` lists them) instead of aborting."""
+    are dropped here (``window_rejects`` lists them) instead of aborting.
+    ``numeric_class`` fills ``cwe_int`` from the class name (EXT-3) instead
+    of the reference's constant 0."""
     single = cases.filter(~F.col("vulnerability_location").contains(","))
     loc = F.trim(F.col("vulnerability_location")).try_cast("int")
     lines = split_lines(F.col("file_content"))
@@ -44,7 +48,7 @@ def line_windows(cases: DataFrame, window: int = P.WINDOW_LINES, seed: str = "vl
     rel = F.when(inside, F.col("L") - start)
     return t.select(
         "file_id", "file_name", "cwe",
-        F.lit(0).alias("cwe_int"),
+        (F.coalesce(cwe_number(F.col("cwe")), F.lit(0)) if numeric_class else F.lit(0)).alias("cwe_int"),
         rel.cast("int").alias("vulnerability_location"),
         text.alias("vlw_content"),
         F.lit(0).alias("offset"),
@@ -58,8 +62,17 @@ def window_rejects(cases: DataFrame) -> DataFrame:
     return single.filter(F.trim(F.col("vulnerability_location")).try_cast("int").isNull())
 
 
-def hash_split(rows: DataFrame, key: list[str], test_percent: int = 20, seed: str = "split") -> DataFrame:
+def hash_split(rows: DataFrame, key: list[str], test_percent: int = 20, seed: str = "split",
+               exact: bool = False) -> DataFrame:
     """SMP-1: train/test by a stable hash of the row key (no global order,
-    stable when rows are appended)."""
+    stable when rows are appended).  ``exact`` gives the test set exactly
+    ceil(test_percent% of n) rows: the first rows in hash order, numbered with
+    the block method."""
     h = md5_int(F.lit(seed), *[F.col(c).cast("string") for c in key])
-    return rows.withColumn("split", F.when(F.pmod(h, F.lit(100)) < test_percent, "test").otherwise("train"))
+    if not exact:
+        return rows.withColumn("split", F.when(F.pmod(h, F.lit(100)) < test_percent, "test").otherwise("train"))
+    from codecorpus.operators.scan import row_index
+
+    ranked = row_index(rows.withColumn("__h", h), ["__h", *key], name="__rn", count_as="__n")
+    n_test = F.ceil(F.col("__n") * test_percent / 100)
+    return ranked.withColumn("split", F.when(F.col("__rn") <= n_test, "test").otherwise("train")).drop("__h", "__rn", "__n")

@@ -311,6 +311,10 @@ ORACLE.update({
     "auroc": with_ctes(SCORES, body=_auroc("label", "toxic") + "\nUNION ALL\n" + _auroc("quality", "quality")),
     "bce_loss": with_ctes(SCORES, body=f"""SELECT count(*) AS n,
         round(avg(-(label * {_clog('score')} + (1 - label) * {_clog('1 - score')})), 6) AS bce FROM scores"""),
+    "bce_epoch": with_ctes(SCORES, ("c", f"""SELECT row_number() OVER (ORDER BY {_h("'batch' || row_id")}, row_id) AS rn,
+            -(label * {_clog('score')} + (1 - label) * {_clog('1 - score')}) AS cell FROM scores"""),
+        body=f"""SELECT count(*) AS batches, round(avg(m), 6) AS bce_epoch
+                 FROM (SELECT (rn - 1) // {P.BATCH_SIZE} AS batch, avg(cell) AS m FROM c GROUP BY 1)"""),
     "weighted_bce": with_ctes(SCORES, body=f"""SELECT count(*) AS n,
         round(avg(-({P.WEIGHTED_BCE_ALPHA} * label * ln(score + {P.WEIGHTED_BCE_EPS}) + (1 - {P.WEIGHTED_BCE_ALPHA}) * (1 - label) * ln(1 - score + {P.WEIGHTED_BCE_EPS}))), 6) AS wbce,
         round(avg(-({P.WEIGHTED_BCE_ALPHA} * label * ln(score + {P.WEIGHTED_BCE_EPS}) - (1 - {P.WEIGHTED_BCE_ALPHA}) * (1 - label) * ln(1 - score + {P.WEIGHTED_BCE_EPS}))), 6) AS wbce_as_written

@@ -213,13 +213,14 @@ def encoded_df(spark, sf):
 
 
 def q_token_encode(spark, sf):
-    return encoded_df(spark, sf).select("file_id", F.col("line_no").cast("bigint").alias("line_no"),
-                                        F.array_join("ids", " ").alias("ids"))
+    return features.encoded_lines(encoded_df(spark, sf)).select(
+        "file_id", F.col("line_no").cast("bigint").alias("line_no"), F.array_join("ids", " ").alias("ids"))
 
 
 def q_token_lengths(spark, sf):
-    e = encoded_df(spark, sf).join(split_windows_df(spark, sf).select("file_id", "split"), "file_id")
-    return e.rollup("split").agg(F.max(F.size("ids")).cast("bigint").alias("max_tokens")).select(
+    per_line = features.tokens_per_line(tokens_df(spark, sf))
+    e = per_line.join(split_windows_df(spark, sf).select("file_id", "split"), "file_id")
+    return e.rollup("split").agg(F.max("n_tokens").cast("bigint").alias("max_tokens")).select(
         F.coalesce("split", F.lit("ALL")).alias("split"), "max_tokens")
 
 
@@ -320,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "auroc": q_auroc,
     "bce_loss": lambda spark, sf: evaluate.bce(scores_df(spark, sf)),
     "weighted_bce": lambda spark, sf: evaluate.weighted_bce(scores_df(spark, sf)),
+    "bce_epoch": lambda spark, sf: evaluate.bce_batched(scores_df(spark, sf), P.BATCH_SIZE),
     "early_stopping": lambda spark, sf: evaluate.early_stopping(epochs_df(spark, sf)),
     "best_trial": lambda spark, sf: evaluate.best_trial(epochs_df(spark, sf)),
     "halving_rungs": lambda spark, sf: evaluate.halving_rungs(epochs_df(spark, sf)),
