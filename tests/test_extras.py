@@ -23,8 +23,7 @@ def test_sql_functions(spark):
 def test_first_k_and_names(spark):
     df = spark.range(50).select((F.col("id") % 4).alias("g"), "id")
     top = first_k(df, ["g"], [F.desc("id")], 2).collect()
-    assert sorted((r.g, r.id) for r in top) == [(0, 44), (0, 48), (1, 45), (1, 49), (2, 46), (2, 42), (3, 47), (3, 43)][:0] or \
-        sorted((r.g, r.id) for r in top) == sorted([(0, 48), (0, 44), (1, 49), (1, 45), (2, 46), (2, 42), (3, 47), (3, 43)])
+    assert sorted((r.g, r.id) for r in top) == [(0, 44), (0, 48), (1, 45), (1, 49), (2, 42), (2, 46), (3, 43), (3, 47)]
     names = spark.createDataFrame([(0,), (1,), (2,)], "m int").select(split_name(F.col("m"))).collect()
     assert [r[0] for r in names] == ["training", "testing", "validation"]
     ids = spark.createDataFrame([("CWE-121: Stack",), ("CWE78",), ("none",)], "c string").select(cwe_number(F.col("c"))).collect()
