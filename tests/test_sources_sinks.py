@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from codecorpus import sinks
 from codecorpus.operators import curate
