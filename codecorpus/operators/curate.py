@@ -49,16 +49,17 @@ def prefix_split(testcases: DataFrame, split=P.SPLIT_PERCENT) -> DataFrame:
     trunc(20% n) testing (1), the rest validation (2); text cleaned with the
     newline-keeping stripper.  Row numbers come from the block method, so a
     language holding most rows is still ranked by many tasks."""
-    t = testcases.filter(F.col("file_extension").isin(*P.INGEST_EXTENSIONS))
-    ranked = row_index(t, ["path", "file_id"], ["file_extension"], name="rn")
-    sizes = t.groupBy("file_extension").agg(F.count("*").alias("n"))  # one row per language
-    j = ranked.join(F.broadcast(sizes), "file_extension")
+    t = testcases.filter(F.col("file_extension").isin(*P.INGEST_EXTENSIONS)).select(
+        "file_id", "file_name", "file_extension", "path", "cwe", "vulnerability_location",
+        strip_keep_newlines(F.col("content")).alias("file_content"),  # once, before the persisted scan frame
+    )
+    ranked = row_index(t, ["path", "file_id"], ["file_extension"], name="rn", count_as="n")
     n_train = F.floor(F.col("n") * split[0] / 100)
     n_test = F.floor(F.col("n") * split[1] / 100)
     model_id = F.when(F.col("rn") <= n_train, 0).when(F.col("rn") <= n_train + n_test, 1).otherwise(2)
-    return j.select(
+    return ranked.select(
         "file_id", model_id.alias("model_id"), "file_name", "file_extension",
-        strip_keep_newlines(F.col("content")).alias("file_content"), "cwe", "vulnerability_location",
+        "file_content", "cwe", "vulnerability_location",
     )
 
 

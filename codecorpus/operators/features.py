@@ -37,21 +37,16 @@ def vocab(tokens: DataFrame) -> DataFrame:
 
 
 def encode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Token ids per window, grouped once by window: ``(file_id, cells)`` with
-    ``cells`` the sorted ``(line_no, pos, token_id)`` of that window (bounded
-    by the window's text).  The vocabulary join is an equi-join on the token;
-    a hot token is split by the adaptive skew join, and the vocabulary is
-    broadcast only when its measured size allows it."""
+    """Token ids per line, in token order: ``(file_id, line_no, ids)``.  The
+    vocabulary join is an equi-join on the token (a hot token is split by the
+    adaptive skew join; the vocabulary is broadcast only when its measured
+    size allows it).  One shuffle by file_id then serves both the per-line
+    grouping here and the per-window grouping of ``training_rows``."""
     j = tokens.join(vocabulary.select("token", F.col("token_id").cast("int").alias("token_id")), "token")
-    return j.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "pos", "token_id"))).alias("cells"))
-
-
-def encoded_lines(encoded: DataFrame) -> DataFrame:
-    """Per line: ``(file_id, line_no, ids)`` in token order."""
-    c = encoded.select("file_id", F.explode("cells").alias("c"))
-    per = c.groupBy("file_id", F.col("c.line_no").alias("line_no")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("c.pos").alias("pos"), F.col("c.token_id").alias("id")))).alias("p"))
-    return per.select("file_id", "line_no", F.col("p.id").alias("ids"))
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_line = j.repartition(n, "file_id").groupBy("file_id", "line_no").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("p"))
+    return per_line.select("file_id", "line_no", F.col("p.token_id").alias("ids"))
 
 
 def tokens_per_line(tokens: DataFrame) -> DataFrame:
@@ -78,18 +73,18 @@ def training_rows(windows: DataFrame, encoded: DataFrame, window: int = P.WINDOW
                   width: int = P.TOKENS_PER_LINE) -> DataFrame:
     """J5: per window the first ``window`` lines as padded id lists and the
     one-hot location; only complete windows (exactly ``window`` lines) stay
-    (FLT-4, which also removes the matching label: same row).  One join of
-    windows with their encoded cells on file_id; lines without tokens become
-    all-zero rows."""
+    (FLT-4, which also removes the matching label: same row).  Lines are
+    padded first, gathered per window as a line -> ids map, and the sequence
+    is read from the map line by line; lines without tokens become zeros."""
     n_lines = F.size(F.slice(split_lines(F.col("vlw_content")), 1, window))
     base = windows.select("file_id", "file_name", "split", "vulnerability_location", n_lines.alias("n_lines"))
-    rows = base.filter(F.col("n_lines") == window).join(encoded, "file_id", "left")
-    cells = F.coalesce(F.col("cells"), F.array().cast("array<struct<line_no:int,pos:int,token_id:int>>"))
-
-    def line_ids(l):
-        return pad_truncate(F.transform(F.filter(cells, lambda x: x["line_no"] == l), lambda x: x["token_id"]), width)
-
-    seq = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), line_ids)
+    padded = encoded.select("file_id", "line_no", pad_truncate(F.col("ids"), width).alias("ids"))
+    per_window = padded.groupBy("file_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("line_no", "ids"))).alias("m"))
+    rows = base.filter(F.col("n_lines") == window).join(per_window, "file_id", "left")
+    zeros = F.array_repeat(F.lit(0).cast("int"), width)
+    seq = F.transform(F.sequence(F.lit(0), F.lit(window - 1)),
+                      lambda l: F.coalesce(F.try_element_at(F.col("m"), l), zeros))
     return rows.select(
         "file_id", "file_name", "split", seq.alias("seq"),
         one_hot(F.col("vulnerability_location"), window).alias("label"),
@@ -113,7 +108,8 @@ def batches(rows: DataFrame, batch_size: int = P.BATCH_SIZE, seed: str = "batch"
     """SMP-3: shuffled fixed-size batches per split, last partial batch
     dropped.  The shuffle is a stable hash order; positions come from the
     block method."""
-    keyed = rows.withColumn("h", md5_int(F.lit(seed), F.col("file_id").cast("string")))
+    # only the columns the batches need: the (wide) sequences are never built
+    keyed = rows.select("split", "file_id", "label").withColumn("h", md5_int(F.lit(seed), F.col("file_id").cast("string")))
     ranked = row_index(keyed, ["h", "file_id"], ["split"], name="rn")
     b = ranked.withColumn("batch_id", F.floor((F.col("rn") - 1) / batch_size).cast("bigint"))
     full = b.groupBy("split", "batch_id").agg(

@@ -213,7 +213,7 @@ def encoded_df(spark, sf):
 
 
 def q_token_encode(spark, sf):
-    return features.encoded_lines(encoded_df(spark, sf)).select(
+    return encoded_df(spark, sf).select(
         "file_id", F.col("line_no").cast("bigint").alias("line_no"), F.array_join("ids", " ").alias("ids"))
 
 

@@ -76,3 +76,10 @@ def subfolders(files: DataFrame) -> DataFrame:
     parent = F.regexp_extract("path", r"^(.*)[/\\][^/\\]+$", 1)
     return files.select(parent.alias("folder_name")).distinct().select(
         F.xxhash64("folder_name").alias("subfolder_id"), "folder_name")
+
+
+def with_subfolders(files: DataFrame) -> DataFrame:
+    """JN-3: files joined to their sub-folder rows (folder -> sub-folder ->
+    file navigation as an equi-join on the folder name)."""
+    parent = F.regexp_extract("path", r"^(.*)[/\\][^/\\]+$", 1)
+    return files.withColumn("folder_name", parent).join(subfolders(files), "folder_name")

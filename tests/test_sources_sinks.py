@@ -34,6 +34,8 @@ def test_analysis_and_ingest_readers(spark, tmp_dir):
     assert sorted(os.path.basename(r.path) for r in good.collect()) == ["CWE1_A_01.c", "CWE1_A_02.java"]
     assert [os.path.basename(r.path) for r in bad.collect()] == ["CWE1_A_04.cpp"]   # invalid UTF-8 -> rejects
     assert src.read_sources(spark, os.path.join(tmp_dir, "missing")).count() == 0     # SRC-8
+    nav = src.with_subfolders(good).collect()
+    assert len(nav) == 2 and len({r.subfolder_id for r in nav}) == 1 and nav[0].folder_name.endswith("CWE1")
 
 
 def test_manifest_file_and_last_wins(spark, tmp_dir):
