@@ -63,3 +63,24 @@ def test_write_checked_is_all_or_nothing(spark, tmp_dir):
     sinks.append_epochs(spark.createDataFrame([(1, 0, 0.5, 0.4, 0.6)], "trial long, epoch long, train_loss double, "
                                               "valid_loss double, valid_auroc double"), os.path.join(tmp_dir, "ep"))
     assert spark.read.parquet(os.path.join(tmp_dir, "ep")).count() == 1
+
+
+def test_loads_and_exports(spark, tmp_dir):
+    _tree(tmp_dir)
+    xml = ('<container><testcase><file path="CWE1_A_01.c"><flaw line="2" name="CWE-1: X"/></file>'
+           '<file path="CWE1_A_02.java"><flaw line="0" name="CWE-1: X"/></file></testcase></container>')
+    p = os.path.join(tmp_dir, "manifest.xml")
+    with open(p, "w") as f:
+        f.write(xml)
+    good, _ = src.read_ingest(spark, tmp_dir)
+    files = good.select("file_id", "path", "content")
+    rows = sinks.load_testcases(curate.ingest_files(files), mf.manifest_flaws(mf.read_manifest(spark, p)),
+                                os.path.join(tmp_dir, "testcase"))
+    assert sorted(r.file_name for r in rows.collect()) == ["CWE1_A_01.c", "CWE1_A_02.java"]
+    assert spark.read.parquet(os.path.join(tmp_dir, "testcase")).count() == 2
+    from codecorpus import schemas
+    sinks.create_table(spark, "cases_t", schemas.CASES, os.path.join(tmp_dir, "cases_t"), ["model_id"])
+    assert {c.name for c in spark.table("cases_t").schema} == {f.name for f in schemas.CASES.fields}
+    tr = spark.createDataFrame([("train", 1, "a.c", [[1, 2]], [1, 0])], schemas.TRAINING)
+    sinks.export_training(tr, os.path.join(tmp_dir, "train"))
+    assert os.path.isdir(os.path.join(tmp_dir, "train", "split=train"))
