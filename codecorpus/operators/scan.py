@@ -5,8 +5,9 @@ one-task window.
 may hold a third of the rows — runs in a single task.  The block method keeps
 every step distributed:
 
-1. range-partition the rows by ``(group, order)`` into ``n`` blocks (explicit
-   ``n``: the adaptive planner does not coalesce it, so block ids are stable);
+1. range-partition the rows by ``(group, order)`` into blocks (sized by the
+   adaptive planner, which only merges adjacent ranges, so blocks stay in
+   order; or an explicit count);
 2. scan each block with a window clustered by ``(group, block)`` — blocks are
    balanced by construction;
 3. aggregate each block (one row per block and group: at most
@@ -51,13 +52,12 @@ def prefix_scan(
     give a total order within a group (add a unique tie-breaker).
     ``totals_as`` maps a scan name to a column that receives the op over the
     whole group (taken from the small block table, no extra pass)."""
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
     base = df
     for name, (_, expr) in scans.items():
         base = base.withColumn(f"__x_{name}", expr)
     ranged = (
-        base.repartitionByRange(n, *keys)
+        (base.repartitionByRange(blocks, *keys) if blocks else base.repartitionByRange(*keys))
         .withColumn("__blk", F.spark_partition_id())
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
