@@ -1,9 +1,9 @@
 """Set-based function mining (JN-5, WIN-4, WIN-5, FLT-5, FLT-7, STR-9..12).
 
 The reference scans each file line by line.  Here a file's work is expressed as
-windows and joins over the exploded ``lines`` table, all clustered by
-``file_id`` so the one shuffle that places a file's lines together is reused by
-every later step:
+windows and one per-file aggregation over the exploded ``lines`` table, all
+clustered by ``file_id``, so the one shuffle that places a file's lines
+together is reused by every later step (no join):
 
 1. candidates: header pattern of the file's language on the trimmed line;
    C/C++/Java take the opening brace from the line itself or one of the next two
