@@ -235,7 +235,8 @@ def digests(spark: SparkSession, docs: DataFrame, path: str, text: str = "text",
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def udf(texts: pd.Series) -> pd.DataFrame:
         a = _compiled(shared)
-        return pd.DataFrame([a.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([a.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype(
+            {"ids_sha256": object, "decoded_sha256": object})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), udf(F.col(text)).alias("d"))
     return rows.select("doc_id", "d.*")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, mixing, quality_rules, simhash, suffix_array, suffix_tree, topk
+from codecorpus.llm import bpe, html_text, mixing, quality_model, quality_rules, simhash, suffix_array, suffix_tree, topk, toxicity
 from codecorpus.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+def remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(texts(spark, sf), table(spark, sf, "labels"), remainder(5) == 0)
+
+
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_array.digests(texts(spark, sf))
 
@@ -47,17 +55,28 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", F.col(f"{name}.*"))
 
 
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.quality(texts(spark, sf), table(spark, sf, "labels"), remainder(4) == 2)
+
+
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf, "pages"))
+
+
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     placed, name = mixing.placed(table(spark, sf, "documents").select("doc_id", "source"))
     return placed.select("doc_id", "source", F.col(f"{name}.*"))
 
 
 QUERIES = {
+    "op1_toxicity": op1,
     "op2_suffix_array_dedup": op2,
     "op3_substring_dedup": op3,
     "op4_bpe": op4,
     "op5_topk": op5,
     "op6_simhash": op6,
     "op7_quality_rules": op7,
+    "op8_quality_classifier": op8,
+    "op9_html_extraction": op9,
     "op10_mixing": op10,
 }

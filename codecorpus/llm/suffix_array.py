@@ -244,7 +244,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
                 at = e
             digest.update(data[at:])
             out.append((len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), digest.hexdigest()))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"kept_sha256": object})
 
     return rows.select("doc_id", udf("text", *names).alias("d")).select("doc_id", "d.*")
 

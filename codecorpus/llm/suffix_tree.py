@@ -170,6 +170,6 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
             words = (t or "").encode("utf-8", "surrogatepass").split()
             kept = kept_words(words, f, threshold)
             out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).astype({"kept_sha256": object})
 
     return rows.select("doc_id", udf("text", name).alias("d")).select("doc_id", "d.*")
