@@ -2,11 +2,12 @@
 
 Every word and every pair of neighbouring words falls into one of ``buckets``
 hash buckets.  Two multinomials over the buckets are counted: one over the
-whole raw corpus, one over the trusted target documents, the second smoothed
-towards the first (Dirichlet prior of ``prior`` times the target's own mass).
-A document's score is the mean over its n-grams of
-``log(p_target / p_raw)``; it is kept when no base rule fails and the score
-is at least ``threshold``.
+whole raw corpus, one over the trusted target documents.  A bucket's ratio
+``log(p_target / p_raw)`` is the log of its count in the target over the count
+expected there at the raw frequency, both smoothed by ``prior`` counts, so buckets
+with little evidence weigh little, however small the target.  A document's score
+is the mean ratio of its n-grams; it is kept when no base rule fails and the
+score is at least ``threshold``.
 
 The ratio table has ``buckets`` doubles, a fixed size, and reaches the tasks as
 the value of a scalar subquery: documents are never shuffled or joined on
@@ -28,9 +29,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BUCKETS = 1 << 16
-PRIOR = 1.0
+PRIOR = 4.0
 #: Mean log ratio that a kept document reaches; chosen between the labelled classes (see README).
-THRESHOLD = -0.035
+THRESHOLD = -0.12
 #: At most so many labelled documents form the trusted target (smallest hashes first).
 MAX_TRUSTED = 20_000
 
@@ -63,9 +64,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id:
     cells = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(seen, "b", "left").na.fill(0)
     rows = cells.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("cells"),
                      F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    p_raw = lambda c: (c["raw"] + 1.0) / (F.col("n_raw") + float(buckets))
-    p_target = lambda c: (c["target"] + prior * F.col("n_target") * p_raw(c)) / ((1.0 + prior) * F.col("n_target"))
-    llr = F.transform("cells", lambda c: F.when(F.col("n_target") > 0, F.log(p_target(c) / p_raw(c))).otherwise(0.0))
+    expected = lambda c: F.col("n_target") * c["raw"] / F.greatest(F.col("n_raw"), F.lit(1))
+    llr = F.transform("cells", lambda c: F.log((c["target"] + prior) / (expected(c) + prior)))
     return rows.select(llr.alias("llr"))
 
 

@@ -70,14 +70,15 @@ def tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
             ranked = (block @ c.T).astype(np.int64) * n + (n - 1 - np.arange(n))  # score, then smaller id
         else:
             exact = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object).reshape(m.shape)
-            ranked = (exact(block) @ exact(c).T) * n + (n - 1 - np.arange(n)).astype(object)
+            held = np.frompyfunc(lambda x: max(-LAST - 1, min(LAST, x)), 1, 1)
+            ranked = held(exact(block) @ exact(c).T) * n + (n - 1 - np.arange(n)).astype(object)
         for i, row in enumerate(ranked):
             live = np.flatnonzero(ids != own[i])
             if len(live) > k and row.dtype != object:
                 live = live[np.argpartition(row[live], len(live) - k)[-k:]]
             elif len(live) > k:
                 live = np.array(sorted(live, key=lambda j: -row[j])[:k])
-            out += [(own[i], ids[j], max(-LAST - 1, min(LAST, int(row[j]) // n))) for j in live]
+            out += [(own[i], ids[j], int(row[j]) // n) for j in live]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
