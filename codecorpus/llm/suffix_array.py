@@ -16,8 +16,8 @@ are neighbours; together they are one *stretch* of text.
    all bytes through the threshold, go to bins by their content; equal groups are
    the repeated windows, and those not of the smallest id are covered.
 
-About one byte in fifteen is an anchor, so the first sort moves less than the
-text itself.  Groups are compared by 64-bit hashes inside their bins.
+About one byte in fourteen is an anchor, so the first sort moves less than the
+text itself.  Groups are compared by 64 bits of hashes or more inside their bins.
 
 Defined results: a null or empty text has no bytes; texts shorter than the
 threshold lose nothing; a null id is after all others; rows repeated with one id
@@ -39,9 +39,11 @@ from codecorpus.llm import exchange as X
 from codecorpus.llm.common import fresh, partitions, staged
 
 THRESHOLD = 50
-GRAM = 22
+GRAM = 24
 #: Bytes of text whose stretches make one bin.
 BIN_BYTES = 24 << 20
+#: The second sort has so many times fewer bins.
+OPEN_SHARE = 4
 PIECE = 2 << 20
 RESOLVED, OPEN, WINDOW = 0, 1, 2
 
@@ -142,16 +144,19 @@ def stretch_answers(docs: DataFrame, bins: int, threshold: int) -> DataFrame:
                 found = X.answers(order[row[gone]], key[row[gone]], j[gone] - base[row[gone]], span[gone], RESOLVED)
                 yield from X.as_rows(found, bins)
             left = ~gone
-            arrays = {"anchor": (anchor[left] >> np.uint64(8)).astype(np.uint32), "whole": whole[left], "span": span[left].astype(np.uint8)}
+            # 32 and 40 bits tell stretches apart: only those of one bin are ever compared
+            arrays = {"anchor": (anchor[left] >> np.uint64(8)).astype(np.uint32), "whole": whole[left].astype(np.uint32),
+                      "more": (whole[left] >> np.uint64(32)).astype(np.uint8), "span": span[left].astype(np.uint8)}
             yield from X.packed(((anchor[left] >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), arrays, row[left],
                                 (j - base[row])[left], order, key)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        order, key, at, x = X.unpacked(frame, {"anchor": "<u4", "whole": "<u8", "span": "u1"})
-        gone, open_ = _resolve(x["anchor"], x["whole"], order, key, at, x["span"], last=True)
+        order, key, at, x = X.unpacked(frame, {"anchor": "<u4", "whole": "<u4", "more": "u1", "span": "u1"})
+        whole = x["whole"].astype(np.uint64) | x["more"].astype(np.uint64) << np.uint64(32)
+        gone, open_ = _resolve(x["anchor"], whole, order, key, at, x["span"], last=True)
         return pd.concat([X.answers(order[m], key[m], at[m], x["span"][m], kind) for m, kind in ((gone, RESOLVED), (open_, OPEN))])
 
-    return X.shuffled(docs, pack, solve, ["anchor", "whole", "span"])
+    return X.shuffled(docs, pack, solve, ["anchor", "whole", "more", "span"])
 
 
 def window_answers(docs: DataFrame, bins: int, threshold: int) -> DataFrame:
@@ -217,7 +222,7 @@ def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     # both joins read one shuffle of the documents: the same columns on the same key
     asked = keyed.join(open_, [X.ORDER, X.KEY]).select(F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)],
                                                        X.ORDER, X.KEY, "open_at", "open_span")
-    windows = window_answers(asked, bins, threshold)
+    windows = window_answers(asked, -(-bins // OPEN_SHARE), threshold)
     both = found.filter(F.col("kind") == RESOLVED).unionByName(windows)
     names = [fresh(docs, n) for n in ("whole_at", "whole_span", "window_at")]
     of = lambda k: F.filter(F.col("all"), lambda x: x["kind"] == k)
