@@ -41,7 +41,7 @@ from codecorpus.llm.common import fresh
 #: Fixed value: the published pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept per worker (the cache is emptied when full).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 NEVER = 1 << 60
 #: Texts below this code point are cut by plain character ranges (same words, faster).
 LATIN_END = 0x250

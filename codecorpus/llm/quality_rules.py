@@ -106,17 +106,18 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
         total = let(llr, lambda t: F.aggregate(_grams(w, buckets), F.lit(0.0), lambda s, g: s + F.get(t, g)))
         return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1))
 
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        return F.struct(m["n_words"].alias("n_words"), chars.cast("bigint").alias("word_chars"), symbols.cast("bigint").alias("n_symbols"),
+                        dup_lines.cast("bigint").alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
+                        failed.alias("base_failed"), (~failed & (F.coalesce(m["llr"], F.lit(float("-inf"))) >= threshold)).alias("kept"),
+                        m["llr"].alias("llr"))
+
+    # one expression that names its parts: a filter on the verdict evaluates it once
+    measures = let(words(F.col(text)), lambda w: F.struct(
+        F.size(w).cast("bigint").alias("n_words"), repeat_words(w).cast("bigint").alias("n_repeat_words"), mean_ratio(w).alias("llr")))
     rated = docs.withColumn(table, ratio_table(docs, trusted, text, doc_id, buckets, prior).scalar())
-    measured = rated.select(*[F.col(f"`{c}`") for c in docs.columns], let(words(F.col(text)), lambda w: F.struct(
-        F.size(w).cast("bigint").alias("n_words"), repeat_words(w).cast("bigint").alias("n_repeat_words"),
-        mean_ratio(w).alias("llr"))).alias(name))
-    m = F.col(name)
-    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-    out = F.struct(m["n_words"].alias("n_words"), chars.cast("bigint").alias("word_chars"), symbols.cast("bigint").alias("n_symbols"),
-                   dup_lines.cast("bigint").alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
-                   failed.alias("base_failed"), (~failed & (F.coalesce(m["llr"], F.lit(float("-inf"))) >= threshold)).alias("kept"),
-                   m["llr"].alias("llr"))
-    return measured.withColumn(name, out), name
+    return rated.select(*[F.col(f"`{c}`") for c in docs.columns], let(measures, verdict).alias(name)), name
 
 
 def keep(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
