@@ -36,7 +36,7 @@ from codecorpus.llm.common import fresh, let
 PERIOD = 1000
 BLOCK_ROWS = 64
 #: Documents are numbered inside ranges of so many ids.
-ID_RANGE = 8192
+ID_RANGE = 1024
 
 
 def target_weights(counts: DataFrame, period: int = PERIOD) -> DataFrame:
