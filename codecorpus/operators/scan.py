@@ -23,6 +23,8 @@ block is recomputed from that same shuffle dependency (same bounds).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -78,7 +80,11 @@ def prefix_scan(
         *[_AGG[op](f"__t_{name}").over(w_blk).alias(f"__p_{name}") for name, (op, _) in scans.items()],
         *[_AGG[scans[name][0]](f"__t_{name}").over(w_all).alias(col) for name, col in (totals_as or {}).items()],
     )
-    joined = local.join(prefix, [*group_cols, "__blk"], "left")
+    # null groups are groups: null-safe keys
+    keyed = prefix.select(*[F.col(c).alias(f"__g_{k}") for k, c in enumerate([*group_cols, "__blk"])],
+                          *[c for c in prefix.columns if c not in (*group_cols, "__blk")])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__g_{k}")) for k, c in enumerate([*group_cols, "__blk"])])
+    joined = local.join(keyed, same, "left").drop(*[f"__g_{k}" for k in range(len(group_cols) + 1)])
     out = joined
     for name, (op, _) in scans.items():
         out = out.withColumn(name, _COMBINE[op](F.col(f"__p_{name}"), F.col(f"__l_{name}")))

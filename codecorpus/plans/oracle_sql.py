@@ -322,8 +322,11 @@ ORACLE.update({
     "early_stopping": with_ctes(EP,
         ("es", """SELECT *, min(valid_loss) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_min
                   FROM ep"""),
-        ("es2", """SELECT *, epoch - coalesce(max(CASE WHEN valid_loss < coalesce(prior_min, 'inf'::DOUBLE) THEN epoch END)
-                   OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS counter FROM es"""),
+        # reports since an improvement: place inside the run of rows that follow it (the run before the first improvement has none to skip)
+        ("es1", """SELECT *, sum(CASE WHEN valid_loss < coalesce(prior_min, 'inf'::DOUBLE) THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY trial ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS streak FROM es"""),
+        ("es2", """SELECT *, row_number() OVER (PARTITION BY trial, streak ORDER BY epoch)
+                   - CASE WHEN streak > 0 THEN 1 ELSE 0 END AS counter FROM es1"""),
         ("per", f"""SELECT trial, count(*) AS n_epochs, min(epoch) FILTER (WHERE counter = {P.PATIENCE}) AS stop_epoch FROM es2 GROUP BY trial"""),
         body="""SELECT trial, n_epochs, stop_epoch, count(*) AS epochs_run, round(min(valid_loss), 6) AS best_loss
                 FROM ep JOIN per USING (trial) WHERE stop_epoch IS NULL OR epoch <= stop_epoch GROUP BY trial, n_epochs, stop_epoch"""),

