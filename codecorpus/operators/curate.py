@@ -47,19 +47,21 @@ def prefix_split(testcases: DataFrame, split=P.SPLIT_PERCENT) -> DataFrame:
     """J2 / WIN-1 / FLT-2 / SET-2: per language (exact extension) the first
     trunc(70% n) rows in (path, file_id) order are training (0), the next
     trunc(20% n) testing (1), the rest validation (2); text cleaned with the
-    newline-keeping stripper.  Row numbers come from the block method, so a
-    language holding most rows is still ranked by many tasks."""
-    t = testcases.filter(F.col("file_extension").isin(*P.INGEST_EXTENSIONS)).select(
-        "file_id", "file_name", "file_extension", "path", "cwe", "vulnerability_location",
-        strip_keep_newlines(F.col("content")).alias("file_content"),  # once, before the persisted scan frame
-    )
-    ranked = row_index(t, ["path", "file_id"], ["file_extension"], name="rn", count_as="n")
+    newline-keeping stripper.  Only the keys are numbered (block method); the two
+    last keys of training and testing per language, at most one row a language, are
+    broadcast and every file compares its own key with them, so no text moves."""
+    t = testcases.filter(F.col("file_extension").isin(*P.INGEST_EXTENSIONS))
+    ranked = row_index(t.select("file_extension", "path", "file_id"), ["path", "file_id"], ["file_extension"], name="rn", count_as="n")
     n_train = F.floor(F.col("n") * split[0] / 100)
     n_test = F.floor(F.col("n") * split[1] / 100)
-    model_id = F.when(F.col("rn") <= n_train, 0).when(F.col("rn") <= n_train + n_test, 1).otherwise(2)
-    return ranked.select(
+    key = F.struct("path", "file_id")
+    cuts = ranked.filter(F.col("rn").isin(n_train, n_train + n_test)).groupBy("file_extension").agg(
+        F.max(F.when(F.col("rn") == n_train, key)).alias("train_end"),
+        F.max(F.when(F.col("rn") == n_train + n_test, key)).alias("test_end"))
+    model_id = F.when(key <= F.col("train_end"), 0).when(key <= F.col("test_end"), 1).otherwise(2)
+    return t.join(F.broadcast(cuts), "file_extension", "left").select(
         "file_id", model_id.alias("model_id"), "file_name", "file_extension",
-        "file_content", "cwe", "vulnerability_location",
+        strip_keep_newlines(F.col("content")).alias("file_content"), "cwe", "vulnerability_location",
     )
 
 

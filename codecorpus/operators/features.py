@@ -120,19 +120,21 @@ def batches(rows: DataFrame, batch_size: int = P.BATCH_SIZE, seed: str = "batch"
     return full.filter(F.col("n_rows") == batch_size)
 
 
-def token_vectors(tokens: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """JN-6 re-aimed on the driver tables: each token maps to an embedding
-    row by hash (``md5 prefix mod #rows``).  Token occurrences are counted per
-    (file, vector) before the join, so the join moves counts, not tokens."""
-    n_vec = embeddings.agg(F.count("*")).scalar()
-    per = tokens.groupBy("file_id", F.pmod(md5_int(F.col("token")), n_vec).alias("vec_id")).agg(
-        F.count("*").alias("n"))
-    j = per.join(embeddings.select("vec_id", "embedding"), "vec_id")
-    return j.groupBy("file_id").agg(
-        F.sum("n").cast("bigint").alias("n_tokens"),
-        F.round(F.sum(F.col("n") * F.col("embedding")[0].cast("double")), 4).alias("sum_dim0"),
-        F.round(F.sum(F.col("n") * F.col("embedding")[63].cast("double")), 4).alias("sum_dim63"),
-    )
+def token_vectors(tokens: DataFrame, vocabulary: DataFrame, embeddings: DataFrame, dims: int = 64) -> DataFrame:
+    """JN-6 + AGG-16: the vectors of a file's tokens (``vec_id`` = vocabulary
+    id), pooled to their mean in every dimension, as flat ``(file_id, dim,
+    n_tokens, n_matched, value)``.  A token without a vector counts as the zero
+    vector, as padding does.  Occurrences are counted per (file, token) before
+    the join, and the sums of all dimensions are partial aggregates of one row."""
+    per = tokens.join(vocabulary.select("token", "token_id"), "token").groupBy("file_id", "token_id").agg(F.count("*").alias("n"))
+    j = per.join(embeddings.select(F.col("vec_id").alias("token_id"), "embedding"), "token_id", "left")
+    x = lambda d: F.coalesce(F.get("embedding", F.lit(d)).cast("double"), F.lit(0.0))
+    sums = j.groupBy("file_id").agg(
+        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("embedding").isNotNull(), F.col("n")).otherwise(0)).alias("n_matched"),
+        F.array(*[F.sum(F.col("n") * x(d)) for d in range(dims)]).alias("sums"))
+    return sums.select("file_id", F.posexplode("sums").alias("dim", "s"), "n_tokens", "n_matched").select(
+        "file_id", F.col("dim").cast("bigint").alias("dim"), F.col("n_tokens").cast("bigint").alias("n_tokens"),
+        F.col("n_matched").cast("bigint").alias("n_matched"), F.round(F.col("s") / F.col("n_tokens"), 4).alias("value"))
 
 
 def mean_pool(embeddings: DataFrame, key: str = "label") -> DataFrame:

@@ -16,10 +16,10 @@ def md5_int(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("bigint")
 
 
-def window_offsets(file_name: Column, window: int, seed: str = "vlw") -> tuple[Column, Column]:
+def window_offsets(key: Column, window: int, seed: str = "vlw") -> tuple[Column, Column]:
     """MTH-1: lines before = 1 .. W-1, after = W-1-before.  The reference
     draws them unseeded; here they are a replayable hash of the row key."""
-    before = F.pmod(md5_int(F.lit(seed), file_name), F.lit(window - 1)) + 1
+    before = F.pmod(md5_int(F.lit(seed), key.cast("string")), F.lit(window - 1)) + 1
     return before, F.lit(window - 1) - before
 
 
@@ -35,7 +35,7 @@ def line_windows(cases: DataFrame, window: int = P.WINDOW_LINES, seed: str = "vl
     single = cases.filter(~F.col("vulnerability_location").contains(","))
     loc = F.trim(F.col("vulnerability_location")).try_cast("int")
     lines = split_lines(F.col("file_content"))
-    before, after = window_offsets(F.col("file_name"), window, seed)
+    before, after = window_offsets(F.col("file_id"), window, seed)  # names repeat, ids do not
     t = single.select(
         "file_id", "file_name", "cwe", "model_id", loc.alias("L"), lines.alias("lines"),
         before.alias("before"), after.alias("after"),

@@ -9,7 +9,7 @@ independent checks.  Patterns are shared from ``functions.patterns``.
 from __future__ import annotations
 
 from codecorpus.functions import patterns as P
-from codecorpus.sources.corpus import CORPUS_SQL
+from codecorpus.sources.corpus import CORPUS_SQL, LONG_CORPUS_SQL
 
 
 def q(s: str) -> str:
@@ -36,6 +36,7 @@ def _count(col: str, ch: str) -> str:
 
 
 CORPUS = ("corpus", CORPUS_SQL)
+LONG_CORPUS = ("corpus", LONG_CORPUS_SQL)
 
 FILES = ("files", f"""
   SELECT file_id, path, file_name, ext,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codecorpus.functions import patterns as P
-from codecorpus.plans.oracle import CORPUS, FILES, FUNCTION_CHAIN, LINES, LINES_C, NAME_RE, q, with_ctes
+from codecorpus.plans.oracle import CORPUS, FILES, FUNCTION_CHAIN, LINES, LINES_C, LONG_CORPUS, NAME_RE, q, with_ctes
 
 
 def _thresholds(ts) -> str:
@@ -145,12 +145,10 @@ ORACLE: dict[str, str] = {
 }
 
 
-# --- curation, windows, features (driver window W = 8) -------------------------
-import math as _math  # noqa: E402
-
+# --- curation, windows, features -------------------------------------------------
 from codecorpus.plans.oracle import EXT_RE  # noqa: E402
 
-W = 8
+W = P.WINDOW_LINES
 _H = "(('0x' || substr(md5({}), 1, 8))::BIGINT)"
 
 
@@ -191,7 +189,7 @@ WIN = ("win", f"""
   FROM (SELECT *, L >= 0 AND L < len(lines) AS inside, greatest(0, L - bf) AS st,
                least(len(lines), L + ({W - 1} - bf) + 1) AS en
         FROM (SELECT file_id, file_name, cwe, model_id, TRY_CAST(trim(vulnerability_location) AS INTEGER) AS L,
-                     string_split(file_content, chr(10)) AS lines, ({_h("'vlw' || file_name")} % {W - 1}) + 1 AS bf
+                     string_split(file_content, chr(10)) AS lines, ({_h("'vlw' || file_id")} % {W - 1}) + 1 AS bf
               FROM cases WHERE NOT contains(vulnerability_location, ','))
         WHERE L IS NOT NULL)""")
 
@@ -222,7 +220,7 @@ PADDED = ("padded", f"""SELECT file_id, line_no, {_PAD.replace('x', 'coalesce(e.
 SEQS = ("seqs", """SELECT file_id, array_to_string(list(array_to_string(ids, ',') ORDER BY line_no), '|') AS seq,
                    count(*) AS n_lines, count(*) FILTER (WHERE len(ids) <> 98) AS bad_lines FROM padded GROUP BY file_id""")
 
-CUR = (CORPUS, MAN, INGEST, TESTCASE, CASES, WIN)
+CUR = (LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, WIN)
 FEAT = CUR + (HS, TOK, VOCAB, ENC)
 TRAIN = FEAT + (TR, PADDED, SEQS)
 
@@ -246,26 +244,11 @@ def _clog(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN greatest(ln({x}), -100.0) ELSE -100.0 END"
 
 
-def _rung(r: int, prev: str | None) -> tuple[str, str]:
-    alive = f" AND trial IN (SELECT trial FROM {prev} WHERE kept)" if prev else ""
-    return (f"k{r}", f"""SELECT {r}::BIGINT AS rung, trial, valid_loss, rk, rk <= greatest(floor(cnt / 2), 1) AS kept
-        FROM (SELECT trial, valid_loss, row_number() OVER (ORDER BY valid_loss, trial) AS rk, count(*) OVER () AS cnt
-              FROM ep WHERE epoch = {r - 1}{alive})""")
-
-
-_LN_LR = (_math.log(P.SEARCH_LR[0]), _math.log(P.SEARCH_LR[1]) - _math.log(P.SEARCH_LR[0]))
-_LN_WD = (_math.log(P.SEARCH_WEIGHT_DECAY[0]), _math.log(P.SEARCH_WEIGHT_DECAY[1]) - _math.log(P.SEARCH_WEIGHT_DECAY[0]))
-
-
-def _u(name: str) -> str:
-    return f"({_h(repr(name) + ' || trial')} / {float(2 ** 32)!r})"
-
-
 ORACLE.update({
-    "manifest_flaws": with_ctes(CORPUS, MAN, body="SELECT doc_pos, file_pos, file_name, cwe, vulnerability_location, n_lines FROM man"),
-    "manifest_join": with_ctes(CORPUS, MAN, INGEST, TESTCASE, body="""
+    "manifest_flaws": with_ctes(LONG_CORPUS, MAN, body="SELECT doc_pos, file_pos, file_name, cwe, vulnerability_location, n_lines FROM man"),
+    "manifest_join": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, body="""
         SELECT file_id, folder, path, file_name, file_extension, cwe, vulnerability_location FROM testcase"""),
-    "prefix_split": with_ctes(CORPUS, MAN, INGEST, TESTCASE, CASES, body="""
+    "prefix_split": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, body="""
         SELECT file_id, model_id, file_name, file_extension, cwe, vulnerability_location, md5(file_content) AS content_md5 FROM cases"""),
     "pk_violations": with_ctes(*CUR, body="""
         SELECT 'Cases' AS table_name, model_id::BIGINT AS model_id, file_name, count(*) AS n FROM cases
@@ -289,14 +272,15 @@ ORACLE.update({
                count(*) FILTER (WHERE rel IS NULL OR rel < 0 OR rel >= {W}) AS bad_label
         FROM tr JOIN seqs USING (file_id)"""),
     "batches": with_ctes(*TRAIN, ("b", f"""SELECT tr.*, row_number() OVER (PARTITION BY split ORDER BY {_h("'batch' || file_id")}, file_id) AS rn
-                                          FROM tr JOIN seqs USING (file_id)"""), body="""
-        SELECT split, (rn - 1) // 4 AS batch_id, count(*) AS n_rows, sum(rel) AS label_pos_sum, min(file_id) AS first_file_id
-        FROM b GROUP BY 1, 2 HAVING count(*) = 4"""),
-    "embedding_lookup": with_ctes(*CUR, TOK, body=f"""
-        SELECT t.file_id, sum(t.n)::BIGINT AS n_tokens, round(sum(t.n * e.embedding[1]::DOUBLE), 4) AS sum_dim0,
-               round(sum(t.n * e.embedding[64]::DOUBLE), 4) AS sum_dim63
-        FROM (SELECT file_id, {_h('token')} % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS n FROM tok GROUP BY 1, 2) t
-        JOIN embeddings e USING (vec_id) GROUP BY t.file_id"""),
+                                          FROM tr JOIN seqs USING (file_id)"""), body=f"""
+        SELECT split, (rn - 1) // {P.BATCH_SIZE} AS batch_id, count(*) AS n_rows, sum(rel) AS label_pos_sum, min(file_id) AS first_file_id
+        FROM b GROUP BY 1, 2 HAVING count(*) = {P.BATCH_SIZE}"""),
+    "embedding_lookup": with_ctes(*CUR, TOK, VOCAB, body="""
+        SELECT file_id, dim, n_tokens, n_matched, CASE WHEN v = 0 THEN 0 ELSE v END AS value FROM (
+        SELECT t.file_id, d.dim, sum(t.n)::BIGINT AS n_tokens, coalesce(sum(t.n) FILTER (WHERE e.vec_id IS NOT NULL), 0)::BIGINT AS n_matched,
+               round(sum(t.n * coalesce(e.embedding[d.dim + 1]::DOUBLE, 0)) / sum(t.n), 4) AS v
+        FROM (SELECT file_id, token_id, count(*) AS n FROM tok JOIN vocab USING (token) GROUP BY 1, 2) t
+        LEFT JOIN embeddings e ON e.vec_id = t.token_id CROSS JOIN range(64) d(dim) GROUP BY t.file_id, d.dim)"""),
     "mean_pool": """SELECT label, dim - 1 AS dim, round(avg(x::DOUBLE), 5) AS value, count(*) AS n
         FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim""",
     "attention_pool": with_ctes(
@@ -333,19 +317,16 @@ ORACLE.update({
     "best_trial": with_ctes(EP, body="""SELECT trial, epoch, round(valid_loss, 6) AS loss FROM (
         SELECT trial, max(epoch) AS epoch, arg_max(valid_loss, epoch) AS valid_loss FROM ep GROUP BY trial)
         ORDER BY valid_loss, trial LIMIT 1"""),
-    "halving_rungs": with_ctes(EP, _rung(5, None), _rung(10, "k5"), _rung(20, "k10"), body="""
-        SELECT rung, trial, round(valid_loss, 6) AS loss, rk AS rank, kept FROM k5
-        UNION ALL SELECT rung, trial, round(valid_loss, 6), rk, kept FROM k10
-        UNION ALL SELECT rung, trial, round(valid_loss, 6), rk, kept FROM k20"""),
     "learning_curve": with_ctes(EP, body="""SELECT trial, epoch, round(valid_loss, 6) AS valid_loss,
         round(min(valid_loss) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_so_far
         FROM ep"""),
-    "search_space": with_ctes(("t", "SELECT DISTINCT user_id AS trial FROM events"), body=f"""
-        SELECT trial,
-               round(exp({_LN_LR[0]!r} + {_u('lr')} * {_LN_LR[1]!r}), 9) AS lr,
-               [{', '.join(str(v) for v in P.SEARCH_BATCH)}][floor({_u('batch')} * {len(P.SEARCH_BATCH)})::INT + 1]::BIGINT AS batch_size,
-               [{', '.join(str(v) for v in P.SEARCH_NODES)}][floor({_u('nodes')} * {len(P.SEARCH_NODES)})::INT + 1]::BIGINT AS lstm_nodes,
-               round({P.SEARCH_DROPOUT[0]!r} + {_u('dropout')} * {P.SEARCH_DROPOUT[1] - P.SEARCH_DROPOUT[0]!r}, 9) AS dropout,
-               round(exp({_LN_WD[0]!r} + {_u('wd')} * {_LN_WD[1]!r}), 12) AS weight_decay
-        FROM t"""),
+    "testcase_members": with_ctes(CORPUS, FILES, body="SELECT test_case_id, path FROM files"),
+    "first_functions": with_ctes(*FUNCTION_CHAIN, ("r", """SELECT test_case_id, path, start_line, name,
+                row_number() OVER (PARTITION BY test_case_id ORDER BY path, start_line, name) AS rank FROM functions"""),
+        body="SELECT test_case_id, path, start_line, name, rank FROM r WHERE rank <= 3"),
+    "audit_rejects": with_ctes(CORPUS, body=f"""SELECT file_id, path, {_rust_lines('content')} AS lines_before, {_rust_lines(STRIP_NL)} AS lines_after
+        FROM corpus WHERE {_rust_lines('content')} <> {_rust_lines(STRIP_NL)}"""),
+    "exact_split": with_ctes(*CUR, ("r", f"""SELECT file_id, row_number() OVER (ORDER BY {_h("'split' || file_id")}, file_id) AS rn,
+                count(*) OVER () AS n FROM win"""), body="""
+        SELECT file_id, CASE WHEN rn <= ceil(n * 20 / 100) THEN 'test' ELSE 'train' END AS split FROM r"""),
 })

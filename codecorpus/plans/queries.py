@@ -27,6 +27,11 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return virtual_corpus(table(spark, sf, "documents"))
 
 
+def long_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Curation input: files that hold whole windows."""
+    return virtual_corpus(table(spark, sf, "documents"), long=True)
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """Mining input: documents are placed by file first, so deriving the
     corpus is spread over all tasks and the mining shuffle by file_id is
@@ -84,6 +89,13 @@ def q_comment_audit(spark, sf):
     )
 
 
+def q_audit_rejects(spark, sf):
+    """Files whose line count the newline-keeping stripper changes."""
+    out = corpus(spark, sf).select("file_id", "path", tx.rust_line_count("content").cast("bigint").alias("lines_before"),
+                                   tx.rust_line_count(tx.strip_keep_newlines("content")).cast("bigint").alias("lines_after"))
+    return out.filter(F.col("lines_before") != F.col("lines_after"))
+
+
 # --- step 2: grouping -------------------------------------------------------
 def q_testcase_groups(spark, sf):
     return grouping.testcase_groups(catalog(spark, sf))
@@ -93,6 +105,10 @@ def q_testcase_limit(spark, sf):
     return grouping.testcase_limit(catalog(spark, sf), 5)
 
 
+def q_testcase_members(spark, sf):
+    return grouping.testcase_members(catalog(spark, sf))
+
+
 def q_file_counts(spark, sf):
     return grouping.file_counts(catalog(spark, sf))
 
@@ -105,6 +121,11 @@ def q_functions(spark, sf):
     )
 
 
+def q_first_functions(spark, sf):
+    f = functions_df(spark, sf).select("test_case_id", "path", *_long("start_line"), "name")
+    return grouping.first_k(f, ["test_case_id"], ["path", "start_line", "name"], 3).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def q_function_names(spark, sf):
     return labels.function_names(extracted_df(spark, sf))
 
@@ -141,15 +162,12 @@ def _fn_stat(op):
 
 
 # --- step 5: curation -------------------------------------------------------
-DRIVER_WINDOW = 8  # W for driver queries: the prose is short (see FIXTURES.md)
-
-
 def flaws_df(spark, sf):
-    return mf.manifest_flaws(mf.parse_manifest_strings(mf.manifest_from_corpus(corpus(spark, sf))))
+    return mf.manifest_flaws(mf.parse_manifest_strings(mf.manifest_from_corpus(long_corpus(spark, sf))))
 
 
 def testcase_df(spark, sf):
-    return curate.testcase_table(curate.ingest_files(corpus(spark, sf)), flaws_df(spark, sf))
+    return curate.testcase_table(curate.ingest_files(long_corpus(spark, sf)), flaws_df(spark, sf))
 
 
 def cases_df(spark, sf):
@@ -157,7 +175,7 @@ def cases_df(spark, sf):
 
 
 def windows_df(spark, sf):
-    return windows.line_windows(cases_df(spark, sf), DRIVER_WINDOW)
+    return windows.line_windows(cases_df(spark, sf))
 
 
 def split_windows_df(spark, sf):
@@ -182,7 +200,7 @@ def q_prefix_split(spark, sf):
 def q_pk_violations(spark, sf):
     cases = cases_df(spark, sf)
     return curate.key_violations(cases, ["model_id", "file_name"], "Cases").unionByName(
-        curate.key_violations(windows.line_windows(cases, DRIVER_WINDOW), ["file_name"], "VLW2"))
+        curate.key_violations(windows.line_windows(cases), ["file_name"], "VLW2"))
 
 
 def q_class_histogram(spark, sf):
@@ -199,8 +217,12 @@ def q_hash_split(spark, sf):
     return split_windows_df(spark, sf).select("file_id", "file_name", F.col("model_id").cast("bigint").alias("model_id"), "split")
 
 
+def q_exact_split(spark, sf):
+    return windows.hash_split(windows_df(spark, sf).select("file_id"), ["file_id"], exact=True)
+
+
 def tokens_df(spark, sf):
-    return features.window_tokens(windows_df(spark, sf), DRIVER_WINDOW)
+    return features.window_tokens(windows_df(spark, sf), P.WINDOW_LINES)
 
 
 def q_vocab(spark, sf):
@@ -225,7 +247,7 @@ def q_token_lengths(spark, sf):
 
 
 def training_df(spark, sf):
-    return features.training_rows(split_windows_df(spark, sf), encoded_df(spark, sf), DRIVER_WINDOW, P.TOKENS_PER_LINE)
+    return features.training_rows(split_windows_df(spark, sf), encoded_df(spark, sf), P.WINDOW_LINES, P.TOKENS_PER_LINE)
 
 
 def q_training_rows(spark, sf):
@@ -235,18 +257,19 @@ def q_training_rows(spark, sf):
 
 
 def q_shape_audit(spark, sf):
-    a = features.shape_audit(training_df(spark, sf), DRIVER_WINDOW, P.TOKENS_PER_LINE)
+    a = features.shape_audit(training_df(spark, sf), P.WINDOW_LINES, P.TOKENS_PER_LINE)
     return a.select(*[F.col(c).cast("bigint").alias(c) for c in a.columns])
 
 
 def q_batches(spark, sf):
-    b = features.batches(training_df(spark, sf), 4)
+    b = features.batches(training_df(spark, sf))
     return b.select("split", "batch_id", *_long("n_rows", "label_pos_sum", "first_file_id"))
 
 
 # --- step 7: vectors ----------------------------------------------------------
 def q_embedding_lookup(spark, sf):
-    return features.token_vectors(tokens_df(spark, sf), table(spark, sf, "embeddings"))
+    t = tokens_df(spark, sf)
+    return features.token_vectors(t, features.vocab(t), table(spark, sf, "embeddings"))
 
 
 def q_mean_pool(spark, sf):
@@ -273,10 +296,6 @@ def q_auroc(spark, sf):
     return a.unionByName(b)
 
 
-def q_search_space(spark, sf):
-    return evaluate.search_space(epochs_df(spark, sf).select("trial").distinct())
-
-
 QUERIES: dict[str, Query] = {
     "lines": q_lines,
     "strip_keep_newlines": q_strip_keep_newlines,
@@ -324,7 +343,9 @@ QUERIES: dict[str, Query] = {
     "bce_epoch": lambda spark, sf: evaluate.bce_batched(scores_df(spark, sf), P.BATCH_SIZE),
     "early_stopping": lambda spark, sf: evaluate.early_stopping(epochs_df(spark, sf)),
     "best_trial": lambda spark, sf: evaluate.best_trial(epochs_df(spark, sf)),
-    "halving_rungs": lambda spark, sf: evaluate.halving_rungs(epochs_df(spark, sf)),
     "learning_curve": lambda spark, sf: evaluate.learning_curve(epochs_df(spark, sf)),
-    "search_space": q_search_space,
+    "testcase_members": q_testcase_members,
+    "first_functions": q_first_functions,
+    "audit_rejects": q_audit_rejects,
+    "exact_split": q_exact_split,
 }

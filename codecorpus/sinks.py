@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codecorpus import schemas
+from codecorpus.session import checkpoint_dir
 
 
 class KeyViolation(ValueError):
@@ -22,13 +25,18 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, location:
 
 def write_checked(df: DataFrame, path: str, key: list[str], partition_by: list[str] | None = None,
                   mode: str = "errorifexists") -> None:
-    """SNK-3/SNK-4: check the key first (a grouped count, partial-aggregated;
+    """SNK-3/SNK-4: compute the rows once into the checkpoint folder, check their
+    key there (a grouped count, partial-aggregated;
     only violating keys ever reach the driver, at most a few), then one write
     job.  Parquet commits per job, so a failed write leaves no partial table."""
-    dup = df.groupBy(*key).count().filter(F.col("count") > 1).limit(5).collect()
+    spark = df.sparkSession
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/load-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    rows = spark.read.schema(df.schema).parquet(stage)
+    dup = rows.groupBy(*key).count().filter(F.col("count") > 1).limit(5).collect()
     if dup:
         raise KeyViolation(f"duplicate key {key}: {[tuple(r) for r in dup]}")
-    w = df.write.mode(mode)
+    w = rows.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -41,7 +49,7 @@ def load_testcases(files: DataFrame, flaws: DataFrame, path: str) -> DataFrame:
 
     rows = testcase_table(files, flaws)
     rows.write.mode("errorifexists").parquet(path)
-    return rows
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def export_training(rows: DataFrame, path: str) -> None:

@@ -15,13 +15,16 @@ from codecorpus.functions.text import count_char
 
 NL = "\n"
 TEMPLATE_NEWLINES = 20  # line breaks the file template adds around the text
+TABLE_LINES = 40  # shortest body of the long form's extra function, a whole window
 
 
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def virtual_corpus(documents: DataFrame) -> DataFrame:
+def virtual_corpus(documents: DataFrame, long: bool = False) -> DataFrame:
+    """One file per document.  The ``long`` form adds a function of 40 to 62
+    statements, so that files hold whole 40-line windows (curation queries)."""
     k = F.col("doc_id")
     n = F.lit(15) + F.floor(k / 24).cast("bigint") % 20
     vv = F.lpad(_s(k % 60), 2, "0")
@@ -45,6 +48,7 @@ def virtual_corpus(documents: DataFrame) -> DataFrame:
         F.lit(NL),
         F.lit('"); // n' + NL + '    say("'),
     )
+    table_lines = (F.lit(TABLE_LINES) + k % 23).cast("int")
     content = F.concat(
         F.lit("/* file "), _s(k), F.lit(NL + "   block */" + NL + "// spaced comment" + NL + "//tight comment" + NL),
         F.lit('#include "x.h"' + NL),
@@ -54,6 +58,8 @@ def virtual_corpus(documents: DataFrame) -> DataFrame:
         F.lit("    if (a) {" + NL + "        call(a);" + NL + "    }" + NL + "    a = 1; a = 2;" + NL
               + "    return a;" + NL + "}" + NL),
         F.lit("static void wrap()" + NL + "{" + NL + "    next(1);" + NL + "}" + NL),
+        *([F.lit("static void table()" + NL + "{" + NL), F.repeat(F.lit("    step(1);" + NL), table_lines),
+           F.lit("}" + NL)] if long else []),
         F.when(k % 5 == 0, F.lit("// end")).otherwise(F.lit("")),
     )
     # The template adds exactly TEMPLATE_NEWLINES line breaks and maps every
@@ -66,7 +72,7 @@ def virtual_corpus(documents: DataFrame) -> DataFrame:
         ext.alias("ext"),
         F.concat(name_stem, ext).alias("file_name"),
         content.alias("content"),
-        (count_char(F.col("text"), NL) + TEMPLATE_NEWLINES).alias("n_lf"),
+        (count_char(F.col("text"), NL) + TEMPLATE_NEWLINES + (table_lines + 3 if long else F.lit(0))).alias("n_lf"),
     )
     location = F.when(F.col("file_id") % 7 == 3, F.lit("9,11")).otherwise(
         _s(F.lit(1) + (F.col("file_id") * 37) % (F.col("n_lf") + 3))
@@ -83,7 +89,8 @@ def virtual_corpus(documents: DataFrame) -> DataFrame:
     )
 
 
-CORPUS_SQL = """
+def _corpus_sql(table: str) -> str:
+    return """
 WITH a AS (
   SELECT doc_id AS k, text, 15 + cast(floor(doc_id / 24) AS bigint) % 20 AS n,
          lpad(cast(doc_id % 60 AS varchar), 2, '0') AS vv,
@@ -108,11 +115,17 @@ c AS (
     || 'int ' || CASE k % 3 WHEN 0 THEN 'helper_badSink' WHEN 1 THEN 'main' ELSE 'goodB2G' END || '(int a) {' || chr(10)
     || '    if (a) {' || chr(10) || '        call(a);' || chr(10) || '    }' || chr(10) || '    a = 1; a = 2;' || chr(10) || '    return a;' || chr(10) || '}' || chr(10)
     || 'static void wrap()' || chr(10) || '{' || chr(10) || '    next(1);' || chr(10) || '}' || chr(10)
-    || CASE WHEN k % 5 = 0 THEN '// end' ELSE '' END AS content
+    || {table}CASE WHEN k % 5 = 0 THEN '// end' ELSE '' END AS content
   FROM b)
 SELECT k AS file_id, '/cases/CWE' || n || '/d' || k || '/' || file_name AS path, file_name, ext, content,
        'CWE-' || n || ': Alpha' AS cwe,
        CASE WHEN k % 7 = 3 THEN '9,11'
             ELSE cast(1 + (k * 37) % (length(content) - length(replace(content, chr(10), '')) + 3) AS varchar) END AS vulnerability_location
 FROM c
-"""
+""".replace("{table}", table)
+
+
+CORPUS_SQL = _corpus_sql("")
+LONG_CORPUS_SQL = _corpus_sql(
+    f"'static void table()' || chr(10) || '{{' || chr(10) || "
+    f"repeat('    step(1);' || chr(10), CAST({TABLE_LINES} + k % 23 AS integer)) || '}}' || chr(10) || ")

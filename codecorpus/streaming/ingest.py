@@ -2,8 +2,8 @@
 
 New source files arriving under a folder are read as a stream of
 ``binaryFile`` rows; every micro-batch goes through the same DataFrame
-functions as the batch job (decode -> mine -> label) and is appended to the
-functions table.  All per-file steps are stateless, so a micro-batch is an
+functions as the batch job (decode -> mine -> label) and becomes its own
+partition of the functions table.  All per-file steps are stateless, so a micro-batch is an
 ordinary batch plan; the checkpoint lives under ``spark.checkpoint.dir``.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from codecorpus.functions import patterns as P
 from codecorpus.operators import functions as fx
 from codecorpus.session import checkpoint_dir
-from codecorpus.sources.files import _glob
+from codecorpus.sources.files import _glob, decode_lenient
 
 
 BINARY_FILE = T.StructType([
@@ -44,10 +44,8 @@ def source_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1
 
 def _mine_batch(out_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-        corpus = batch.select("file_id", "path", text.alias("content"))
-        found = fx.functions(fx.source_files(corpus)).withColumn("batch_id", F.lit(batch_id))
-        found.write.mode("append").parquet(out_path)
+        found = fx.functions(fx.source_files(decode_lenient(batch)))
+        found.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")  # a batch run again replaces its own rows
 
     return run
 

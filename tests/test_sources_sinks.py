@@ -84,3 +84,20 @@ def test_loads_and_exports(spark, tmp_dir):
     tr = spark.createDataFrame([("train", 1, "a.c", [[1, 2]], [1, 0])], schemas.TRAINING)
     sinks.export_training(tr, os.path.join(tmp_dir, "train"))
     assert os.path.isdir(os.path.join(tmp_dir, "train", "split=train"))
+
+
+def test_valid_text_keeps_its_replacement_characters(spark):
+    raw = spark.createDataFrame([(1, "a.c", "x � é\r\n".encode()), (2, "b.c", "�".encode() + b"\xff a\xe2\x82b \xc3\xa9"),
+                                 (3, "c.c", b""), (4, "d.c", None)], "file_id long, path string, content binary")
+    got = {r.file_id: r.content for r in src.decode_lenient(raw).collect()}
+    assert got == {1: "x � é\n", 2: "� ab é", 3: "", 4: None}
+    for bad in (b"\xc0\xaf", b"\xed\xa0\x80z", b"\xf4\x90\x80\x80", "€𝄞".encode() + b"\xf0\x9d"):
+        one = spark.createDataFrame([(1, "a.c", bad)], raw.schema)
+        assert src.decode_lenient(one).head().content == bad.decode("utf-8", "ignore")
+
+
+def test_root_files_stay_out_for_any_spelling_of_the_root(spark, tmp_dir):
+    _tree(tmp_dir)
+    for root in (tmp_dir, tmp_dir + "/", f"file:{tmp_dir}", f"file://{tmp_dir}"):
+        good, _ = src.read_ingest(spark, root)
+        assert sorted(os.path.basename(r.path) for r in good.collect()) == ["CWE1_A_01.c", "CWE1_A_02.java"]

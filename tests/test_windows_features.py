@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from codecorpus.operators import features, windows
+from codecorpus.operators import curate, features, windows
 
 
 def _cases(spark, rows):
@@ -44,3 +44,21 @@ def test_training_rows_shapes(spark):
     assert audit.rows == tr.count() > 0 and audit.bad_seq == 0 and audit.bad_label == 0
     b = features.batches(tr, 4).collect()
     assert all(r.n_rows == 4 for r in b)
+
+
+def test_prefix_split_counts_and_small_languages(spark):
+    rows = [(i, f"CWE1_{i}.c", ".c", f"/r/{i:03d}", f"x{i} // c", "CWE-1", "1") for i in range(25)] + [
+        (100, "CWE1_j.java", ".java", "/r/j", "y", "CWE-1", "1")]
+    t = spark.createDataFrame(rows, "file_id long, file_name string, file_extension string, path string, content string, "
+                                    "cwe string, vulnerability_location string")
+    got = {r.file_id: r.model_id for r in curate.prefix_split(t).collect()}
+    assert [got[i] for i in range(25)] == [0] * 17 + [1] * 5 + [2] * 3   # trunc(70 %), trunc(20 %), the rest
+    assert got[100] == 2                                                  # one file: both counts are 0
+
+
+def test_token_vectors_count_unmatched_tokens_as_zero(spark):
+    toks = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], "file_id long, token string")
+    voc = spark.createDataFrame([("a", 1), ("b", 2)], "token string, token_id long")
+    emb = spark.createDataFrame([(1, [3.0, 6.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in features.token_vectors(toks, voc, emb, 2).collect())
+    assert got == [(1, 0, 3, 2, 2.0), (1, 1, 3, 2, 4.0), (2, 0, 1, 0, 0.0), (2, 1, 1, 0, 0.0)]
