@@ -27,6 +27,7 @@ LAST = (1 << 63) - 1
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 ORDER, KEY = "doc_order", "doc_key"
 ANSWER = f"{ORDER} bigint, {KEY} bigint, kind int, at binary, span binary"
+GROUPED = "part bigint, orders binary, keys binary, sizes binary, at binary"
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
@@ -161,10 +162,11 @@ def packed_schema(names: list[str]) -> str:
                       *(f"{n} binary" for n in names if n != "span")])
 
 
-def shuffled(docs: DataFrame, pack: Callable, solve: Callable, names: list[str]) -> DataFrame:
+def shuffled(docs: DataFrame, pack: Callable, solve: Callable, names: list[str], groups: int = 0) -> DataFrame:
     """Packed windows to their bins, answers back.  ``pack`` maps record batches
     to rows; rows of ``kind >= 0`` are answers already and pass through;
-    ``solve`` turns a bin's windows into answers."""
+    ``solve`` turns a bin's windows into answers; with ``groups`` these leave as one
+    row for each of so many groups of documents (see ``by_document``)."""
     fields = [x.split(" ")[0] for x in packed_schema(names).split(", ")]
     kinds = {"bin": pa.int64(), "kind": pa.int32()}
     schema = pa.schema([(f, kinds.get(f, pa.binary())) for f in fields])
@@ -181,9 +183,36 @@ def shuffled(docs: DataFrame, pack: Callable, solve: Callable, names: list[str])
         for row in frame[known].itertuples(index=False):
             parts.append(pd.DataFrame({ORDER: np.frombuffer(row.orders, "<i8"), KEY: np.frombuffer(row.keys, "<i8"),
                                        "kind": np.int32(row.kind), "at": [row.at], "span": [row.span or b""]}))
-        return pd.concat(parts, ignore_index=True)
-
-    return docs.mapInArrow(mapped, packed_schema(names)).groupBy("bin").applyInPandas(reduced, ANSWER)
+        out = pd.concat(parts, ignore_index=True)
+        return grouped(out, groups) if groups else out
+
+    return docs.mapInArrow(mapped, packed_schema(names)).groupBy("bin").applyInPandas(reduced, GROUPED if groups else ANSWER)
+
+
+def grouped(found: pd.DataFrame, groups: int) -> pd.DataFrame:
+    """Answers packed by group of documents (a hash of the document's key):
+    orders, keys, number of places, and the places one document after another."""
+    of = (found[KEY].to_numpy(np.int64).view(np.uint64) % np.uint64(groups)).astype(np.int64)
+    out = []
+    for group, part in found.groupby(of):
+        sizes = np.array([len(x) // 4 for x in part["at"]], np.int64)
+        out.append((int(group), part[ORDER].to_numpy("<i8").tobytes(), part[KEY].to_numpy("<i8").tobytes(), sizes.tobytes(), b"".join(part["at"])))
+    return pd.DataFrame(out, columns=["part", "orders", "keys", "sizes", "at"])
+
+
+def by_document(packed_answers: DataFrame, name: str) -> DataFrame:
+    """One row per document of grouped answers: its places, sorted, each once."""
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
+        sizes = read("sizes", "<i8")
+        order, key, at = np.repeat(read("orders", "<i8"), sizes), np.repeat(read("keys", "<i8"), sizes), read("at", "<u4")
+        by = np.lexsort((at, key, order))
+        order, key, at = order[by], key[by], at[by]
+        first = np.r_[True, (np.diff(order) != 0) | (np.diff(key) != 0) | (np.diff(at.astype(np.int64)) != 0)][:len(at)]
+        out = answers(order[first], key[first], at[first], None, 0)
+        return out[[ORDER, KEY, "at"]].rename(columns={"at": name})
+
+    return packed_answers.groupBy("part").applyInPandas(merged, f"{ORDER} bigint, {KEY} bigint, `{name}` binary")
 
 
 def as_rows(found: pd.DataFrame, bins: int) -> Iterator[dict]:

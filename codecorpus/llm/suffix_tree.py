@@ -10,7 +10,8 @@ into bins of ``bin_windows`` suffixes.
 A bin holds whole subtrees.  A subtree's internal nodes at depth ``threshold``
 are the sets of suffixes with one path label down to there; an internal node has
 two leaves or more, so these nodes are exactly the repeats, and neighbouring leaves
-that repeat join into maximal repeats when the answers of a document meet.  Only
+that repeat join into maximal repeats when the answers of a document meet (a
+bin answers with one row for a group of documents, not one a document).  Only
 that depth matters for the result, so a path label travels as its 64-bit hash and
 shallower nodes are never built.
 
@@ -114,8 +115,8 @@ def bins_of(counts: np.ndarray, bin_windows: int) -> tuple[np.ndarray, int]:
 
 def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD,
             bin_windows: int = BIN_WINDOWS, cells: int = CELLS) -> tuple[DataFrame, str]:
-    """``docs`` and an array of packed first words of the windows to remove, and
-    that column's name."""
+    """``docs`` and the packed first words of the windows to remove, and that
+    column's name."""
     keyed = X.keyed(docs, text, doc_id)
     narrow = keyed.select(F.col(text).alias("text"), X.ORDER, X.KEY)
     counts = prefix_counts(narrow, threshold, cells)
@@ -144,13 +145,13 @@ def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
         return X.answers(order[gone], key[gone], at[gone], None, 0)
 
     name = fresh(docs, "repeat_at")
-    found = X.shuffled(narrow, pack, solve, ["path"]).groupBy(X.ORDER, X.KEY).agg(F.collect_set("at").alias(name))
+    found = X.by_document(X.shuffled(narrow, pack, solve, ["path"], groups=bins), name)
     joined = keyed.join(found, [X.ORDER, X.KEY], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(name), F.array().cast("array<binary>")).alias(name)), name
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(name), F.lit(b"")).alias(name)), name
 
 
-def kept_words(words: list[bytes], found, threshold: int) -> list[bytes]:
-    at = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+def kept_words(words: list[bytes], found: bytes, threshold: int) -> list[bytes]:
+    at = np.frombuffer(found, "<u4").astype(np.int64)
     if not len(at):
         return words
     cover = np.zeros(len(words) + 1, np.int64)
