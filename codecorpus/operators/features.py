@@ -152,17 +152,16 @@ def attention_weights(dim: int = 64) -> list[float]:
 def attention_pool(embeddings: DataFrame, key: str = "label", weights: list[float] | None = None) -> DataFrame:
     """AGG-17 + WIN-8 + MTH-5: score = <v, w>, softmax over the rows of a
     group, pooled value = sum of weight * v per dimension.  The softmax is two
-    grouped aggregations (max, then sums), never a window over a group."""
+    grouped aggregations (max, then sums), never a window over a group; the
+    normaliser is summed beside the values, over the rows that have the dimension."""
     w = weights or attention_weights()
     warr = F.array(*[F.lit(float(x)) for x in w])
     scored = embeddings.select(
-        key, "vec_id", "embedding",
+        key, "embedding",
         F.aggregate(F.zip_with("embedding", warr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x).alias("s"),
     )
     mx = scored.groupBy(key).agg(F.max("s").alias("m"))
     e = scored.join(mx, key).withColumn("e", F.exp(F.col("s") - F.col("m")))
-    den = e.groupBy(key).agg(F.sum("e").alias("z"))
-    num = e.select(key, "e", F.posexplode("embedding").alias("dim", "x")).groupBy(key, "dim").agg(
-        F.sum(F.col("e") * F.col("x")).alias("num"))
-    return num.join(den, key).select(
-        key, F.col("dim").cast("bigint").alias("dim"), F.round(F.col("num") / F.col("z"), 5).alias("value"))
+    pooled = e.select(key, "e", F.posexplode("embedding").alias("dim", "x")).groupBy(key, "dim").agg(
+        (F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("value"))
+    return pooled.select(key, F.col("dim").cast("bigint").alias("dim"), F.round("value", 5).alias("value"))

@@ -65,7 +65,8 @@ def exploded_lines(files: DataFrame, with_file_row: bool = False) -> DataFrame:
     delta ``d``, the running balance ``c`` after the line and the look-ahead
     flags.  With ``with_file_row`` an extra row ``i = -1`` carries the whole
     text and the file metadata (``d = 0``), so later per-file steps need no join
-    back to the file table."""
+    back to the file table; the lines' own text ends here as the header ``name``
+    they hold, so it is not sorted."""
     none_s = F.lit(None).cast("string")
     pieces = split_lines(F.col("content"))
     if with_file_row:
@@ -85,6 +86,9 @@ def exploded_lines(files: DataFrame, with_file_row: bool = False) -> DataFrame:
     real = F.col("i") >= 0
     d = F.when(real, count_char(F.col("line"), "{") - count_char(F.col("line"), "}")).otherwise(F.lit(0))
     lines = lines.withColumn("d", d).withColumn("has_open", real & F.col("line").contains("{"))
+    if with_file_row:
+        lines = lines.withColumn("name", F.when(real, _header_name()).otherwise(F.lit("")))
+        lines = lines.withColumn("line", F.when(~real, F.col("line")))
     w = Window.partitionBy("file_id").orderBy("i")
     return (
         lines.withColumn("c", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -129,8 +133,7 @@ def _kinds(lines: DataFrame) -> DataFrame:
         .when(F.col("off") == 1, F.col("c"))
         .otherwise(F.col("c_next"))
     )
-    named = lines.withColumn("name", F.when(F.col("i") >= 0, _header_name()).otherwise(F.lit("")))
-    named = named.withColumn("off", F.when(F.col("name") != "", offset)).withColumn("t", target)
+    named = lines.withColumn("off", F.when(F.col("name") != "", offset)).withColumn("t", target)
 
     def row(kind, v, pos, name=None, start=None, text=None, meta=False):
         none_s = F.lit(None).cast("string")
@@ -185,17 +188,17 @@ def _resolve(per_file: DataFrame) -> DataFrame:
     """Step 4: C/C++/Java keep a candidate only when it starts after the end of
     the last kept one (the reference resumes scanning there); C# keeps all.  The
     fold runs over one file's candidates, i.e. at most its header lines."""
-    keep_all = F.col("language") == "cs"
     init = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{_FN}>").alias("kept"))
     folded = F.aggregate(
         F.array_sort(F.col("cands")),
         init,
         lambda acc, x: F.when(
-            keep_all | (x["start_line"] > acc["last"]),
+            x["start_line"] > acc["last"],
             F.struct(x["end_line"].alias("last"), F.array_append(acc["kept"], x).alias("kept")),
         ).otherwise(acc),
     )
-    return per_file.withColumn("kept", folded["kept"])
+    all_kept = F.array_sort(F.col("cands")).cast(f"array<{_FN}>")
+    return per_file.withColumn("kept", F.when(F.col("language") == "cs", all_kept).otherwise(folded["kept"]))
 
 
 def trivial_flag(body) -> F.Column:

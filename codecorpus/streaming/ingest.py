@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codecorpus.functions import patterns as P
 from codecorpus.operators import functions as fx
-from codecorpus.session import checkpoint_dir
 from codecorpus.sources.files import _glob, decode_lenient
 
 
@@ -50,10 +49,17 @@ def _mine_batch(out_path: str):
     return run
 
 
-def ingest(spark: SparkSession, root: str, out_path: str, name: str = "ingest") -> StreamingQuery:
+def ingest(spark: SparkSession, root: str, out_path: str, name: str = "ingest", checkpoint: str | None = None) -> StreamingQuery:
     """Process every file present now (``availableNow``) and stop; rerunning
-    picks up only files that arrived since (tracked by the checkpoint)."""
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
+    picks up only files that arrived since (tracked by the checkpoint).  The
+    checkpoint folder is ``checkpoint``, else below ``spark.checkpoint.dir``;
+    without either a restart would read everything again, so that is an error."""
+    ckpt = checkpoint
+    if ckpt is None:
+        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("a stream needs spark.checkpoint.dir or a checkpoint folder")
+        ckpt = os.path.join(shared, "streams", name)
     return (
         source_stream(spark, root).writeStream.foreachBatch(_mine_batch(out_path))
         .option("checkpointLocation", ckpt).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 import os
 import random
-import uuid
+
+import pytest
 
 from codecorpus.operators import evaluate
 from codecorpus.streaming.early_stop import early_stop_stream
@@ -37,11 +38,14 @@ def test_incremental_ingest(spark, tmp_dir):
     with open(os.path.join(root, "CWE1", "CWE1_A_01_bad.c"), "w") as f:
         f.write("void bad()\n{\n  a = 1; b = 2; c = 3;\n}\n")
     out = os.path.join(tmp_dir, "functions")
-    name = "ingest-" + uuid.uuid4().hex
-    ingest(spark, root, out, name).awaitTermination(240)
+    ckpt = os.path.join(tmp_dir, "ingest-ckpt")
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            ingest(spark, root, out)
+    ingest(spark, root, out, checkpoint=ckpt).awaitTermination(240)
     assert [r.name for r in spark.read.parquet(out).collect()] == ["bad"]
     with open(os.path.join(root, "CWE1", "CWE1_A_01_good.java"), "w") as f:
         f.write("public void good() {\n  x = 1; y = 2; z = 3;\n}\n")
-    ingest(spark, root, out, name).awaitTermination(240)
+    ingest(spark, root, out, checkpoint=ckpt).awaitTermination(240)
     names = sorted(r.name for r in spark.read.parquet(out).collect())
     assert names == ["bad", "good"]   # the first file is not processed again
