@@ -3,10 +3,10 @@
 1. A character trigram model is counted over the words of the whole corpus (counts
    in a fixed number of hashed cells; every task adds up its own, Spark the rest).
 2. Pieces of text that look disguised - letters mixed with look-alike digits and
-   signs, letters three times or more in a row, letters with separators between
-   them - become lattices: a look-alike may stand for several letters, a repeated
-   letter or a separator may be noise, a space in a row of single letters may be a
-   word's end.  Viterbi decoding under the trigram model with channel costs picks the
+   signs, letters three times or more in a row, letters or look-alikes with
+   separators between them - become lattices: a look-alike may stand for several
+   letters, a repeated letter or a separator may be noise, a space in a row of single
+   letters and a look-alike before or after all letters may be a word's end.  Viterbi decoding under the trigram model with channel costs picks the
    likeliest reading, which replaces the piece.
 3. The restored text is scored by its words and word beginnings: those that labelled
    toxic documents hold much more often than others carry their log odds; a
@@ -52,12 +52,17 @@ LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
 SEPARATORS = " .-_~'"
 COST = {"look": 0.7, "star": 2.0, "drop": 0.5, "repeat": 0.3, "double": 3.0, "keep": 0.0, "end": 0.5}
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, and letters or digits, and whatever may stand for a letter; none of them is a separator.
+_L, _A, _X = r"[^\W\d_]", r"[^\W_]", r"[^\W_]|[@$!|+*#(<]"
+#: A piece ends before white space and before any sign that is no look-alike.
 DISGUISED = re.compile(
-    r"(?<!\S)[^\w\s]*(?:"
-    r"(?=\S*[^\W\d_])(?:[^\W_]*[^\W\d_][0-9@$!|+*#(<]+[^\W\d_][\w@$!|+*#(<]*|[0-9@$!|+]+[^\W\d_][\w@$!|+*#(<]*)"  # look-alikes
-    r"|\w*([^\W\d_])\1\1\w*"                                                                                  # repeated
-    r"|[^\W\d_](?:[ .\-_~'][^\W\d_0-9]?[^\W\d_@$!|+]?(?![^\s.\-_~'])){3,}"                                    # separated
-    r")(?=[^\w\s]*(?:\s|$))")
+    # separated: two repeats or more of one letter or look-alike, three or more with double letters; one real letter at least
+    rf"(?<!{_A})(?<!{_A}')(?=(?:(?:\d|[@$!|+*#(<]|{_L}{_L})(?!{_A})[ .\-_~']++)*+{_L}(?!{_A}))(?:{_X})(?!{_A})"
+    rf"(?:(?:[ .\-_~']++(?:{_L}{_L}|{_X})(?!{_A})){{3,}}|(?:[ .\-_~']++(?:{_X})(?!{_A})){{2,}})"
+    # look-alikes among letters, at either end too
+    rf"|(?<![\w@$!|+*#(<])_*+(?:{_L}[^\W0-9]*+[0-9@$!|+*#(<]|[0-9@$!|+*#(<][0-9@$!|+*#(<_]*+{_L})[\w@$!|+*#(<]*+"
+    # repeated
+    rf"|(?<!\w)\w*({_L})\1\1\w*")
 
 
 def cell(s: str) -> int:
@@ -127,6 +132,8 @@ class Restorer:
     def lattice(self, piece: str) -> list[list[tuple[str, float]]]:
         """What each character may stand for ('' for noise), with channel costs."""
         out = []
+        first = next((i for i, c in enumerate(piece) if c.isalpha()), 0)
+        last = next((i for i in range(len(piece) - 1, -1, -1) if piece[i].isalpha()), len(piece))
         for i, c in enumerate(piece):
             inner = 0 < i < len(piece) - 1
             options = []
@@ -139,7 +146,9 @@ class Restorer:
                 options += [(x, COST["star"] if c in "*#" else COST["look"]) for x in LOOKALIKE[c]]
                 if not c.isdigit() or i and piece[i - 1] == c:
                     options.append(("", COST["drop"] if not inner else COST["star"]))
-            elif c == " ":
+                if not first <= i <= last:  # a number or a sign beside a whole word
+                    options.append((" ", COST["end"]))
+            elif c in " _":
                 options += [(" ", COST["end"]), ("", COST["drop"])]
             else:
                 options.append(("", COST["drop"] if c in SEPARATORS else 0.0))
@@ -177,7 +186,7 @@ class Restorer:
     def restored(self, text: str) -> str:
         """The text, lower case, with its disguised pieces read back."""
         def one(m: re.Match) -> str:
-            piece = m.group(0).strip(".,;:?\"'()[]{}")
+            piece = m.group(0)
             if piece not in self.seen:
                 if len(self.seen) >= 100_000:
                     self.seen.clear()

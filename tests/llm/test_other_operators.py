@@ -145,6 +145,24 @@ def test_restoration(spark, piece, want):
     assert r.restored("plain words stay, 1234 too") == "plain words stay, 1234 too"
 
 
+@pytest.mark.parametrize("written,want", [
+    ("s 7 u p 1 d", "stupid"), ("m.0.r.0.n", "moron"), ("m-0-r-0-n", "moron"), ("1 d i 0 t", "idiot"), ("t r a $ h", "trash"), ("5 c u m", "scum"),
+    ("s c u m, and", "scum, and"), ("s.c.u.m, and", "scum, and"), ("s c u m; and", "scum; and"), ("a s s", "ass"), ("a.s.s", "ass"), ("m_0_r_0_n", "moron"),
+    ("idio7", "idiot"), ("idio+", "idiot"), ("idio7, and", "idiot, and"), ("<lown", "clown"), ("(lown", "clown"), ("(l0wn", "clown"), ("<l0wn", "clown"),
+    ("m0r0n-like", "moron-like"), ("you/m0r0n", "you/moron"), ("m0r0n/trash", "moron/trash"), ("stuuupid-like", "stupid-like"), ("'m0r0n'", "'moron'"),
+    ("idiot1", "idiot"), ("moron99", "moron"), ("2idiot", "idiot"), ("(idiot", "idiot"), ("idiot!!!", "idiot"), ("stupid+", "stupid"),
+    ("1 2 3 4", "1 2 3 4"), ("don't, it's 5 o'clock", "don't, it's 5 o'clock")])
+def test_restoration_of_mixed_forms(spark, written, want):
+    """Separators with look-alikes, signs after a piece, either end, compounds; whole words beside numbers and signs stay."""
+    text = " ".join(["idiot moron stupid trash scum ass clown and you other plain words of a text with letters"] * 50)
+    counts = toxicity.character_counts(spark.createDataFrame([(text,)], "text string"))
+    r = toxicity.Restorer(counts)
+    assert r.restored(f"You {written} there") == f"you {want} there"
+    word = max(want.replace("/", " ").replace("-", " ").split(), key=lambda w: w.strip(",;'") in toxicity.marks(text)).strip(",;'")
+    if word in toxicity.marks(text):
+        assert toxicity.evidence(f"Come {written}", r, {word: 4.0}) == 4.0
+
+
 @pytest.mark.parametrize("model", [quality_model.quality, toxicity.toxicity])
 def test_classifiers_on_awkward_rows(spark, model):
     docs = fixtures.documents(spark)
