@@ -170,13 +170,14 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def components(fingerprints: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``fp, first_id, component_id`` for each distinct fingerprint of the rows
-    ``doc_id, fp``; ``first_id``: smallest id that has this fingerprint."""
+    """``fp, first_id, component_id, root`` for each distinct fingerprint of the
+    rows ``doc_id, fp``; ``first_id``: smallest id that has this fingerprint;
+    ``root``: smallest fingerprint of the component."""
     distinct = staged(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     root = staged(roots(links(distinct.select("fp"), radius, bucket_limit)), "simhash-roots")
     rooted = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "first_id", "component_id")
+    return rooted.join(named, "root").select("fp", "first_id", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
@@ -194,9 +195,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     group of copies is spread over all tasks."""
     rows = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash-rows")
     stay = components(rows, radius, bucket_limit).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
-    # an all-null component keeps one fingerprint, the smallest
-    keep = stay.filter("first_id is not null").select("fp", "first_id").union(
-        stay.filter("first_id is null").groupBy("first_id").agg(F.min("fp").alias("fp")).select("fp", "first_id"))
+    # each all-null component keeps one fingerprint, its root
+    keep = stay.filter("first_id is not null or fp = root").select("fp", "first_id")
     fp = fresh(docs, "simhash_fp")
     marked = docs.withColumn(fp, fingerprint(F.col(text), shingle))
     kept = marked.join(keep.select(F.col("fp").alias("__fp"), F.col("first_id").alias("__id")),

@@ -158,6 +158,18 @@ def test_simhash_one_of_each(spark):
     assert simhash.near_duplicates(fixtures.empty(spark)).count() == 0
 
 
+def test_simhash_one_of_each_unlinked_null_ids(spark):
+    """Every component of null ids keeps one row, counted by brute force."""
+    r = np.random.default_rng(9)
+    prose = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 80)) for _ in range(6)]
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[1]), (None, prose[2]), (1, prose[3]), (None, prose[3]), (2, prose[4]), (5, prose[4]), (3, prose[5])]
+    fp = [fingerprint(t) for _, t in rows]
+    assert all((a ^ b).bit_count() > 3 for a in set(fp) for b in set(fp) if a != b)
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, prose[0]), (None, prose[1]), (None, prose[2]), (1, prose[3]), (2, prose[4]), (3, prose[5])]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+
+
 def test_masks_cover_every_three_bits():
     import itertools
 
