@@ -190,7 +190,9 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        ids = self.encode(text or "")
+        return self.ids_digest(self.encode(text or ""))
+
+    def ids_digest(self, ids: list[int]) -> tuple[int, str, str]:
         listed = ",".join(map(self.decimal.__getitem__, ids))
         return (len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest())
 
@@ -240,3 +242,18 @@ def digests(spark: SparkSession, docs: DataFrame, path: str, text: str = "text",
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), udf(F.col(text)).alias("d"))
     return rows.select("doc_id", "d.*")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` and a struct of the token ids and what ``digests`` says of them,
+    each text encoded once, and that column's name."""
+    shared, name = spark.sparkContext.broadcast(load(path)), fresh(docs, "sequence")
+
+    @F.pandas_udf("token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        a = _compiled(shared)
+        ids = [a.encode(t or "") for t in texts]
+        return pd.DataFrame([(x, *a.ids_digest(x)) for x in ids], columns=["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]).astype(
+            {"token_ids": object, "ids_sha256": object, "decoded_sha256": object})
+
+    return docs.withColumn(name, udf(F.col(text))), name

@@ -1,14 +1,18 @@
 """The training-data pipeline: quality rules, near duplicates, repeated passages,
 mixing, tokens.  Each stage is written as Parquet and read again by the next, so
-a stage starts from finished files whatever executors were lost before."""
+a stage starts from finished files whatever executors were lost before.  Readers
+pack files by length, so the order of mixing is taken from the files' numbers and
+the rows' places in them: ``training_rows`` gives it as a column."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codecorpus.llm import bpe, mixing, quality_rules, simhash, suffix_array
+from codecorpus.llm.common import fresh
 from codecorpus.llm.queries import tokenizer_path
 from codecorpus.session import checkpoint_dir
 from codecorpus.sources.tables import table
@@ -35,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the hash of the text decoded from them."""
+    """Hashes of the token ids and of the text decoded from them, and their number
+    (the ids themselves: ``training_rows``)."""
     return bpe.digests(spark, docs, tokenizer_path())
 
 
@@ -51,11 +56,31 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def positioned(files: DataFrame) -> tuple[DataFrame, str]:
+    """A table written in order and read back, with a number that grows in that
+    order (not without gaps: number of the part, of its file, of the row), and its name."""
+    name = fresh(files, "position")
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("bigint")
+    at = F.shiftleft(number(r"^part-(\d+)"), 43) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
+    return files.select("*", at.alias(name)), name
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``position, doc_id, token_ids, n_tokens, ids_sha256, decoded_sha256``:
+    the whole output; ``position`` grows in the order of mixing."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
-    return docs
+    placed, position = positioned(docs)
+    out, sequence = bpe.sequences(spark, placed.select("doc_id", "text", F.col(position).alias("position")), tokenizer_path())
+    out = out.select("position", "doc_id", f"{sequence}.*")
+    out.write.parquet(f"{folder}/{len(STAGES) - 1}")
+    return spark.read.schema(out.schema).parquet(f"{folder}/{len(STAGES) - 1}")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the last stage, rows in the order of mixing."""
+    return training_rows(spark, sf_dir).orderBy("position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codecorpus.llm import html_text, mixing, quality_model, topk, toxicity
-from codecorpus.llm.queries import remainder
+from codecorpus.llm import bpe, html_text, mixing, quality_model, topk, toxicity
+from codecorpus.llm.queries import remainder, tokenizer_path
 from tests.llm import fixtures
 
 SF = "/root/testdata/sf0.01"
@@ -188,3 +188,38 @@ def test_pipeline_stages(spark):
             assert set(b) == set(a) and after.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         before = after
     assert sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())) == sorted(map(tuple, before.collect()))
+
+
+def test_pipeline_keeps_the_order_of_mixing_over_files(spark, tmp_dir, monkeypatch):
+    """Mixing and tokens alone, over several files of unequal length."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["word"] * r.randint(1, 400 if i < 900 else 5)), "abc"[(i % 7 > 1) + (i % 7 > 4)]) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        full = corpus_pipeline.training_rows(spark, tmp_dir).collect()
+        ordered = corpus_pipeline.run(spark, tmp_dir).collect()
+        docs = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+        placed, name = mixing.placed(docs)
+        want = [x.doc_id for x in placed.orderBy(f"{name}.slot", f"{name}.rank", "doc_id").collect()]
+        weights = {x.source: x.weight for x in mixing.target_weights(docs.groupBy("source").agg(F.count("*").alias("n"))).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    full.sort(key=lambda x: x.position)
+    assert len({x.position >> 43 for x in full}) > 2 and len({x.position for x in full}) == len(rows)
+    assert [x.doc_id for x in full] == [x.doc_id for x in ordered] == want
+    assert [tuple(x)[1:] for x in ordered] == [tuple(x)[3:] for x in full]
+    source, text = {x[0]: x[2] for x in rows}, {x[0]: x[1] for x in rows}
+    done, left = dict.fromkeys("abc", 0), {s: sum(x[2] == s for x in rows) for s in "abc"}
+    for n, x in enumerate(full, 1):
+        done[source[x.doc_id]] += 1
+        if any(left[s] - done[s] < 64 for s in "abc"):
+            break
+        assert all(abs(done[s] - n * weights[s] / 1000) < 2 * mixing.BLOCK_ROWS for s in "abc")
+    assert n > 300
+    a = bpe.Automaton(bpe.load(tokenizer_path()))
+    assert all(a.decode(x.token_ids) == text[x.doc_id] and len(x.token_ids) == x.n_tokens for x in full)
