@@ -8,9 +8,11 @@ reader comments) are not read.  Each line has a text-to-tag ratio, characters ov
 tags; the ratios, smoothed by a Gaussian over neighbouring lines, fall into two
 clusters at ``threshold`` standard deviations of the page, content above.
 
-Clusters select regions: where a page marks articles (``article``, ``main``), the
-one that gathers most content, and others with half as much, each whole, so a
-short paragraph of an article is not lost; elsewhere the run from the first to the
+Clusters select regions: where a page marks articles (``article``, ``main``; nested
+ones are part of the outermost), all with content, each whole, so a short paragraph
+of an article is not lost; those inside a part of such a name only with half as much
+as the largest.  A name does not skip an article, or what holds one, unless it names
+comments; elsewhere the run from the first to the
 last content line with all lines of the block elements that hold one, without
 lines that are mostly links.
 
@@ -51,11 +53,33 @@ NAMED = frozenset("ad ads adv advert advertisement advertising sponsor sponsored
                   "skip".split())
 
 
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: First words of names that tell about a part elsewhere ("has-sidebar").
+ABOUT = frozenset("has no with without not hide show".split())
+#: Last words of names that leave the part named before them what it is ("sidebar-left").
+PLACES = frozenset("bar block bottom box button buttons icon icons inner item items left link links list posts right slot text title top unit".split())
+
+
+def named(value: str) -> set[str]:
+    """Parts that the words of a class, id or role name: a word's last part, or any before a place."""
+    out: set[str] = set()
+    for word in value.split():
+        parts = re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", word).lower())
+        if parts and not (len(parts) > 1 and parts[0] in ABOUT):
+            out.update(parts if parts[-1] in PLACES else parts[-1:])
+    return out & NAMED
+
+
 class Lines(HTMLParser):
     """Lines of a page: text, tags, characters in links, region."""
 
-    def __init__(self):
+    def __init__(self, freed: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.freed = freed  # numbers of elements that hold an article: their names skip nothing
+        self.holds: set[int] = set()  # such elements found
+        self.elements = 0
+        self.named: list[tuple[int, int, bool]] = []  # depth, number, comments: open elements of such a name
+        self.beside: set[int] = set()  # regions inside a named element
         self.open: list[tuple[str, bool, int, int]] = []  # element, starts a skipped part, region, block
         self.skip = 0
         self.links = 0
@@ -80,6 +104,8 @@ class Lines(HTMLParser):
 
     def pop(self) -> None:
         tag, skipped, _, _ = self.open.pop()
+        if self.named and self.named[-1][0] == len(self.open):
+            self.named.pop()
         self.skip -= skipped
         self.links -= tag == "a"
 
@@ -103,18 +129,29 @@ class Lines(HTMLParser):
         if tag in REGION:
             while self.open and self.open[-1][0] in ("nav", "header", "footer", "form", "menu", "ul", "li", "a", "p"):
                 self.pop()  # left open
-        skipped = tag in SKIPPED
+        self.elements += 1
+        skipped, names = tag in SKIPPED, set()
         if attrs and not skipped:
             for name, value in attrs:
                 if name == "hidden" or name == "aria-hidden" and value == "true":
                     skipped = True
                 elif name in ("class", "id", "role") and value and tag not in ("html", "body", "main"):
-                    skipped = skipped or not NAMED.isdisjoint(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
+                    names |= named(value)
                 elif name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
                     skipped = True
-        self.regions += tag in REGION
+        if tag in REGION:
+            names &= COMMENTS  # an article is skipped as a comment only
+            if not skipped and not names and not any(comments for _, _, comments in self.named):
+                self.holds.update(number for _, number, _ in self.named)
+        if names and not skipped:
+            self.named.append((len(self.open), self.elements, not names.isdisjoint(COMMENTS)))
+            skipped = self.elements not in self.freed
+        new = tag in REGION and not self.region()  # nested ones belong to the outermost
+        self.regions += new
+        if new and self.named:
+            self.beside.add(self.regions)
         self.blocks += tag in SCOPE
-        self.open.append((tag, skipped, self.regions if tag in REGION else self.region(), self.blocks if tag in SCOPE else self.block()))
+        self.open.append((tag, skipped, self.regions if new else self.region(), self.blocks if tag in SCOPE else self.block()))
         self.skip += skipped
         self.links += tag == "a"
 
@@ -149,11 +186,18 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratio, kernel)[r:r + n] / np.convolve(np.ones(n), kernel)[r:r + n]
 
 
-def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
-    page = Lines()
-    page.feed(html or "")
+def read(html: str, freed: frozenset[int] = frozenset()) -> Lines:
+    page = Lines(freed)
+    page.feed(html)
     page.close()
     page.end_line()
+    return page
+
+
+def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
+    page = read(html or "")
+    if page.holds:
+        page = read(html or "", frozenset(page.holds))
     lines = page.lines
     if not lines:
         return ""
@@ -165,8 +209,8 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     mass = np.bincount(region, np.where(content, size, 0))
     mass[0] = 0
     if mass.max() > 0:
-        best = np.flatnonzero(mass * 2 >= mass.max())
-        keep = np.isin(region, best[best > 0])
+        beside = np.isin(np.arange(len(mass)), list(page.beside))
+        keep = np.isin(region, np.flatnonzero((mass > 0) & (~beside | (mass * 2 >= mass.max()))))
     else:
         linked = np.array([x[2] for x in lines]) > 0.5 * size
         core = np.flatnonzero(content & ~linked)

@@ -99,6 +99,23 @@ def test_pages():
     assert html_text.main_text("just words") == "just words"
 
 
+BODY = "<h1>T</h1><p>A paragraph of the article with words enough to count as content.</p><p>Be.</p>"
+TEXT = "T\nA paragraph of the article with words enough to count as content.\nBe."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div class='has-sidebar'><article>{BODY}</article></div>", TEXT), (f"<div id='page' class='no-sidebar'><article>{BODY}</article></div>", TEXT),
+    (f"<article class='post category-search'>{BODY}</article>", TEXT), (f"<div class='layout widget-area'><article>{BODY}</article></div>", TEXT),
+    (f"<div class='sidebar'><div class='menu'><article>{BODY}</article></div></div>", TEXT),
+    (f"<main><h1>H</h1><p>lead</p><article>{BODY}</article></main>", f"H\nlead\n{TEXT}"),
+    (f"<main><div class='widget'><h1>H</h1><article>{BODY}</article></div><div class='ad'>Buy a lot of this now</div></main>", f"H\n{TEXT}"),
+    (f"<article>{BODY}</article><article><p>A second part, short.</p></article>", f"{TEXT}\nA second part, short."),
+    (f"<div class='has-sidebar'>{BODY}</div><div class='sidebar-left'>Other things to read, a long list of them</div>", TEXT),
+    (f"<article>{BODY}</article><div class='comment-list'><article>{BODY}{BODY}</article></div>", TEXT)])
+def test_pages_with_names_around_articles(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "", "x")],
                                "page_id long, url string, html string, text string")
