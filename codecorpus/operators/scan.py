@@ -34,8 +34,9 @@ _COMBINE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "min": lambda a, b: F.least(a, b),
     "max": lambda a, b: F.greatest(a, b),
+    "xor": lambda a, b: F.coalesce(a, F.lit(0)).bitwiseXOR(F.coalesce(b, F.lit(0))),
 }
-_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max, "xor": F.bit_xor}
 
 
 def prefix_scan(
@@ -48,7 +49,7 @@ def prefix_scan(
     totals_as: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add one column per ``scans`` entry ``name -> (op, expr)`` with op in
-    ``sum|min|max``: the op over all rows of the same group ordered at or
+    ``sum|min|max|xor``: the op over all rows of the same group ordered at or
     before (``inclusive``) or strictly before the row.  ``order_cols`` must
     give a total order within a group (add a unique tie-breaker).
     ``totals_as`` maps a scan name to a column that receives the op over the
