@@ -7,7 +7,21 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, html_text, mixing, quality_model, quality_rules, simhash, suffix_array, suffix_tree, topk, toxicity
+from codecorpus.llm import (
+    bpe,
+    html_text,
+    mixing,
+    prefix_trie,
+    quality_model,
+    quality_rules,
+    simhash,
+    suffix_array,
+    suffix_tree,
+    topk,
+    toxicity,
+    treap,
+    winnowing,
+)
 from codecorpus.sources.tables import table
 
 
@@ -68,6 +82,18 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "source", F.col(f"{name}.*"))
 
 
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return treap.ranked(texts(spark, sf), table(spark, sf, "benchmark"))
+
+
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations")).drop("enter_at", "exit_at")
+
+
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.digests(texts(spark, sf), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1,
     "op2_suffix_array_dedup": op2,
@@ -79,4 +105,7 @@ QUERIES = {
     "op8_quality_classifier": op8,
     "op9_html_extraction": op9,
     "op10_mixing": op10,
+    "op11_ranked_search": op11,
+    "op12_prefix_trie": op12,
+    "op13_decontamination": op13,
 }
