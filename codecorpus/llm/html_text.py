@@ -14,7 +14,9 @@ of an article is not lost; those inside a part of such a name only with half as
 as the largest.  A name does not skip an article, or what holds one, unless it names
 comments; elsewhere the run from the first to the
 last content line with all lines of the block elements that hold one, without
-lines that are mostly links.
+lines that are mostly links.  Nor does a name, or a form, skip what holds most of the
+text of a page without marked articles, unless it names comments or something else
+on the page is content and the whole name is that of a side part.
 
 Defined results: null and empty pages have the empty text; unclosed elements end
 with their parents (a menu left open ends where an article starts); a page without
@@ -25,7 +27,9 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0
 THRESHOLD = 0.5
+#: Times a page is read again to free parts that hold its article.
+REREADS = 6
 #: HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
@@ -70,18 +76,40 @@ def named(value: str) -> set[str]:
     return out & NAMED
 
 
+def plain(value: str) -> bool:
+    """Whether some word of a class, id or role names a part and nothing else ("job-search" does not)."""
+    words = [re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", w).lower()) for w in value.split()]
+    return any(w and set(w) <= NAMED | PLACES and not NAMED.isdisjoint(w) for w in words)
+
+
+class Part(NamedTuple):
+    """A skipped element that may hold the article after all."""
+    number: int  # of the element
+    depth: int
+    comments: bool
+    plain: bool  # named as such a part by a whole word, or a form
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, characters in links, region."""
+    """Lines of a page: text, tags, characters in links, region.  Every end tag
+    finds its element by name, so a page takes time in proportion to its length."""
 
     def __init__(self, freed: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.freed = freed  # numbers of elements that hold an article: their names skip nothing
         self.holds: set[int] = set()  # such elements found
         self.elements = 0
-        self.named: list[tuple[int, int, bool]] = []  # depth, number, comments: open elements of such a name
+        self.named: list[Part] = []  # open elements of such a name, forms
+        self.comments = 0  # of them
+        self.parts_skipped: dict[Part, list[int]] = {}  # characters, and those in links, below the outermost
+        self.outer: Part | None = None
         self.beside: set[int] = set()  # regions inside a named element
-        self.open: list[tuple[str, bool, int, int]] = []  # element, starts a skipped part, region, block
+        self.open: list[tuple[str, int, int, int]] = []  # element, starts a skipped part (1: by a name or a form), region, block
+        self.at: dict[str, list[int]] = {}  # depths of the open elements of a name
+        self.scopes: list[int] = []  # of those in SCOPE
+        self.outline: list[int] = []  # of those not inline
         self.skip = 0
+        self.freeable = 0  # of them by a name or a form
         self.links = 0
         self.regions = 0
         self.blocks = 0
@@ -96,6 +124,10 @@ class Lines(HTMLParser):
     def block(self) -> int:
         return self.open[-1][3] if self.open else 0
 
+    def deepest(self, names) -> int:
+        """Depth of the innermost open element of these names, -1 for none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
@@ -104,11 +136,24 @@ class Lines(HTMLParser):
 
     def pop(self) -> None:
         tag, skipped, _, _ = self.open.pop()
-        if self.named and self.named[-1][0] == len(self.open):
-            self.named.pop()
-        self.skip -= skipped
+        depth = len(self.open)
+        self.at[tag].pop()
+        for stack in (self.scopes, self.outline):
+            if stack and stack[-1] == depth:
+                stack.pop()
+        if self.named and self.named[-1].depth == depth:
+            part = self.named.pop()
+            self.comments -= part.comments
+            if self.outer is part:
+                self.outer = None
+        self.skip -= skipped > 0
+        self.freeable -= skipped == 1
         self.links -= tag == "a"
 
+    def close_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.parts.append(" ")
@@ -119,40 +164,51 @@ class Lines(HTMLParser):
             return
         closes = CLOSED_BY.get(tag)
         if closes:
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in closes:
-                    while len(self.open) > at:
-                        self.pop()
-                    break
-                if self.open[at][0] in SCOPE:
-                    break
+            # a table cell ends its own kind, an item its own list's
+            if (depth := self.deepest(closes)) > (self.scopes[-1] if self.scopes else -1):
+                self.close_to(depth)
         if tag in REGION:
             while self.open and self.open[-1][0] in ("nav", "header", "footer", "form", "menu", "ul", "li", "a", "p"):
                 self.pop()  # left open
         self.elements += 1
-        skipped, names = tag in SKIPPED, set()
+        skipped, names, whole = 2 * (tag in SKIPPED and tag != "form"), set(), tag == "form"
         if attrs and not skipped:
             for name, value in attrs:
                 if name == "hidden" or name == "aria-hidden" and value == "true":
-                    skipped = True
+                    skipped = 2
                 elif name in ("class", "id", "role") and value and tag not in ("html", "body", "main"):
-                    names |= named(value)
+                    found = named(value)
+                    names |= found
+                    whole = whole or bool(found) and plain(value)
                 elif name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
-                    skipped = True
+                    skipped = 2
         if tag in REGION:
             names &= COMMENTS  # an article is skipped as a comment only
-            if not skipped and not names and not any(comments for _, _, comments in self.named):
-                self.holds.update(number for _, number, _ in self.named)
-        if names and not skipped:
-            self.named.append((len(self.open), self.elements, not names.isdisjoint(COMMENTS)))
-            skipped = self.elements not in self.freed
+            if not skipped and not names and not self.comments:
+                for part in reversed(self.named):
+                    if part.number in self.holds:
+                        break
+                    self.holds.add(part.number)
+        if (names or tag == "form") and not skipped:
+            part = Part(self.elements, len(self.open), not names.isdisjoint(COMMENTS), whole)
+            self.named.append(part)
+            self.comments += part.comments
+            skipped = int(self.elements not in self.freed)
+            if skipped and not self.skip:
+                self.outer = part
         new = tag in REGION and not self.region()  # nested ones belong to the outermost
         self.regions += new
         if new and self.named:
             self.beside.add(self.regions)
         self.blocks += tag in SCOPE
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
+        if tag not in INLINE:
+            self.outline.append(len(self.open))
         self.open.append((tag, skipped, self.regions if new else self.region(), self.blocks if tag in SCOPE else self.block()))
-        self.skip += skipped
+        self.skip += skipped > 0
+        self.freeable += skipped == 1
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -164,19 +220,21 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                while len(self.open) > at:
-                    self.pop()
-                break
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                break  # an inline end does not close blocks
+        depth = self.deepest((tag,))
+        # an inline end does not close blocks
+        if depth >= 0 and not (tag in INLINE and self.outline and self.outline[-1] > depth):
+            self.close_to(depth)
 
     def handle_data(self, data):
         if not self.skip:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
+        elif self.outer and self.skip == self.freeable:
+            mass = self.parts_skipped.setdefault(self.outer, [0, 0])
+            size = len(data) - data.count(" ")
+            mass[0] += size
+            mass[1] += size if self.links else 0
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -188,16 +246,37 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 def read(html: str, freed: frozenset[int] = frozenset()) -> Lines:
     page = Lines(freed)
-    page.feed(html)
+    # what begins after the last end of a tag is no tag: the parser would look for its end from each "<"
+    end = html.rfind(">") + 1
+    page.feed(html[:end])
     page.close()
+    page.handle_data(unescape(html[end:]))
     page.end_line()
     return page
 
 
+def held(page: Lines) -> set[int]:
+    """Skipped elements that are no side part: without marked articles, one that has
+    most of the page's text, not in links, if its name is none ("job-search") or nothing
+    else on the page is content (a form around the page)."""
+    if any(region for *_, region, _ in page.lines):
+        return set()
+    read_size = sum(len(x[0]) - x[0].count(" ") - min(x[2], len(x[0])) for x in page.lines)
+    total = read_size + sum(size for part, (size, _) in page.parts_skipped.items() if not part.comments)
+    return {part.number for part, (size, linked) in page.parts_skipped.items()
+            if not part.comments and linked * 2 <= size and size * 2 > total and (not part.plain or read_size * 10 <= size)}
+
+
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     page = read(html or "")
-    if page.holds:
-        page = read(html or "", frozenset(page.holds))
+    freed: set[int] = set()
+    # parts inside each other are freed one after another, a few deep
+    for _ in range(REREADS):
+        found = (page.holds | held(page)) - freed
+        if not found:
+            break
+        freed |= found
+        page = read(html or "", frozenset(freed))
     lines = page.lines
     if not lines:
         return ""
