@@ -54,15 +54,20 @@ COST = {"look": 0.7, "star": 2.0, "drop": 0.5, "repeat": 0.3, "double": 3.0, "ke
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters, and letters or digits, and whatever may stand for a letter; none of them is a separator.
 _L, _A, _X = r"[^\W\d_]", r"[^\W_]", r"[^\W_]|[@$!|+*#(<]"
+#: Separated: two repeats or more of one letter or look-alike, three or more with double letters.  A run
+#: is found once and read if a letter stands alone in it.
+_RUN = rf"(?<!{_A})(?<!{_A}')(?:{_X})(?!{_A})(?:(?:[ .\-_~']++(?:{_L}{_L}|{_X})(?!{_A})){{3,}}|(?:[ .\-_~']++(?:{_X})(?!{_A})){{2,}})"
+_ALONE = re.compile(rf"(?<!{_A}){_L}(?!{_A})")
 #: A piece ends before white space and before any sign that is no look-alike.
-DISGUISED = re.compile(
-    # separated: two repeats or more of one letter or look-alike, three or more with double letters; one real letter at least
-    rf"(?<!{_A})(?<!{_A}')(?=(?:(?:\d|[@$!|+*#(<]|{_L}{_L})(?!{_A})[ .\-_~']++)*+{_L}(?!{_A}))(?:{_X})(?!{_A})"
-    rf"(?:(?:[ .\-_~']++(?:{_L}{_L}|{_X})(?!{_A})){{3,}}|(?:[ .\-_~']++(?:{_X})(?!{_A})){{2,}})"
+_MIXED = (
     # look-alikes among letters, at either end too
-    rf"|(?<![\w@$!|+*#(<])_*+(?:{_L}[^\W0-9]*+[0-9@$!|+*#(<]|[0-9@$!|+*#(<][0-9@$!|+*#(<_]*+{_L})[\w@$!|+*#(<]*+"
+    rf"(?<![\w@$!|+*#(<])_*+(?:{_L}[^\W0-9]*+[0-9@$!|+*#(<]|[0-9@$!|+*#(<][0-9@$!|+*#(<_]*+{_L})[\w@$!|+*#(<]*+"
     # repeated
     rf"|(?<!\w)\w*({_L})\1\1\w*")
+DISGUISED = re.compile(rf"(?P<run>{_RUN})|" + _MIXED.replace(r"\1", r"\2"))
+MIXED = re.compile(_MIXED)
+#: Characters of a piece that are read together (the reading so far is then settled), and of one that is remembered.
+STRETCH, REMEMBERED = 512, 64
 
 
 def cell(s: str) -> int:
@@ -159,7 +164,8 @@ class Restorer:
         """The likeliest reading of one piece (lower case)."""
         best: dict[str, tuple[float, int]] = {"  ": (0.0, -1)}
         trace: list[tuple[int, str]] = []  # (earlier entry, character)
-        for options in self.lattice(piece):
+        settled: list[str] = []
+        for place, options in enumerate(self.lattice(piece), 1):
             after: dict[str, tuple[float, int, str]] = {}
             for state, (score, entry) in best.items():
                 for c, cost in options:
@@ -176,17 +182,30 @@ class Restorer:
                     trace.append((entry, c))
                     entry = len(trace) - 1
                 best[to] = (s, entry)
+            if place % STRETCH == 0:
+                state = min(best, key=lambda x: (best[x][0], x))
+                settled.append(self._spelt(trace, best[state][1]))
+                best, trace = {state: (0.0, -1)}, []
         end = min(best.items(), key=lambda x: (x[1][0] + (self.cost(x[0] + " ") if x[0] != "  " else 0.0), x[0]))
-        out, entry = [], end[1][1]
+        settled.append(self._spelt(trace, end[1][1]))
+        return " ".join("".join(settled).split())
+
+    @staticmethod
+    def _spelt(trace: list[tuple[int, str]], entry: int) -> str:
+        out = []
         while entry >= 0:
             entry, c = trace[entry]
             out.append(c)
-        return " ".join("".join(reversed(out)).split())
+        return "".join(reversed(out))
 
     def restored(self, text: str) -> str:
         """The text, lower case, with its disguised pieces read back."""
         def one(m: re.Match) -> str:
             piece = m.group(0)
+            if m.re is DISGUISED and m["run"] and not _ALONE.search(piece):
+                return MIXED.sub(one, piece)
+            if len(piece) > REMEMBERED:
+                return self.read(piece)
             if piece not in self.seen:
                 if len(self.seen) >= 100_000:
                     self.seen.clear()
