@@ -14,8 +14,8 @@ as Python integers (a score outside 64 bits is set to the nearest such value).
 Defined results: vectors that are null or hold a null or a non-finite component
 take no part; missing components of a shorter vector count as 0; a null id is no
 query, and comes last among equal scores; all rows of a query's own id are its
-own and never its candidates, and rows repeated with one id and vector count once;
-an empty table gives an empty result.
+own and never its candidates; rows repeated with one id and vector are one query,
+and as many candidates as there are rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ LAST = (1 << 63) - 1
 
 
 def whole_numbers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``vec_id`` (null: the largest long) and ``vec``, packed doubles."""
+    """``vec_id`` (null: the largest long), ``vec``, packed doubles, and ``n``, rows
+    that have both."""
     fine = F.col(embedding).isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(fine).select(F.coalesce(F.col(vec_id).cast("bigint"), F.lit(LAST)).alias("vec_id"), F.col(embedding).alias("embedding"))
 
@@ -45,7 +46,7 @@ def whole_numbers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "
         for b in batches:
             yield pd.DataFrame({"vec_id": b["vec_id"], "vec": [np.floor(np.asarray(e, np.float64) * scale).tobytes() for e in b["embedding"]]})
 
-    return rows.mapInPandas(pack, "vec_id bigint, vec binary").dropDuplicates(["vec_id", "vec"])
+    return rows.mapInPandas(pack, "vec_id bigint, vec binary").groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matrix(vecs: pd.Series, dim: int) -> np.ndarray:
@@ -61,7 +62,7 @@ def tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     rows = rows.sort_values("vec_id", kind="stable")
     dim = max(len(v) // 8 for part in (queries["vec"], rows["vec"]) for v in part)
     q, c = _matrix(queries["vec"], dim), _matrix(rows["vec"], dim)
-    ids, n = rows["vec_id"].to_numpy(), len(rows)
+    ids, n, copies = rows["vec_id"].to_numpy(), len(rows), np.minimum(rows["n"].to_numpy(), k)
     bound = dim * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0))
     out = []
     for a in range(0, len(q), 256):  # a strip of the tile at a time
@@ -78,7 +79,7 @@ def tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
                 live = live[np.argpartition(row[live], len(live) - k)[-k:]]
             elif len(live) > k:
                 live = np.array(sorted(live, key=lambda j: -row[j])[:k])
-            out += [(own[i], ids[j], int(row[j]) // n) for j in live]
+            out += [x for j in live for x in [(own[i], ids[j], int(row[j]) // n)] * copies[j]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
@@ -94,9 +95,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
     asked = rows.filter(queries & (F.col("vec_id") != LAST))
     n_rows, n_asked = rows.count(), asked.count()
     blocks, shards = max(1, -(-n_asked // query_block)), max(partitions(vectors), -(-n_rows // shard))
-    cell = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    # by id and vector: one id, or none, may stand at many rows
+    cell = lambda n, seed: F.pmod(F.xxhash64("vec_id", "vec", F.lit(seed)), F.lit(n)).cast("int")
     left = asked.select("vec_id", "vec", cell(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = rows.select("vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), cell(shards, 2).alias("shard"))
+    right = rows.select("vec_id", "vec", "n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), cell(shards, 2).alias("shard"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
