@@ -190,15 +190,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
                 radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """The document of the smallest id of each component, own columns; of rows
-    repeated with that id and fingerprint one.  The join key holds the id, so a
-    group of copies is spread over all tasks."""
+    """One row of each component, own columns: of its smallest id, then smallest
+    fingerprint, then any of the rows repeated with both (only null ids: smallest
+    fingerprint).  The join key holds the id, so a group of copies is spread over all
+    tasks."""
     rows = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash-rows")
-    stay = components(rows, radius, bucket_limit).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
-    # each all-null component keeps one fingerprint, its root
-    keep = stay.filter("first_id is not null or fp = root").select("fp", "first_id")
+    first = components(rows, radius, bucket_limit).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
     fp = fresh(docs, "simhash_fp")
     marked = docs.withColumn(fp, fingerprint(F.col(text), shingle))
-    kept = marked.join(keep.select(F.col("fp").alias("__fp"), F.col("first_id").alias("__id")),
-                       (F.col(fp) == F.col("__fp")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    kept_fp, kept_id = fresh(marked, "kept_fp"), fresh(marked, "kept_id")
+    keep = first.groupBy("root").agg(F.min("fp").alias(kept_fp), F.first("component_id").alias(kept_id)).drop("root")
+    kept = marked.join(keep, (F.col(fp) == F.col(kept_fp)) & F.col(doc_id).eqNullSafe(F.col(kept_id)), "left_semi")
     return kept.dropDuplicates([fp, doc_id]).drop(fp)
