@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codecorpus.llm.common import fresh
+
 #: Bytes of text that a task packs at a time.
 CHUNK = 2 << 20
 LAST = (1 << 63) - 1
@@ -42,6 +44,12 @@ def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(mixed(a * K1) + b)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of the keys' names renamed, and the way back."""
+    there = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in (ORDER, KEY)}
+    return docs.withColumnsRenamed(there), {new: old for old, new in there.items()}
+
+
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``docs`` with the two columns that name a document in answers."""
     order = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST))

@@ -207,6 +207,7 @@ def _covered(n: int, whole_at, whole_span, window_at, threshold: int) -> np.ndar
 
 def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """``docs`` and the packed places found: names of the three array columns."""
+    docs, back = X.apart(docs)
     own = docs.columns
     keyed = X.keyed(docs, text, doc_id)
     size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))))).head()[0] or 0
@@ -228,7 +229,7 @@ def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
         X.ORDER, X.KEY, part(of(RESOLVED), "at").alias(names[0]), part(of(RESOLVED), "span").alias(names[1]), part(of(WINDOW), "at").alias(names[2]))
     empty = F.array().cast("array<binary>")
     joined = keyed.join(per_doc, [X.ORDER, X.KEY], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in own], *[F.coalesce(F.col(n), empty).alias(n) for n in names]), names
+    return joined.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in own], *[F.coalesce(F.col(n), empty).alias(n) for n in names]), names
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:

@@ -117,6 +117,7 @@ def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
             bin_windows: int = BIN_WINDOWS, cells: int = CELLS) -> tuple[DataFrame, str]:
     """``docs`` and the packed first words of the windows to remove, and that
     column's name."""
+    docs, back = X.apart(docs)
     keyed = X.keyed(docs, text, doc_id)
     narrow = keyed.select(F.col(text).alias("text"), X.ORDER, X.KEY)
     counts = prefix_counts(narrow, threshold, cells)
@@ -147,7 +148,7 @@ def located(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     name = fresh(docs, "repeat_at")
     found = X.by_document(X.shuffled(narrow, pack, solve, ["path"], groups=bins), name)
     joined = keyed.join(found, [X.ORDER, X.KEY], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(name), F.lit(b"")).alias(name)), name
+    return joined.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in docs.columns], F.coalesce(F.col(name), F.lit(b"")).alias(name)), name
 
 
 def kept_words(words: list[bytes], found: bytes, threshold: int) -> list[bytes]:

@@ -23,11 +23,11 @@ def texts():
 def documents(spark):
     rows = texts()
     frame = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": pd.Series([r[1] for r in rows], dtype=object)})
-    values = [(None if pd.isna(a) else int(a), t, "en", None if i % 7 == 3 else f"s{i % 3}", len(t or ""), "x", i, "k")
+    values = [(None if pd.isna(a) else int(a), t, "en", None if i % 7 == 3 else f"s{i % 3}", len(t or ""), "x", i, "k", 1, "k", 2)
               for i, (a, t) in enumerate(zip(frame["doc_id"], frame["text"], strict=True))]
     # names that the operators use inside, as columns of the table
     return spark.createDataFrame(values, "doc_id long, text string, lang string, source string, n_chars long, quality_verdict string, "
-                                         "mix_place int, simhash_fp string")
+                                         "mix_place int, simhash_fp string, doc_order int, doc_key string, repeat_at int")
 
 
 def empty(spark):
