@@ -2,7 +2,7 @@
 mixing, tokens.  Each stage is written as Parquet and read again by the next, so
 a stage starts from finished files whatever executors were lost before.  Readers
 pack files by length, so the order of mixing is taken from the files' numbers and
-the rows' places in them: ``training_rows`` gives it as a column."""
+the rows' places in them: ``run`` gives it as a column."""
 
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hashes of the token ids and of the text decoded from them, and their number
-    (the ids themselves: ``training_rows``)."""
+    (the ids themselves: ``run``)."""
     return bpe.digests(spark, docs, tokenizer_path())
 
 
@@ -65,9 +65,12 @@ def positioned(files: DataFrame) -> tuple[DataFrame, str]:
     return files.select("*", at.alias(name)), name
 
 
-def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``position, doc_id, token_ids, n_tokens, ids_sha256, decoded_sha256``:
-    the whole output; ``position`` grows in the order of mixing."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``position, doc_id, token_ids, n_tokens, ids_sha256, decoded_sha256``; ``position``
+    grows in the order of mixing (the rows themselves are not sorted: sort by it to
+    read in that order).  A null text has no tokens, rows repeated with one id and
+    fingerprint are one document, null ids are documents of their own, and an empty
+    table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
@@ -79,8 +82,3 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.select("position", "doc_id", f"{sequence}.*")
     out.write.parquet(f"{folder}/{len(STAGES) - 1}")
     return spark.read.schema(out.schema).parquet(f"{folder}/{len(STAGES) - 1}")
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of the last stage, rows in the order of mixing."""
-    return training_rows(spark, sf_dir).orderBy("position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
