@@ -1,30 +1,35 @@
-"""Set-based function mining (JN-5, WIN-4, WIN-5, FLT-5, FLT-7, STR-9..12).
-
-The reference scans each file line by line.  Here a file's work is expressed as
-windows and one per-file aggregation over the exploded ``lines`` table, all
-clustered by ``file_id``, so the one shuffle that places a file's lines
-together is reused by every later step (no join):
-
-1. candidates: header pattern of the file's language on the trimmed line;
-   C/C++/Java take the opening brace from the line itself or one of the next two
-   lines (``lead``), C# needs it on the header line;
-2. target depth: the brace balance just before the brace line (C# counts the
-   header as exactly one open brace);
-3. end line: the first later line whose running balance equals the target,
-   found as a "next occurrence" window over ``(file_id, depth)``;
-4. C/C++/Java resume scanning after an accepted function: an ordered fold over
-   the (few) candidates of one file keeps a candidate only when it starts after
-   the last kept end; C# keeps every candidate;
+"""Function mining (JN-5, WIN-4, WIN-5, FLT-5, FLT-7, STR-9..12).
+
+The reference scans each file line by line.  Here a file stays one row, and its
+work is a chain of array expressions over its lines: nothing is exploded, sorted
+across rows or shuffled before the functions themselves are rows.
+
+1. events: the lines with a brace or a header of the file's language, with the
+   brace balance after them (a running sum over the events alone);
+2. candidates: C/C++/Java take the opening brace from the header line or one of
+   the next two lines, C# needs it on the header line; the target is the balance
+   just before the brace line (C# counts the header as exactly one open brace);
+3. end line: the first later line whose balance equals the target.  The balance
+   changes at brace lines only, so that is the line after the brace line or a brace
+   line; those and the candidates are sorted by (balance, place), and the nearest
+   brace line behind a candidate is its answer if it has the same balance;
+4. C/C++/Java resume scanning after an accepted function: a fold over the
+   candidates keeps one only when it starts after the last kept end; C# keeps every
+   candidate;
 5. trivial wrappers (at most two statements, one of them a call) are dropped
    and the rest labelled.
+
+Running values take log2(n) passes over a file's events and the fold gathers its
+result in blocks, so a file of many functions costs little more than its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
+from codecorpus.functions.arrays import bind, blocks, running
 from codecorpus.functions.code import file_suffix, function_label, language, test_case_id
 from codecorpus.functions.text import base_name, count_char, extension, normalize_newlines, py_strip, split_lines
 
@@ -53,155 +58,121 @@ def source_files(corpus: DataFrame) -> DataFrame:
 
 def by_file(files: DataFrame) -> DataFrame:
     """One shuffle places each file (and so all of its lines) in one
-    partition; every window and group of the mining steps is keyed by file_id
-    (or a superset) and reuses this partitioning.  Explicit partition count:
-    the work per file is CPU-heavy text matching, so it is not coalesced."""
+    partition, for the windows of ``exploded_lines``."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(n, "file_id")
 
 
-def exploded_lines(files: DataFrame, with_file_row: bool = False) -> DataFrame:
-    """STR-5 + WIN-4 + WIN-5: one row per line (0-based ``i``) with its brace
-    delta ``d``, the running balance ``c`` after the line and the look-ahead
-    flags.  With ``with_file_row`` an extra row ``i = -1`` carries the whole
-    text and the file metadata (``d = 0``), so later per-file steps need no join
-    back to the file table; the lines' own text ends here as the header ``name``
-    they hold, so it is not sorted."""
-    none_s = F.lit(None).cast("string")
-    pieces = split_lines(F.col("content"))
-    if with_file_row:
-        # Position 0 is the whole text (the file row, i = -1); metadata stays
-        # only on that row.  One Generate, no second pass over the files.
-        exploded = files.select(
-            "file_id", "language", "path", "file_name", "test_case_id",
-            F.posexplode(F.concat(F.array(F.col("content")), pieces)).alias("p", "line"),
-        )
-        head = F.col("p") == 0
-        lines = exploded.select(
-            "file_id", "language", (F.col("p") - 1).alias("i"), "line",
-            *[F.when(head, F.col(c)).otherwise(none_s).alias(c) for c in ("path", "file_name", "test_case_id")],
-        )
-    else:
-        lines = files.select("file_id", "language", F.posexplode(pieces).alias("i", "line"))
-    real = F.col("i") >= 0
-    d = F.when(real, count_char(F.col("line"), "{") - count_char(F.col("line"), "}")).otherwise(F.lit(0))
-    lines = lines.withColumn("d", d).withColumn("has_open", real & F.col("line").contains("{"))
-    if with_file_row:
-        lines = lines.withColumn("name", F.when(real, _header_name()).otherwise(F.lit("")))
-        lines = lines.withColumn("line", F.when(~real, F.col("line")))
-    w = Window.partitionBy("file_id").orderBy("i")
-    return (
-        lines.withColumn("c", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("open1", F.coalesce(F.lead("has_open", 1).over(w), F.lit(False)))
-        .withColumn("open2", F.coalesce(F.lead("has_open", 2).over(w), F.lit(False)))
-        .withColumn("c_next", F.lead("c", 1).over(w))
-    )
+def exploded_lines(files: DataFrame) -> DataFrame:
+    """STR-5 + WIN-4: one row per line (0-based ``i``) with its brace delta ``d``
+    and the running balance ``c`` after the line."""
+    lines = files.select("file_id", "language", F.posexplode(split_lines(F.col("content"))).alias("i", "line"))
+    w = Window.partitionBy("file_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("d", _delta(F.col("line"))).withColumn("c", F.sum("d").over(w))
 
 
-def _header_name():
-    trimmed = py_strip(F.col("line"))
-    lang = F.col("language")
-    name = (
-        F.when(lang == "c", F.regexp_extract(trimmed, P.HEADER_C, 1))
-        .when(lang == "java", F.regexp_extract(trimmed, P.HEADER_JAVA, 1))
-        .otherwise(F.regexp_extract(trimmed, P.HEADER_CS, 1))
-    )
-    is_comment = trimmed.startswith("//") | trimmed.startswith("/*")
-    skip = (lang != "cs") & ((trimmed == "") | is_comment)
-    # Cheap guards implied by every header pattern: the line holds "(" and the
-    # text before the first "(" separates type and name by whitespace.
-    before_paren = py_strip(F.substring_index(F.col("line"), "(", 1))
-    maybe = F.col("line").contains("(") & before_paren.rlike(r"\s")
-    return F.when(maybe & ~skip, name).otherwise(F.lit(""))
-
-
-def _kinds(lines: DataFrame) -> DataFrame:
-    """Steps 1-2 and the rows of step 3.  Each windowed line yields a *line*
-    row ``(v = c, pos = i)`` and, when it is a function header with a brace, a
-    *probe* row ``(v = t, pos = b)``; the file row (``i = -1``) passes the
-    file's text and metadata through unchanged."""
-    lang = F.col("language")
-    offset = (
-        F.when(lang == "cs", F.lit(0))
-        .when(F.col("has_open"), F.lit(0))
-        .when(F.col("open1"), F.lit(1))
-        .when(F.col("open2"), F.lit(2))
-    )
-    target = (
-        F.when(lang == "cs", F.col("c") - 1)
-        .when(F.col("off") == 0, F.col("c") - F.col("d"))
-        .when(F.col("off") == 1, F.col("c"))
-        .otherwise(F.col("c_next"))
-    )
-    named = lines.withColumn("off", F.when(F.col("name") != "", offset)).withColumn("t", target)
-
-    def row(kind, v, pos, name=None, start=None, text=None, meta=False):
-        none_s = F.lit(None).cast("string")
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            v.cast("bigint").alias("v"),
-            pos.cast("int").alias("pos"),
-            (name if name is not None else none_s).alias("name"),
-            (start if start is not None else F.lit(None).cast("int")).alias("start_line"),
-            (text if text is not None else none_s).alias("content"),
-            (F.col("path") if meta else none_s).alias("path"),
-            (F.col("file_name") if meta else none_s).alias("file_name"),
-            (F.col("test_case_id") if meta else none_s).alias("test_case_id"),
+def _delta(line: Column) -> Column:
+    return count_char(line, "{") - count_char(line, "}")
+
+
+def _header_name(line: Column, lang: Column) -> Column:
+    """Name of the function whose header the line is, else empty."""
+    def read(trimmed: Column) -> Column:
+        name = (
+            F.when(lang == "c", F.regexp_extract(trimmed, P.HEADER_C, 1))
+            .when(lang == "java", F.regexp_extract(trimmed, P.HEADER_JAVA, 1))
+            .otherwise(F.regexp_extract(trimmed, P.HEADER_CS, 1))
         )
+        is_comment = trimmed.startswith("//") | trimmed.startswith("/*")
+        return F.when((lang != "cs") & is_comment, F.lit("")).otherwise(name)
 
-    is_file = F.col("i") < 0
-    file_row = F.when(is_file, row(2, F.lit(None), F.col("i"), text=F.col("line"), meta=True))
-    line_row = F.when(~is_file, row(0, F.col("c"), F.col("i")))
-    probe_row = F.when(
-        ~is_file & F.col("off").isNotNull(),
-        row(1, F.col("t"), F.col("i") + F.col("off"), name=F.col("name"), start=F.col("i") + 1),
-    )
-    out = named.select(
-        "file_id", "language",
-        F.explode(F.array(file_row, line_row, probe_row)).alias("r"),
-    )
-    return out.filter(F.col("r").isNotNull()).select("file_id", "language", "r.*")
-
-
-def _match_ends(rows: DataFrame) -> DataFrame:
-    """Step 3 (JN-5): end = 1 + first line j > b with balance c(j) = t, else
-    b + 1.  Line and probe rows of one (file, depth) meet in one window; walking
-    it backwards, the last line row seen before a probe row is its answer.  The
-    window is clustered by (file_id, v), which the file_id shuffle satisfies."""
-    w = (
-        Window.partitionBy("file_id", "v")
-        .orderBy(F.col("pos").desc(), F.col("kind").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    nxt = F.last(F.when(F.col("kind") == 0, F.col("pos")), ignorenulls=True).over(w)
-    return (
-        rows.withColumn("j", nxt)
-        .filter(F.col("kind") != 0)
-        .withColumn("end_line", F.when(F.col("kind") == 1, F.coalesce(F.col("j"), F.col("pos")) + 1))
-    )
+    return F.when(_may_name(line), bind(py_strip(line), read)).otherwise(F.lit(""))
+
+
+def _may_name(line: Column) -> Column:
+    """Guards implied by every header pattern: the line holds "(" and the text
+    before the first "(" separates type and name by whitespace."""
+    return line.contains("(") & py_strip(F.substring_index(line, "(", 1)).rlike(r"\s")
+
+
+def _events(lines: Column, lang: Column) -> Column:
+    """Steps 1: ``i, d, brace, open, name, c`` of the lines with a brace or a header."""
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+    marked = F.filter(numbered, lambda e: e["line"].contains("{") | e["line"].contains("}") | _may_name(e["line"]))
+    events = F.filter(F.transform(marked, lambda e: F.struct(
+        e["i"].alias("i"), _delta(e["line"]).alias("d"), e["line"].rlike("[{}]").alias("brace"), e["line"].contains("{").alias("open"),
+        _header_name(e["line"], lang).alias("name"))), lambda e: e["brace"] | (e["name"] != ""))
+
+    def balanced(ev: Column) -> Column:
+        sums = running(F.transform(ev, lambda e: e["d"]), "int", lambda before, x: x + F.coalesce(before, F.lit(0)))
+        return F.zip_with(ev, sums, lambda e, c: F.struct(*[e[f].alias(f) for f in ("i", "d", "brace", "open", "name")], c.alias("c")))
+
+    return bind(events, balanced)
+
+
+def _probe(e: Column, lines: Column, lang: Column) -> Column:
+    """Step 2: a header's target balance ``v``, brace line ``pos``, and whether
+    the line after that has the target too (``at_once``); null ``pos`` without a brace."""
+    after = [F.get(lines, e["i"] + k) for k in (1, 2)]
+    has = [F.coalesce(x.contains("{"), F.lit(False)) for x in after]
+    off = F.when((lang == "cs") | e["open"], F.lit(0)).when(has[0], F.lit(1)).when(has[1], F.lit(2))
+    c1 = e["c"] + F.coalesce(_delta(after[0]), F.lit(0))
+    c2 = c1 + F.coalesce(_delta(after[1]), F.lit(0))
+
+    def place(o: Column) -> Column:
+        target = F.when(lang == "cs", e["c"] - 1).when(o == 0, e["c"] - e["d"]).when(o == 1, e["c"]).otherwise(c1)
+        here = F.when(o == 0, e["c"]).when(o == 1, c1).otherwise(c2)
+        plain = F.coalesce(~F.get(lines, e["i"] + o + 1).rlike("[{}]"), F.lit(False))
+        return _row(target, e["i"] + o, 1, e["i"] + 1, e["name"], (here == target) & plain)
+
+    return bind(off, place)
+
+
+def _row(v, pos, kind, start=None, name=None, at_once=None) -> Column:
+    none = lambda x, t: (F.lit(None) if x is None else x).cast(t)
+    return F.struct(v.cast("int").alias("v"), pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), none(start, "int").alias("start_line"),
+                    none(name, "string").alias("name"), none(at_once, "boolean").alias("at_once"))
 
 
 _FN = "struct<start_line:int,end_line:int,name:string>"
 
 
-def _resolve(per_file: DataFrame) -> DataFrame:
+def _candidates(events: Column, lines: Column, lang: Column) -> Column:
+    """Steps 2 and 3: ``start_line, end_line, name`` of every candidate, in order."""
+    probes = F.filter(F.transform(F.filter(events, lambda e: e["name"] != ""), lambda e: _probe(e, lines, lang)), lambda p: p["pos"].isNotNull())
+    braces = F.transform(F.filter(events, lambda e: e["brace"]), lambda e: _row(e["c"], e["i"], 0))
+
+    def matched(rows: Column) -> Column:
+        own = F.transform(F.reverse(rows), lambda r: F.when(r["kind"] == 0, F.struct(r["v"].alias("v"), r["pos"].alias("pos"))))
+        behind = F.reverse(running(own, "struct<v:int,pos:int>", lambda before, x: F.coalesce(x, before)))
+        ends = F.zip_with(rows, behind, lambda r, n: F.struct(
+            r["start_line"].alias("start_line"),
+            (F.when(r["at_once"], r["pos"] + 2).when(n["v"] == r["v"], n["pos"] + 1).otherwise(r["pos"] + 1)).cast("int").alias("end_line"),
+            r["name"].alias("name")))
+        return F.array_sort(F.filter(ends, lambda f: f["start_line"].isNotNull()))
+
+    return bind(F.array_sort(F.concat(braces, probes)), matched)
+
+
+def _resolved(cands: Column, lang: Column, block: int = 64) -> Column:
     """Step 4: C/C++/Java keep a candidate only when it starts after the end of
-    the last kept one (the reference resumes scanning there); C# keeps all.  The
-    fold runs over one file's candidates, i.e. at most its header lines."""
-    init = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{_FN}>").alias("kept"))
-    folded = F.aggregate(
-        F.array_sort(F.col("cands")),
-        init,
-        lambda acc, x: F.when(
-            x["start_line"] > acc["last"],
-            F.struct(x["end_line"].alias("last"), F.array_append(acc["kept"], x).alias("kept")),
-        ).otherwise(acc),
-    )
-    all_kept = F.array_sort(F.col("cands")).cast(f"array<{_FN}>")
-    return per_file.withColumn("kept", F.when(F.col("language") == "cs", all_kept).otherwise(folded["kept"]))
+    the last kept one (the reference resumes scanning there); C# keeps all."""
+    none = F.array().cast(f"array<{_FN}>")
+
+    def keep(acc: Column, x: Column) -> Column:
+        taken = F.struct(x["end_line"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))
+        return F.when(x["start_line"] > acc["last"], taken).otherwise(acc)
+
+    def one(acc: Column, piece: Column) -> Column:
+        start = F.struct(acc["last"].alias("last"), none.alias("kept"))
+        return bind(F.aggregate(piece, start, keep), lambda r: F.struct(r["last"].alias("last"), F.array_append(acc["all"], r["kept"]).alias("all")))
+
+    init = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<array<{_FN}>>").alias("all"))
+    folded = F.when(F.size(cands) > 0, F.flatten(F.aggregate(blocks(cands, block), init, one)["all"])).otherwise(none)
+    return F.when(lang == "cs", cands.cast(f"array<{_FN}>")).otherwise(folded)
 
 
-def trivial_flag(body) -> F.Column:
+def trivial_flag(body) -> Column:
     """FLT-5 / STR-12 on the body text: line comments, then block comments,
     then whitespace collapse; trivial iff <= 2 semicolons and a call."""
     t = F.regexp_replace(body, P.BODY_LINE_COMMENT, "")
@@ -210,34 +181,27 @@ def trivial_flag(body) -> F.Column:
     return (count_char(t, ";") <= P.MAX_WRAPPER_STATEMENTS) & t.rlike(P.CALL_STATEMENT)
 
 
-def extracted_functions(files: DataFrame) -> DataFrame:
-    """Every function the extractors report (before the trivial filter), with
-    its trivial flag and file metadata.  One shuffle (``source_files``), then
-    windows, one group per file and a fold, all on that partitioning."""
-    rows = _match_ends(_kinds(exploded_lines(by_file(files), with_file_row=True)))
-    per_file = rows.groupBy("file_id", "language").agg(
-        F.collect_list(F.when(F.col("kind") == 1, F.struct("start_line", "end_line", "name"))).alias("cands"),
-        F.max("content").alias("content"),
-        F.max("path").alias("path"),
-        F.max("file_name").alias("file_name"),
-        F.max("test_case_id").alias("test_case_id"),
-    )
-    resolved = _resolve(per_file).select(
-        "file_id", "language", "path", "file_name", "test_case_id", "kept",
-        split_lines(F.col("content")).alias("lines_arr"),
-    )
-    # Body = lines start+1 .. end-1 (1-based), cut from the file's own row.
-    def with_flag(f):
+def found_functions(content: Column, lang: Column) -> Column:
+    """``name, start_line, end_line, trivial`` of every function of a text, in order."""
+    def flagged(f: Column, lines: Column) -> Column:
+        # the body: lines start+1 .. end-1 (1-based)
         body_len = F.greatest(f["end_line"] - f["start_line"] - 1, F.lit(0))
-        body = F.array_join(F.slice(F.col("lines_arr"), f["start_line"] + 1, body_len), "\n")
-        return F.struct(f["name"].alias("name"), f["start_line"].alias("start_line"),
-                        f["end_line"].alias("end_line"), trivial_flag(body).alias("trivial"))
+        body = F.array_join(F.slice(lines, f["start_line"] + 1, body_len), "\n")
+        return F.struct(f["name"].alias("name"), f["start_line"].alias("start_line"), f["end_line"].alias("end_line"), trivial_flag(body).alias("trivial"))
 
-    flagged = resolved.select(
-        "file_id", "language", "path", "file_name", "test_case_id",
-        F.explode(F.transform(F.col("kept"), with_flag)).alias("f"),
-    )
-    return flagged.select("file_id", "language", "path", "file_name", "test_case_id", "f.*")
+    def mined(lines: Column) -> Column:
+        cands = bind(_events(lines, lang), lambda ev: _candidates(ev, lines, lang))
+        return F.transform(bind(cands, lambda c: _resolved(c, lang)), lambda f: flagged(f, lines))
+
+    return bind(split_lines(content), mined)
+
+
+def extracted_functions(files: DataFrame) -> DataFrame:
+    """Every function the extractors report (before the trivial filter), with
+    its trivial flag and file metadata; one narrow stage over the files."""
+    found = files.select("file_id", "language", "path", "file_name", "test_case_id",
+                         F.explode(found_functions(F.col("content"), F.col("language"))).alias("f"))
+    return found.select("file_id", "language", "path", "file_name", "test_case_id", "f.*")
 
 
 def functions(files: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from codecorpus.operators import functions as fx
 from codecorpus.operators import curate, evaluate, features, grouping, labels, stats, windows
 from codecorpus.sources import manifest as mf
 from codecorpus.sources.corpus import virtual_corpus
-from codecorpus.sources.tables import table
+from codecorpus.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,12 +33,9 @@ def long_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Mining input: documents are placed by file first, so deriving the
-    corpus is spread over all tasks and the mining shuffle by file_id is
-    already satisfied (Spark elides the second exchange)."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = table(spark, sf, "documents").repartition(n, "doc_id")
-    return fx.source_files(virtual_corpus(docs))
+    """Mining input: mining is a narrow stage, so only an input of too few splits
+    is dealt out first."""
+    return fx.source_files(virtual_corpus(spread(table(spark, sf, "documents"), "doc_id")))
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
