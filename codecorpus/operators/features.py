@@ -1,12 +1,17 @@
 """Training features (J5) and vector pooling: STR-13, ARR-1..5, AGG-8,
 FLT-4, JN-6, JN-7, SMP-3, AGG-16, AGG-17, WIN-8.
 
+Vectors have any length, one for the whole table; it is read from the table and a
+table of mixed lengths is refused.
+
 Rows stay keyed (``file_id``) end to end: sequences and labels live on one
 row, so nothing is ever zipped by position.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +54,13 @@ def encode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return per_line.select("file_id", "line_no", F.col("p.token_id").alias("ids"))
 
 
-def tokens_per_line(tokens: DataFrame) -> DataFrame:
-    """AGG-8 input: every token has an id, so ids per line = tokens per line."""
-    return tokens.groupBy("file_id", "line_no").agg(F.count("*").alias("n_tokens"))
+def longest_line(windows: DataFrame, first_lines: int) -> DataFrame:
+    """AGG-8 input: ``windows`` with ``n_tokens``, the most tokens of one of
+    their first lines (every token has an id, so that is the longest id list);
+    windows without tokens are left out.  Counted inside the row."""
+    per_line = F.transform(F.slice(split_lines(F.col("vlw_content")), 1, first_lines),
+                           lambda line: F.size(F.filter(F.split(line, " ", -1), lambda t: t != "")))
+    return windows.withColumn("n_tokens", F.array_max(per_line)).filter("n_tokens > 0")
 
 
 def pad_truncate(ids: Column, width: int = P.TOKENS_PER_LINE) -> Column:
@@ -69,26 +78,28 @@ def one_hot(index: Column, width: int) -> Column:
     )
 
 
+def training_labels(windows: DataFrame, window: int = P.WINDOW_LINES) -> DataFrame:
+    """``file_id, file_name, split`` and the one-hot location of the complete
+    windows (exactly ``window`` lines, FLT-4)."""
+    n_lines = F.size(F.slice(split_lines(F.col("vlw_content")), 1, window))
+    return windows.filter(n_lines == window).select(
+        "file_id", "file_name", "split", one_hot(F.col("vulnerability_location"), window).alias("label"))
+
+
 def training_rows(windows: DataFrame, encoded: DataFrame, window: int = P.WINDOW_LINES,
                   width: int = P.TOKENS_PER_LINE) -> DataFrame:
-    """J5: per window the first ``window`` lines as padded id lists and the
-    one-hot location; only complete windows (exactly ``window`` lines) stay
-    (FLT-4, which also removes the matching label: same row).  Lines are
-    padded first, gathered per window as a line -> ids map, and the sequence
+    """J5: per complete window the first ``window`` lines as padded id lists and
+    the one-hot location (a window that goes takes its label with it: same row).  Lines
+    are padded first, gathered per window as a line -> ids map, and the sequence
     is read from the map line by line; lines without tokens become zeros."""
-    n_lines = F.size(F.slice(split_lines(F.col("vlw_content")), 1, window))
-    base = windows.select("file_id", "file_name", "split", "vulnerability_location", n_lines.alias("n_lines"))
     padded = encoded.select("file_id", "line_no", pad_truncate(F.col("ids"), width).alias("ids"))
     per_window = padded.groupBy("file_id").agg(
         F.map_from_entries(F.collect_list(F.struct("line_no", "ids"))).alias("m"))
-    rows = base.filter(F.col("n_lines") == window).join(per_window, "file_id", "left")
+    rows = training_labels(windows, window).join(per_window, "file_id", "left")
     zeros = F.array_repeat(F.lit(0).cast("int"), width)
     seq = F.transform(F.sequence(F.lit(0), F.lit(window - 1)),
                       lambda l: F.coalesce(F.try_element_at(F.col("m"), l), zeros))
-    return rows.select(
-        "file_id", "file_name", "split", seq.alias("seq"),
-        one_hot(F.col("vulnerability_location"), window).alias("label"),
-    )
+    return rows.select("file_id", "file_name", "split", seq.alias("seq"), "label")
 
 
 def shape_audit(rows: DataFrame, window: int = P.WINDOW_LINES, width: int = P.TOKENS_PER_LINE) -> DataFrame:
@@ -120,18 +131,65 @@ def batches(rows: DataFrame, batch_size: int = P.BATCH_SIZE, seed: str = "batch"
     return full.filter(F.col("n_rows") == batch_size)
 
 
-def token_vectors(tokens: DataFrame, vocabulary: DataFrame, embeddings: DataFrame, dims: int = 64) -> DataFrame:
-    """JN-6 + AGG-16: the vectors of a file's tokens (``vec_id`` = vocabulary
-    id), pooled to their mean in every dimension, as flat ``(file_id, dim,
-    n_tokens, n_matched, value)``.  A token without a vector counts as the zero
-    vector, as padding does.  Occurrences are counted per (file, token) before
-    the join, and the sums of all dimensions are partial aggregates of one row."""
-    per = tokens.join(vocabulary.select("token", "token_id"), "token").groupBy("file_id", "token_id").agg(F.count("*").alias("n"))
-    j = per.join(embeddings.select(F.col("vec_id").alias("token_id"), "embedding"), "token_id", "left")
-    x = lambda d: F.coalesce(F.get("embedding", F.lit(d)).cast("double"), F.lit(0.0))
-    sums = j.groupBy("file_id").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("embedding").isNotNull(), F.col("n")).otherwise(0)).alias("n_matched"),
-        F.array(*[F.sum(F.col("n") * x(d)) for d in range(dims)]).alias("sums"))
+#: Token ids up to this are joined by broadcast: ids rank tokens by frequency, so these are the hot keys.
+HOT_TOKENS = 1024
+#: Scores of one step apart differ by a factor of e**STEP, which doubles hold with room to spare.
+STEP = 64
+
+
+def vector_length(embeddings: DataFrame) -> int:
+    """Length of the table's vectors, 0 for an empty table."""
+    r = embeddings.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if r.least != r.most:
+        raise ValueError(f"vectors of {r.least} to {r.most} dimensions in one table")
+    return r.most or 0
+
+
+def token_ids(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``file_id, line_no, pos, token_id`` of every token."""
+    return tokens.join(vocabulary.select("token", "token_id"), "token").select("file_id", "line_no", "pos", "token_id")
+
+
+def with_vectors(ids: DataFrame, embeddings: DataFrame, hot: int = HOT_TOKENS) -> DataFrame:
+    """JN-6: rows with a ``token_id`` and its vector ``vec`` (``vec_id`` = vocabulary
+    id; null without one).  The ``hot`` most frequent tokens, which may be most
+    of all rows, meet their vectors by broadcast of at most ``hot`` rows; the others are
+    shuffled, and none of them is frequent."""
+    vectors = embeddings.filter(F.col("embedding").isNotNull()).groupBy(F.col("vec_id").alias("token_id")).agg(
+        F.max(F.col("embedding").cast("array<double>")).alias("vec"))
+    frequent = F.coalesce(F.col("token_id").between(1, hot), F.lit(False))
+    return (ids.filter(frequent).join(F.broadcast(vectors.filter(frequent)), "token_id", "left")
+            .unionByName(ids.filter(~frequent).join(vectors.filter(~frequent), "token_id", "left")))
+
+
+def sequence_vectors(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """JN-6 with its order: ``file_id, line_no, vectors``, the vectors of a line's
+    tokens in token order; a token without one has zeros, as padding does."""
+    zeros = F.array_repeat(F.lit(0.0), vector_length(embeddings))
+    placed = with_vectors(ids, embeddings).select("file_id", "line_no", F.struct("pos", F.coalesce("vec", zeros).alias("vec")).alias("p"))
+    return placed.groupBy("file_id", "line_no").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
+        "file_id", "line_no", F.col("p.vec").alias("vectors"))
+
+
+def token_counts(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``file_id, vec, n``: a file's distinct tokens with their vectors and
+    numbers (pooling does not ask for the order; counted before vectors travel)."""
+    return with_vectors(ids.groupBy("file_id", "token_id").agg(F.count(F.lit(1)).alias("n")), embeddings)
+
+
+def weighted_sum(vec: Column, weight: Column) -> Column:
+    """Sum of weight * vector over a group, for vectors of any one length."""
+    return vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(vec), weight)["sum"])
+
+
+def token_vectors(tokens: DataFrame, vocabulary: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """JN-6 + AGG-16: the mean of the vectors of a row's tokens, as flat ``(file_id,
+    dim, n_tokens, n_matched, value)``.  A token without a vector counts as zeros."""
+    counted = token_counts(token_ids(tokens, vocabulary), embeddings)
+    zeros = F.array_repeat(F.lit(0.0), vector_length(embeddings))
+    sums = counted.groupBy("file_id").agg(
+        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("vec").isNotNull(), F.col("n")).otherwise(0)).alias("n_matched"),
+        weighted_sum(F.coalesce("vec", zeros), F.col("n").cast("double")).alias("sums"))
     return sums.select("file_id", F.posexplode("sums").alias("dim", "s"), "n_tokens", "n_matched").select(
         "file_id", F.col("dim").cast("bigint").alias("dim"), F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("n_matched").cast("bigint").alias("n_matched"), F.round(F.col("s") / F.col("n_tokens"), 4).alias("value"))
@@ -144,24 +202,47 @@ def mean_pool(embeddings: DataFrame, key: str = "label") -> DataFrame:
         key, F.col("dim").cast("bigint").alias("dim"), "value", F.col("n").cast("bigint").alias("n"))
 
 
-def attention_weights(dim: int = 64) -> list[float]:
-    """The supplied scoring vector of the attention pool (a parameter)."""
-    return [((d % 7) - 3) / 10.0 for d in range(dim)]
+def attention_score(vec: Column, weights: list[float] | None = None) -> Column:
+    """Linear score of a vector of any length; without given weights dimension d
+    weighs ((d mod 7) - 3) / 10."""
+    weigh = (lambda x, d: x * ((d % 7 - 3) / F.lit(10.0))) if weights is None else (
+        lambda x, d: x * F.get(F.array(*[F.lit(float(w)) for w in weights]), d))
+    return F.aggregate(F.transform(vec, weigh), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def softmax_pool(rows: DataFrame, key: str, weights: list[float] | None = None) -> DataFrame:
+    """AGG-17 + WIN-8 + MTH-5 over rows ``key, vec, n`` (``n`` equal positions): score
+    = <w, v>, softmax over a key's positions, pooled value = sum of weight * v, as
+    ``key, pooled``.  States of one key merge in any order: scores fall into steps,
+    a state holds the sums of e**(score - its step) and of that times the vector, and
+    states of different steps are scaled to the highest one.  So no maximum has
+    to be known before the sums, partial states leave each task, and a key that holds
+    most rows is no hot one."""
+    scored = rows.withColumn("s", attention_score(F.col("vec"), weights)).withColumn("step", F.floor(F.col("s") / STEP))
+    e = F.col("n") * F.exp(F.col("s") - F.col("step") * STEP)
+    states = scored.groupBy(key, "step").agg(F.sum(e).alias("z"), weighted_sum(F.col("vec"), e).alias("sums"))
+    top = F.array_max(F.transform("states", lambda x: x["step"]))
+    merged = states.groupBy(key).agg(F.collect_list(F.struct("step", "z", "sums")).alias("states"))  # a few steps a key
+    scale = lambda x: F.exp((x["step"] - F.col("top")) * F.lit(float(STEP)))
+    total = F.aggregate("states", F.lit(0.0), lambda acc, x: acc + x["z"] * scale(x))
+    summed = F.aggregate("states", F.transform(F.col("states")[0]["sums"], lambda x: F.lit(0.0)),
+                         lambda acc, x: F.zip_with(acc, x["sums"], lambda a, b: a + b * scale(x)))
+    return merged.withColumn("top", top).select(key, F.transform(summed, lambda x: x / total).alias("pooled"))
 
 
 def attention_pool(embeddings: DataFrame, key: str = "label", weights: list[float] | None = None) -> DataFrame:
-    """AGG-17 + WIN-8 + MTH-5: score = <v, w>, softmax over the rows of a
-    group, pooled value = sum of weight * v per dimension.  The softmax is two
-    grouped aggregations (max, then sums), never a window over a group; the
-    normaliser is summed beside the values, over the rows that have the dimension."""
-    w = weights or attention_weights()
-    warr = F.array(*[F.lit(float(x)) for x in w])
-    scored = embeddings.select(
-        key, "embedding",
-        F.aggregate(F.zip_with("embedding", warr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x).alias("s"),
-    )
-    mx = scored.groupBy(key).agg(F.max("s").alias("m"))
-    e = scored.join(mx, key).withColumn("e", F.exp(F.col("s") - F.col("m")))
-    pooled = e.select(key, "e", F.posexplode("embedding").alias("dim", "x")).groupBy(key, "dim").agg(
-        (F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("value"))
-    return pooled.select(key, F.col("dim").cast("bigint").alias("dim"), F.round("value", 5).alias("value"))
+    """AGG-17 over a table of vectors, as flat (key, dim, value)."""
+    rows = embeddings.filter(F.col("embedding").isNotNull()).select(key, F.col("embedding").cast("array<double>").alias("vec"), F.lit(1).alias("n"))
+    return _flat(softmax_pool(rows, key, weights), key, 5)
+
+
+def sequence_attention(tokens: DataFrame, vocabulary: DataFrame, embeddings: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    """AGG-17 per sequence row: the tokens of a window are its positions."""
+    zeros = F.array_repeat(F.lit(0.0), vector_length(embeddings))
+    counted = token_counts(token_ids(tokens, vocabulary), embeddings).withColumn("vec", F.coalesce("vec", zeros))
+    return _flat(softmax_pool(counted, "file_id", weights), "file_id", 4)
+
+
+def _flat(pooled: DataFrame, key: str, digits: int) -> DataFrame:
+    return pooled.select(key, F.posexplode("pooled").alias("dim", "value")).select(
+        key, F.col("dim").cast("bigint").alias("dim"), F.round("value", digits).alias("value"))

@@ -281,6 +281,20 @@ ORACLE.update({
                round(sum(t.n * coalesce(e.embedding[d.dim + 1]::DOUBLE, 0)) / sum(t.n), 4) AS v
         FROM (SELECT file_id, token_id, count(*) AS n FROM tok JOIN vocab USING (token) GROUP BY 1, 2) t
         LEFT JOIN embeddings e ON e.vec_id = t.token_id CROSS JOIN range(64) d(dim) GROUP BY t.file_id, d.dim)"""),
+    "sequence_vectors": with_ctes(*CUR, TOK, VOCAB, body="""
+        SELECT file_id, line_no, count(*) AS n_tokens, md5(string_agg(array_to_string(list_transform(range(1, 65),
+                 lambda i: CAST(round(coalesce(e.embedding[i]::DOUBLE, 0) * 10000) AS BIGINT)), ','), ';' ORDER BY pos)) AS vectors_md5
+        FROM tok JOIN vocab USING (token) LEFT JOIN embeddings e ON e.vec_id = token_id GROUP BY file_id, line_no"""),
+    "sequence_attention": with_ctes(*CUR, TOK, VOCAB,
+        ("sc", """SELECT file_id, n, v, list_reduce(list_transform(range(64), lambda i: v[i + 1] * ((i % 7 - 3) / 10.0::DOUBLE)), lambda a, x: a + x, 0.0::DOUBLE) AS s
+                  FROM (SELECT t.file_id, t.n, list_transform(range(1, 65), lambda i: coalesce(e.embedding[i]::DOUBLE, 0)) AS v
+                        FROM (SELECT file_id, token_id, count(*) AS n FROM tok JOIN vocab USING (token) GROUP BY 1, 2) t
+                        LEFT JOIN embeddings e ON e.vec_id = t.token_id)"""),
+        ("ex", "SELECT sc.*, n * exp(s - max(s) OVER (PARTITION BY file_id)) AS e FROM sc"),
+        body="""SELECT file_id, dim - 1 AS dim, CASE WHEN v = 0 THEN 0 ELSE v END AS value FROM (
+                  SELECT file_id, dim, round(sum(e * x) / any_value(z), 4) AS v FROM (
+                    SELECT file_id, e, sum(e) OVER (PARTITION BY file_id) AS z, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM ex)
+                  GROUP BY file_id, dim)"""),
     "mean_pool": """SELECT label, dim - 1 AS dim, round(avg(x::DOUBLE), 5) AS value, count(*) AS n
         FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim""",
     "attention_pool": with_ctes(

@@ -16,6 +16,7 @@ from codecorpus.functions import patterns as P
 from codecorpus.functions import text as tx
 from codecorpus.operators import functions as fx
 from codecorpus.operators import curate, evaluate, features, grouping, labels, stats, windows
+from codecorpus.operators.staging import staged
 from codecorpus.sources import manifest as mf
 from codecorpus.sources.corpus import virtual_corpus
 from codecorpus.sources.tables import spread, table
@@ -218,33 +219,38 @@ def q_exact_split(spark, sf):
     return windows.hash_split(windows_df(spark, sf).select("file_id"), ["file_id"], exact=True)
 
 
-def tokens_df(spark, sf):
-    return features.window_tokens(windows_df(spark, sf), P.WINDOW_LINES)
+def staged_windows(spark, sf):
+    """Windows with their split, for queries that read them more than once."""
+    return staged(windows.hash_split(windows_df(spark, sf), ["file_id"]), "windows")
+
+
+def tokens_of(w):
+    return features.window_tokens(w, P.WINDOW_LINES)
 
 
 def q_vocab(spark, sf):
-    return features.vocab(tokens_df(spark, sf))
+    return features.vocab(tokens_of(windows_df(spark, sf)))
 
 
-def encoded_df(spark, sf):
-    t = tokens_df(spark, sf)
+def encoded_of(w):
+    t = tokens_of(w)
     return features.encode(t, features.vocab(t))
 
 
 def q_token_encode(spark, sf):
-    return encoded_df(spark, sf).select(
+    return encoded_of(staged_windows(spark, sf)).select(
         "file_id", F.col("line_no").cast("bigint").alias("line_no"), F.array_join("ids", " ").alias("ids"))
 
 
 def q_token_lengths(spark, sf):
-    per_line = features.tokens_per_line(tokens_df(spark, sf))
-    e = per_line.join(split_windows_df(spark, sf).select("file_id", "split"), "file_id")
-    return e.rollup("split").agg(F.max("n_tokens").cast("bigint").alias("max_tokens")).select(
+    longest = features.longest_line(split_windows_df(spark, sf), P.WINDOW_LINES)
+    return longest.rollup("split").agg(F.max("n_tokens").cast("bigint").alias("max_tokens")).select(
         F.coalesce("split", F.lit("ALL")).alias("split"), "max_tokens")
 
 
 def training_df(spark, sf):
-    return features.training_rows(split_windows_df(spark, sf), encoded_df(spark, sf), P.WINDOW_LINES, P.TOKENS_PER_LINE)
+    w = staged_windows(spark, sf)
+    return features.training_rows(w, encoded_of(w), P.WINDOW_LINES, P.TOKENS_PER_LINE)
 
 
 def q_training_rows(spark, sf):
@@ -259,14 +265,31 @@ def q_shape_audit(spark, sf):
 
 
 def q_batches(spark, sf):
-    b = features.batches(training_df(spark, sf))
+    b = features.batches(features.training_labels(split_windows_df(spark, sf), P.WINDOW_LINES))
     return b.select("split", "batch_id", *_long("n_rows", "label_pos_sum", "first_file_id"))
 
 
 # --- step 7: vectors ----------------------------------------------------------
+def _vector_inputs(spark, sf):
+    t = tokens_of(staged_windows(spark, sf))
+    return t, features.vocab(t), table(spark, sf, "embeddings")
+
+
 def q_embedding_lookup(spark, sf):
-    t = tokens_df(spark, sf)
-    return features.token_vectors(t, features.vocab(t), table(spark, sf, "embeddings"))
+    return features.token_vectors(*_vector_inputs(spark, sf))
+
+
+def q_sequence_vectors(spark, sf):
+    """The ordered vectors of each line as whole numbers, hashed."""
+    t, vocabulary, vectors = _vector_inputs(spark, sf)
+    lines = features.sequence_vectors(features.token_ids(t, vocabulary), vectors)
+    digits = F.transform("vectors", lambda v: F.array_join(F.transform(v, lambda x: F.round(x * 10000).cast("bigint").cast("string")), ","))
+    return lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), F.size("vectors").cast("bigint").alias("n_tokens"),
+                        F.md5(F.array_join(digits, ";")).alias("vectors_md5"))
+
+
+def q_sequence_attention(spark, sf):
+    return features.sequence_attention(*_vector_inputs(spark, sf))
 
 
 def q_mean_pool(spark, sf):
@@ -332,6 +355,8 @@ QUERIES: dict[str, Query] = {
     "shape_audit": q_shape_audit,
     "batches": q_batches,
     "embedding_lookup": q_embedding_lookup,
+    "sequence_vectors": q_sequence_vectors,
+    "sequence_attention": q_sequence_attention,
     "mean_pool": q_mean_pool,
     "attention_pool": q_attention_pool,
     "auroc": q_auroc,
