@@ -246,6 +246,19 @@ def _clog(x: str) -> str:
 
 ORACLE.update({
     "manifest_flaws": with_ctes(LONG_CORPUS, MAN, body="SELECT doc_pos, file_pos, file_name, cwe, vulnerability_location, n_lines FROM man"),
+    "manifest_nested": with_ctes(CORPUS, body="""
+        SELECT file_id AS doc_pos, 0 AS file_pos, file_name,
+               CASE file_id % 4 WHEN 1 THEN 'CWE-9: Last' WHEN 2 THEN 'A & B > C' ELSE cwe END AS cwe,
+               vulnerability_location || CASE WHEN file_id % 4 = 1 THEN ',99' ELSE '' END AS vulnerability_location,
+               len(string_split(vulnerability_location, ',')) + CASE WHEN file_id % 4 = 1 THEN 1 ELSE 0 END AS n_lines
+        FROM corpus WHERE file_id % 8 <> 3
+        UNION ALL
+        SELECT file_id, 1, file_name || '.inner', cwe, vulnerability_location, len(string_split(vulnerability_location, ','))
+        FROM corpus WHERE file_id % 4 = 1"""),
+    "manifest_rejects": with_ctes(CORPUS, body="""
+        SELECT file_id AS doc_pos, length('<testcase><file path="' || file_name || '">' || array_to_string(list_transform(
+               string_split(vulnerability_location, ','), lambda x: '<flaw line="' || x || '" name="' || cwe || '"/>'), '') || '</testcase>') AS n_chars
+        FROM corpus WHERE file_id % 8 = 3"""),
     "manifest_join": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, body="""
         SELECT file_id, folder, path, file_name, file_extension, cwe, vulnerability_location FROM testcase"""),
     "prefix_split": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, body="""

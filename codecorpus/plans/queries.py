@@ -161,7 +161,7 @@ def _fn_stat(op):
 
 # --- step 5: curation -------------------------------------------------------
 def flaws_df(spark, sf):
-    return mf.manifest_flaws(mf.parse_manifest_strings(mf.manifest_from_corpus(long_corpus(spark, sf))))
+    return mf.manifest_flaws(mf.manifest_from_corpus(long_corpus(spark, sf)))
 
 
 def testcase_df(spark, sf):
@@ -180,9 +180,21 @@ def split_windows_df(spark, sf):
     return windows.hash_split(windows_df(spark, sf), ["file_id"])
 
 
+def _flaw_rows(flaws):
+    return flaws.select(F.col("doc_pos").cast("bigint").alias("doc_pos"), F.col("file_pos").cast("bigint").alias("file_pos"),
+                        "file_name", "cwe", "vulnerability_location", "n_lines")
+
+
 def q_manifest_flaws(spark, sf):
-    return flaws_df(spark, sf).select(F.col("doc_pos").cast("bigint").alias("doc_pos"), F.col("file_pos").cast("bigint").alias("file_pos"),
-                                      "file_name", "cwe", "vulnerability_location", "n_lines")
+    return _flaw_rows(flaws_df(spark, sf))
+
+
+def q_manifest_nested(spark, sf):
+    return _flaw_rows(mf.manifest_flaws(mf.nested_manifest(corpus(spark, sf))))
+
+
+def q_manifest_rejects(spark, sf):
+    return mf.manifest_rejects(mf.nested_manifest(corpus(spark, sf))).select("doc_pos", F.length("xml").cast("bigint").alias("n_chars"))
 
 
 def q_manifest_join(spark, sf):
@@ -342,6 +354,8 @@ QUERIES: dict[str, Query] = {
     "size_smallest": _fn_stat(stats.size_smallest),
     "size_largest": _fn_stat(stats.size_largest),
     "manifest_flaws": q_manifest_flaws,
+    "manifest_nested": q_manifest_nested,
+    "manifest_rejects": q_manifest_rejects,
     "manifest_join": q_manifest_join,
     "prefix_split": q_prefix_split,
     "pk_violations": q_pk_violations,
