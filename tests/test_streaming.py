@@ -1,3 +1,4 @@
+import datetime
 import os
 import random
 
@@ -9,27 +10,37 @@ from codecorpus.streaming.ingest import ingest
 
 
 def test_stream_early_stop_equals_batch(spark, tmp_dir):
+    """Reports in any order over several micro-batches, with a restart from the
+    checkpoint between them; then every trial idle for long leaves the state."""
     rng = random.Random(11)
-    rows = [(t, e, rng.choice([1.0, 2.0, 0.5, 0.25, 3.0])) for t in range(12) for e in range(rng.randint(1, 15))]
-    src = os.path.join(tmp_dir, "reports")
-    log = spark.createDataFrame(rows, "trial long, epoch long, valid_loss double")
-    # reports arrive in two parts; the second run restarts from the checkpoint,
-    # so the per-trial state must survive the restart
-    out = os.path.join(tmp_dir, "stops")
-
-    def run():
+    at = lambda seconds: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
+    rows = [(t, e + (e > 6) * 3, rng.choice([1.0, 2.0, 0.5, 0.25, 3.0, float("nan")]), at(60 * e + t)) for t in range(12) for e in range(rng.randint(1, 15))]
+    schema = "trial long, epoch long, valid_loss double, ts timestamp"
+    log = spark.createDataFrame(rows, schema)
+    src, out = os.path.join(tmp_dir, "reports"), os.path.join(tmp_dir, "stops")
+
+    def run(part, name):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(src, name))
         stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(src)
-        q = (early_stop_stream(stream).writeStream.format("parquet").option("path", out).outputMode("append")
+        q = (early_stop_stream(stream, delay="1 hour", idle_seconds=7200).writeStream.format("parquet").option("path", out).outputMode("append")
              .option("checkpointLocation", os.path.join(tmp_dir, "ckpt")).trigger(availableNow=True).start())
         q.awaitTermination(240)
-
-    log.filter("epoch < 5").write.parquet(os.path.join(src, "p1"))
-    run()
-    log.filter("epoch >= 5").write.parquet(os.path.join(src, "p2"))
-    run()
-    got = {(r.trial, r.stop_epoch) for r in spark.read.parquet(out).collect()}
-    want = {(r.trial, r.stop_epoch) for r in evaluate.early_stopping(log).collect() if r.stop_epoch is not None}
-    assert got == want
+        return q
+
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    third = len(rows) // 3
+    for k, part in enumerate((shuffled[:third], shuffled[third:2 * third], shuffled[2 * third:])):
+        run(part, f"p{k}")
+    run([(99, 0, 1.0, at(3 * 3600))], "later")  # the watermark passes all reports
+    got = sorted((r.trial, r.stop_epoch, r.best_loss) for r in spark.read.parquet(out).collect())
+    want = sorted((r.trial, r.stop_epoch) for r in evaluate.early_stopping(log).collect() if r.stop_epoch is not None)
+    assert [x[:2] for x in got] == want and len(want) > 3
+    low = {t: min(x[2] for x in rows if x[0] == t and x[1] <= e and x[2] == x[2]) for t, e in want}
+    assert {t: b for t, _, b in got} == low
+    q = run([(99, 1, 1.0, at(30 * 3600))], "much-later")
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert held[-1] == 1  # the last reporter only
 
 
 def test_incremental_ingest(spark, tmp_dir):
