@@ -18,7 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codecorpus.functions import patterns as P
 from codecorpus.operators import functions as fx
+from codecorpus.schemas import FUNCTIONS
 from codecorpus.sources.files import _glob, decode_lenient
+from codecorpus.streaming.summaries import write_states
 
 
 BINARY_FILE = T.StructType([
@@ -41,19 +43,25 @@ def source_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1
     )
 
 
-def _mine_batch(out_path: str):
+def _mine_batch(out_path: str, states_path: str | None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = fx.functions(fx.source_files(decode_lenient(batch)))
-        found.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")  # a batch run again replaces its own rows
+        files = decode_lenient(batch)
+        at = f"{out_path}/batch_id={batch_id}"  # a batch run again replaces its own rows
+        fx.functions(fx.source_files(files)).write.mode("overwrite").parquet(at)
+        if states_path:
+            write_states(fx.catalog(files.select("path", "file_id")), batch.sparkSession.read.schema(FUNCTIONS).parquet(at), states_path, batch_id)
 
     return run
 
 
-def ingest(spark: SparkSession, root: str, out_path: str, name: str = "ingest", checkpoint: str | None = None) -> StreamingQuery:
+def ingest(spark: SparkSession, root: str, out_path: str, name: str = "ingest", checkpoint: str | None = None,
+           states_path: str | None = None) -> StreamingQuery:
     """Process every file present now (``availableNow``) and stop; rerunning
     picks up only files that arrived since (tracked by the checkpoint).  The
     checkpoint folder is ``checkpoint``, else below ``spark.checkpoint.dir``;
-    without either a restart would read everything again, so that is an error."""
+    without either a restart would read everything again, so that is an error.
+    With ``states_path`` each batch also leaves its partial totals there
+    (``streaming.summaries``)."""
     ckpt = checkpoint
     if ckpt is None:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -61,6 +69,6 @@ def ingest(spark: SparkSession, root: str, out_path: str, name: str = "ingest",
             raise ValueError("a stream needs spark.checkpoint.dir or a checkpoint folder")
         ckpt = os.path.join(shared, "streams", name)
     return (
-        source_stream(spark, root).writeStream.foreachBatch(_mine_batch(out_path))
+        source_stream(spark, root).writeStream.foreachBatch(_mine_batch(out_path, states_path))
         .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     )

@@ -3,8 +3,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from codecorpus.operators import evaluate
+from codecorpus.operators import evaluate, grouping, stats
+from codecorpus.operators import functions as fx
+from codecorpus.sources.files import read_sources
+from codecorpus.streaming import summaries
 from codecorpus.streaming.early_stop import early_stop_stream
 from codecorpus.streaming.ingest import ingest
 
@@ -60,3 +64,35 @@ def test_incremental_ingest(spark, tmp_dir):
     ingest(spark, root, out, checkpoint=ckpt).awaitTermination(240)
     names = sorted(r.name for r in spark.read.parquet(out).collect())
     assert names == ["bad", "good"]   # the first file is not processed again
+
+
+def test_totals_of_several_arrivals_equal_the_batch(spark, tmp_dir):
+    root, out, states, ckpt = (os.path.join(tmp_dir, x) for x in ("src", "functions", "states", "ckpt"))
+    r = random.Random(2)
+    for arrival in range(3):
+        for k in range(6):
+            ext = r.choice(["c", "java", "cs", "cpp", "txt"])
+            path = os.path.join(root, f"d{r.randint(0, 2)}", f"CWE{k}_A_{arrival:02d}_{r.choice(['bad', 'good'])}.{ext}")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w") as f:
+                f.write("".join(f"void {r.choice(['bad', 'goodSink', 'x'])}() {{\n" + "  a = 1;\n" * r.randint(3, 9) + "}\n" for _ in range(r.randint(0, 3))))
+        ingest(spark, root, out, checkpoint=ckpt, states_path=states).awaitTermination(240)
+    files = read_sources(spark, root)
+    catalog, functions = fx.catalog(files), fx.functions(fx.source_files(files))
+
+    def equal():
+        rows = lambda d: sorted(map(tuple, d.select(sorted(d.columns)).collect()), key=repr)
+        assert rows(summaries.testcase_summary(spark, states)) == rows(grouping.testcase_summary(catalog, functions))
+        assert rows(summaries.dataset_summary(spark, states)) == rows(grouping.dataset_summary(catalog, functions))
+        assert rows(summaries.size_stats(spark, states)) == rows(stats.size_stats(functions))
+
+    equal()
+    assert len([x for x in os.listdir(os.path.join(states, "case_states")) if x.startswith("batch_id=")]) == 3
+    # a replay of the last batch replaces its rows
+    last = spark.read.parquet(out).filter("batch_id = 2").select(functions.columns)
+    newest = spark.read.parquet(os.path.join(states, "case_states")).filter("batch_id = 2")
+    before = sorted(map(tuple, newest.collect()), key=repr)
+    batch = files.filter(F.regexp_extract("path", "_A_02_", 0) != "")
+    summaries.write_states(fx.catalog(batch), last, states, 2)
+    assert sorted(map(tuple, spark.read.parquet(os.path.join(states, "case_states")).filter("batch_id = 2").collect()), key=repr) == before
+    equal()
