@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
-from codecorpus.functions.text import base_name, extension, strip_keep_newlines
+from codecorpus.functions.text import base_name, extension, rust_line_count, strip_keep_newlines
 from codecorpus.operators.scan import row_index
 
 
@@ -43,13 +43,14 @@ def testcase_table(files: DataFrame, flaws: DataFrame) -> DataFrame:
     )
 
 
-def prefix_split(testcases: DataFrame, split=P.SPLIT_PERCENT) -> DataFrame:
+def prefix_split(testcases: DataFrame, split=P.SPLIT_PERCENT, also: list[str] | None = None) -> DataFrame:
     """J2 / WIN-1 / FLT-2 / SET-2: per language (exact extension) the first
     trunc(70% n) rows in (path, file_id) order are training (0), the next
     trunc(20% n) testing (1), the rest validation (2); text cleaned with the
     newline-keeping stripper.  Only the keys are numbered (block method); the two
     last keys of training and testing per language, at most one row a language, are
-    broadcast and every file compares its own key with them, so no text moves."""
+    broadcast and every file compares its own key with them, so no text moves.
+    ``also``: columns of the input to keep."""
     t = testcases.filter(F.col("file_extension").isin(*P.INGEST_EXTENSIONS))
     ranked = row_index(t.select("file_extension", "path", "file_id"), ["path", "file_id"], ["file_extension"], name="rn", count_as="n")
     n_train = F.floor(F.col("n") * split[0] / 100)
@@ -61,10 +62,23 @@ def prefix_split(testcases: DataFrame, split=P.SPLIT_PERCENT) -> DataFrame:
     model_id = F.when(key <= F.col("train_end"), 0).when(key <= F.col("test_end"), 1).otherwise(2)
     return t.join(F.broadcast(cuts), "file_extension", "left").select(
         "file_id", model_id.alias("model_id"), "file_name", "file_extension",
-        strip_keep_newlines(F.col("content")).alias("file_content"), "cwe", "vulnerability_location",
+        strip_keep_newlines(F.col("content")).alias("file_content"), "cwe", "vulnerability_location", *(also or []),
     )
 
 
+def audited_cases(testcases: DataFrame, split=P.SPLIT_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """J2 with its audit (STR-4): the cases whose cleaned text has as many lines as
+    the file, and the keys and line counts of the others.  The split is made before
+    the audit, as in the reference, so it does not move with the rejects."""
+    rows = prefix_split(testcases.withColumn("lines_before", rust_line_count(F.col("content")).cast("bigint")), split, ["lines_before"])
+    columns = [c for c in rows.columns if c not in ("file_content", "lines_before")]
+    # the cleaned text is made once, and its row stays if it passes
+    passed = F.explode(F.filter(F.array("file_content"), lambda t: rust_line_count(t) == F.col("lines_before"))).alias("file_content")
+    after = rust_line_count(F.col("file_content")).cast("bigint")
+    rejects = rows.select(*columns, "lines_before", after.alias("lines_after")).filter(F.col("lines_before") != F.col("lines_after"))
+    return rows.select(*columns, passed), rejects.select("file_id", "model_id", "file_name", "file_extension", "lines_before", "lines_after")
+
+
 def key_violations(df: DataFrame, key: list[str], table_name: str) -> DataFrame:
     """SNK-3/SNK-4 guard: keys that occur more than once.  A load writes only
     when this is empty (all-or-nothing), see ``sinks.write_checked``."""

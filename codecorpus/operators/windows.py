@@ -24,16 +24,17 @@ def window_offsets(key: Column, window: int, seed: str = "vlw") -> tuple[Column,
 
 
 def line_windows(cases: DataFrame, window: int = P.WINDOW_LINES, seed: str = "vlw",
-                 numeric_class: bool = False) -> DataFrame:
+                 numeric_class: bool = False, one_based: bool = False) -> DataFrame:
     """J4: rows with a single location (no comma); the location L is a 0-based
     line index (as written, T5).  When 0 <= L < n the window is
     lines[max(0, L-before) : min(n, L+after+1)] and the new location L-start;
     otherwise the text is empty and the location NULL.  Unparseable locations
     are dropped here (``window_rejects`` lists them) instead of aborting.
     ``numeric_class`` fills ``cwe_int`` from the class name (EXT-3) instead
-    of the reference's constant 0."""
+    of the reference's constant 0; ``one_based`` reads locations as line numbers
+    from 1 (T5, MTH-2)."""
     single = cases.filter(~F.col("vulnerability_location").contains(","))
-    loc = F.trim(F.col("vulnerability_location")).try_cast("int")
+    loc = F.trim(F.col("vulnerability_location")).try_cast("int") - F.lit(int(one_based))
     lines = split_lines(F.col("file_content"))
     before, after = window_offsets(F.col("file_id"), window, seed)  # names repeat, ids do not
     t = single.select(

@@ -263,6 +263,19 @@ ORACLE.update({
         SELECT file_id, folder, path, file_name, file_extension, cwe, vulnerability_location FROM testcase"""),
     "prefix_split": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, body="""
         SELECT file_id, model_id, file_name, file_extension, cwe, vulnerability_location, md5(file_content) AS content_md5 FROM cases"""),
+    "cases": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, body=f"""
+        SELECT c.file_id, c.model_id, c.file_name, c.cwe, c.vulnerability_location, md5(c.file_content) AS content_md5
+        FROM cases c JOIN testcase t USING (file_id) WHERE {_rust_lines('c.file_content')} = {_rust_lines('t.content')}"""),
+    "case_rejects": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, body=f"""
+        SELECT c.file_id, c.model_id, c.file_name, c.file_extension, {_rust_lines('t.content')} AS lines_before, {_rust_lines('c.file_content')} AS lines_after
+        FROM cases c JOIN testcase t USING (file_id) WHERE {_rust_lines('c.file_content')} <> {_rust_lines('t.content')}"""),
+    "line_windows_one_based": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES,
+        (WIN[0], WIN[1].replace("AS INTEGER) AS L", "AS INTEGER) - 1 AS L")), body="""
+        SELECT file_id, coalesce(TRY_CAST(regexp_extract(cwe, '[0-9]+', 0) AS BIGINT), 0) AS cwe_int, vulnerability_location,
+               md5(vlw_content) AS content_md5 FROM win"""),
+    "window_rejects": with_ctes(LONG_CORPUS, MAN, INGEST, TESTCASE, CASES, body="""
+        SELECT file_id, file_name, 'L' || vulnerability_location AS vulnerability_location FROM cases
+        WHERE file_id % 9 = 0 AND NOT contains(vulnerability_location, ',')"""),
     "pk_violations": with_ctes(*CUR, body="""
         SELECT 'Cases' AS table_name, model_id::BIGINT AS model_id, file_name, count(*) AS n FROM cases
         GROUP BY model_id, file_name HAVING count(*) > 1

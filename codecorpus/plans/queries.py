@@ -207,6 +207,30 @@ def q_prefix_split(spark, sf):
                     "vulnerability_location", F.md5("file_content").alias("content_md5"))
 
 
+def q_cases(spark, sf):
+    """The Cases load: audited rows."""
+    good, _ = curate.audited_cases(testcase_df(spark, sf))
+    return good.select("file_id", F.col("model_id").cast("bigint").alias("model_id"), "file_name", "cwe", "vulnerability_location",
+                       F.md5("file_content").alias("content_md5"))
+
+
+def q_case_rejects(spark, sf):
+    _, bad = curate.audited_cases(testcase_df(spark, sf))
+    return bad.withColumn("model_id", F.col("model_id").cast("bigint"))
+
+
+def q_line_windows_one_based(spark, sf):
+    w = windows.line_windows(cases_df(spark, sf), numeric_class=True, one_based=True)
+    return w.select("file_id", *_long("cwe_int", "vulnerability_location"), F.md5("vlw_content").alias("content_md5"))
+
+
+def q_window_rejects(spark, sf):
+    """Rows whose location is no number (several locations are no single-location rows)."""
+    odd = cases_df(spark, sf).withColumn("vulnerability_location", F.when(F.col("file_id") % 9 == 0, F.concat(F.lit("L"), "vulnerability_location"))
+                                         .otherwise(F.col("vulnerability_location")))
+    return windows.window_rejects(odd).select("file_id", "file_name", "vulnerability_location")
+
+
 def q_pk_violations(spark, sf):
     cases = cases_df(spark, sf)
     return curate.key_violations(cases, ["model_id", "file_name"], "Cases").unionByName(
@@ -358,6 +382,10 @@ QUERIES: dict[str, Query] = {
     "manifest_rejects": q_manifest_rejects,
     "manifest_join": q_manifest_join,
     "prefix_split": q_prefix_split,
+    "cases": q_cases,
+    "case_rejects": q_case_rejects,
+    "line_windows_one_based": q_line_windows_one_based,
+    "window_rejects": q_window_rejects,
     "pk_violations": q_pk_violations,
     "class_histogram": q_class_histogram,
     "line_windows": q_line_windows,
