@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
-from codecorpus.operators.scan import prefix_scan
+from codecorpus.operators.scan import prefix_scan, row_index
 from codecorpus.operators.staging import staged
 
 
@@ -199,30 +199,22 @@ ORDER = ("lines", "test_case_id", "path", "start_line")
 
 def size_middle(functions: DataFrame, half_width: int = 2) -> DataFrame:
     """WIN-3: the functions at sorted positions n//2-2 .. n//2+2 (0-based) of
-    the size order (ties broken by test case, path, start line), by counting.
-    Functions are counted by size, then those of the sizes at these positions by
-    the next keys in turn; each step adds the functions of smaller keys to the base and
-    leaves only the groups that reach into the slice, so just the last of them are
-    ordered.  The functions are written once, as every step reads them."""
+    the size order (ties broken by test case, path, start line), by counting:
+    the histogram of sizes tells which sizes reach into the slice, and only their
+    functions are ordered (block method).  Functions are written once, as both steps
+    read them."""
     rows = staged(functions.select("name", "label", *ORDER), "sizes")
-    n = rows.count()
-    low, high = max(0, n // 2 - half_width), min(n - 1, n // 2 + half_width)
-    # groups that hold positions low .. high: prefix of the key -> position of the first function
-    groups, base, prefix = rows, "0L", []
-    for column in ORDER:
-        prefix.append(column)
-        keys = prefix[:-1]
-        counts = groups.groupBy(*prefix, *(["first"] if keys else [])).agg(F.count(F.lit(1)).alias("n"))
-        placed = prefix_scan(counts, [column], {"before": ("sum", F.col("n"))}, keys, inclusive=False)
-        at = F.expr(base) + F.col("before")
-        held = staged(placed.select(*prefix, at.alias("first"), "n").filter((F.col("first") <= high) & (F.col("first") + F.col("n") > low)), "size-groups")
-        # a group holds one function or more, so at most as many groups as positions are left
-        groups = rows.join(F.broadcast(held.select(*prefix, "first")), prefix)
-        base = "first"
-    order = Window.partitionBy("first").orderBy("name", "label")  # rows equal in all keys
-    pos = F.col("first") + F.row_number().over(order) - 1
-    return groups.select(pos.cast("bigint").alias("pos"), "name", F.col("lines").cast("bigint").alias("lines"), "label", "test_case_id", "path",
-                         F.col("start_line").cast("bigint").alias("start_line")).filter((F.col("pos") >= low) & (F.col("pos") <= high))
+    placed = prefix_scan(size_counts(rows), ["lines"], {"first": ("sum", F.col("n"))}, inclusive=False, totals_as={"first": "total"})
+    low = F.greatest(F.floor(F.col("total") / 2) - half_width, F.lit(0))
+    high = F.floor(F.col("total") / 2) + half_width
+    # a size holds one function or more, so at most as many sizes as positions
+    held = placed.filter((F.col("first") <= high) & (F.col("first") + F.col("n") > low)).select("lines", "first", low.alias("low"), high.alias("high"))
+    deciding = row_index(rows.join(F.broadcast(held), "lines"), list(ORDER[1:]), ["lines"], name="rn")
+    pos = F.col("first") + F.col("rn") - 1
+    return deciding.filter((pos >= F.col("low")) & (pos <= F.col("high"))).select(
+        pos.cast("bigint").alias("pos"), "name", F.col("lines").cast("bigint").alias("lines"), "label",
+        "test_case_id", "path", F.col("start_line").cast("bigint").alias("start_line"),
+    )
 
 
 def _top(functions: DataFrame, k: int, desc: bool) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codecorpus.functions import patterns as P
 from codecorpus.functions import text as tx
 from codecorpus.operators import functions as fx
-from codecorpus.operators import curate, evaluate, features, grouping, labels, stats, windows
+from codecorpus.operators import curate, evaluate, features, grouping, labels, search, stats, windows
 from codecorpus.operators.staging import staged
 from codecorpus.sources import manifest as mf
 from codecorpus.sources.corpus import virtual_corpus
@@ -346,10 +346,40 @@ def epochs_df(spark, sf):
 
 
 def q_auroc(spark, sf):
-    s = scores_df(spark, sf)
-    a = evaluate.auroc(s, "score", "label").withColumn("label_name", F.lit("toxic"))
-    b = evaluate.auroc(s, "score", "quality").withColumn("label_name", F.lit("quality"))
-    return a.unionByName(b)
+    """Both labels in one pass."""
+    s = scores_df(spark, sf).withColumn("score", evaluate.sigmoid(F.col("score")))
+    pairs = F.array(*[F.struct(F.lit(name).alias("label_name"), F.col(c).alias("y")) for name, c in (("toxic", "label"), ("quality", "quality"))])
+    return evaluate.auroc_by(s.select("score", F.inline(pairs)), ["label_name"], "score", "y")
+
+
+#: Size of the registered search: trials and steps of each.
+TRIALS, STEPS = 8, 6
+
+
+def cells_df(spark, sf):
+    return search.hashed_cells(split_windows_df(spark, sf))
+
+
+def configurations(spark):
+    """The search space's rows; learning rates are for full gradients of a linear model."""
+    rows = evaluate.search_space(spark.range(TRIALS).select(F.col("id").alias("trial"))).orderBy("trial").collect()
+    return [{**r.asDict(), "lr": r.lr * 1000} for r in rows]
+
+
+def q_search_trials(spark, sf):
+    return search.search(cells_df(spark, sf), configurations(spark), STEPS)
+
+
+def q_search_best(spark, sf):
+    return search.best_configuration(q_search_trials(spark, sf))
+
+
+def q_model_evaluation(spark, sf):
+    return search.evaluation(search.out_of_fold_scores(cells_df(spark, sf), configurations(spark)[0], STEPS))
+
+
+def q_model_curve(spark, sf):
+    return search.curve(cells_df(spark, sf), configurations(spark)[0], STEPS)
 
 
 QUERIES: dict[str, Query] = {
@@ -407,6 +437,10 @@ QUERIES: dict[str, Query] = {
     "bce_epoch": lambda spark, sf: evaluate.bce_batched(scores_df(spark, sf), P.BATCH_SIZE),
     "early_stopping": lambda spark, sf: evaluate.early_stopping(epochs_df(spark, sf)),
     "best_trial": lambda spark, sf: evaluate.best_trial(epochs_df(spark, sf)),
+    "search_trials": q_search_trials,
+    "search_best": q_search_best,
+    "model_evaluation": q_model_evaluation,
+    "model_curve": q_model_curve,
     "learning_curve": lambda spark, sf: evaluate.learning_curve(epochs_df(spark, sf)),
     "testcase_members": q_testcase_members,
     "first_functions": q_first_functions,

@@ -32,7 +32,8 @@ def test_entry(spark):
 
 
 def test_every_library_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE) and set(E.oracle_sql()) <= set(E.queries())
+    iterative = {"search_trials", "search_best", "model_evaluation", "model_curve"}  # test_search.py
+    assert set(QUERIES) - iterative == set(ORACLE) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
