@@ -91,3 +91,26 @@ def test_labelled_functions(spark):
     lab = {r.name: r.label for r in f}
     assert lab == {"helper": "POSITIVE", "main": "NEGATIVE"}
     assert all(r.lines == r.end_line - r.start_line + 1 for r in f)
+
+
+def test_suffix_of_the_path(spark):
+    """PRJ-2b: the flag of the whole path, not only of the file's name."""
+    files = {"/x_bad/CWE1_A_01.c": "void helper()\n{\n  a(); b(); c();\n}\n"}
+    ex = fx.extracted_functions(fx.source_files(_frame(spark, files)))
+    assert [r.label for r in fx.label_functions(ex, suffix_from="path").collect()] == ["POSITIVE"]
+    assert [r.label for r in fx.label_functions(ex).collect()] == ["NEGATIVE"]
+
+
+def test_mining_plan_has_no_shuffle(spark, capsys):
+    fx.functions(fx.source_files(_frame(spark, SNIPPETS))).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Sort" not in plan and "Python" not in plan
+
+
+def test_long_and_odd_files(spark):
+    """Many functions and unbalanced braces in one file, in time that grows with its length."""
+    many = "".join(f"void f{i}()\n{{\n  a(); b(); c();\n}}\n" for i in range(3000))
+    files = {"/l/many.c": many, "/l/open.c": "void f() {\n" * 2000, "/l/close.java": "}\n" * 2000, "/l/empty.c": "", "/l/none.cs": "x"}
+    got = _got(spark, files)
+    assert {g[1:4] for g in got if g[0] == 0} == {(f"f{i}", 4 * i + 1, 4 * i + 4) for i in range(3000)}
+    assert {g[0] for g in got} == {0, 1} and len([g for g in got if g[0] == 1]) == 2000

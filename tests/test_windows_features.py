@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codecorpus.operators import curate, features, windows
@@ -56,9 +58,54 @@ def test_prefix_split_counts_and_small_languages(spark):
     assert got[100] == 2                                                  # one file: both counts are 0
 
 
+def _sequences(spark):
+    toks = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 2, "a"), (1, 0, 1, "b"), (1, 3, 0, "c"), (2, 0, 0, "b")],
+                                 "file_id long, line_no int, pos int, token string")
+    voc = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2000)], "token string, token_id long")
+    emb = spark.createDataFrame([(1, [3.0, 6.0, 1.0]), (2000, [300.0, -900.0, 2.0]), (7, [0.0] * 3), (7, [0.0] * 3)], "vec_id long, embedding array<float>")
+    return toks, voc, emb
+
+
 def test_token_vectors_count_unmatched_tokens_as_zero(spark):
-    toks = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], "file_id long, token string")
-    voc = spark.createDataFrame([("a", 1), ("b", 2)], "token string, token_id long")
-    emb = spark.createDataFrame([(1, [3.0, 6.0])], "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in features.token_vectors(toks, voc, emb, 2).collect())
-    assert got == [(1, 0, 3, 2, 2.0), (1, 1, 3, 2, 4.0), (2, 0, 1, 0, 0.0), (2, 1, 1, 0, 0.0)]
+    toks, voc, emb = _sequences(spark)
+    got = sorted(tuple(r) for r in features.token_vectors(toks, voc, emb).collect())
+    assert got == [(1, 0, 4, 3, 76.5), (1, 1, 4, 3, -222.0), (1, 2, 4, 3, 1.0), (2, 0, 1, 0, 0.0), (2, 1, 1, 0, 0.0), (2, 2, 1, 0, 0.0)]
+
+
+def test_vectors_in_token_order(spark):
+    """Frequent and rare tokens alike, whatever the boundary between them."""
+    toks, voc, emb = _sequences(spark)
+    ids = features.token_ids(toks, voc)
+    want = {(1, 0): [[3.0, 6.0, 1.0], [0.0] * 3, [3.0, 6.0, 1.0]], (1, 3): [[300.0, -900.0, 2.0]], (2, 0): [[0.0] * 3]}
+    got = {(r.file_id, r.line_no): r.vectors for r in features.sequence_vectors(ids, emb).collect()}
+    assert got == want
+    for hot in (0, 1, 5000):
+        rows = features.with_vectors(ids, emb, hot).collect()
+        assert len(rows) == 5 and sorted((r.token_id, r.vec is not None) for r in rows) == [(1, True), (1, True), (2, False), (2, False), (2000, True)]
+    with pytest.raises(ValueError):
+        features.vector_length(emb.unionByName(spark.createDataFrame([(9, [1.0])], emb.schema)))
+
+
+@pytest.mark.parametrize("dims,weights", [(3, None), (70, None), (3, [2.0, -30.0, 0.5])])
+def test_softmax_pool_equals_numpy(spark, dims, weights):
+    """Scores far apart, a hot key, repeated positions, any number of dimensions."""
+    r = np.random.default_rng(3)
+    rows = [(int(k), (r.normal(size=dims) * r.choice([1, 40, 900])).tolist(), int(r.integers(1, 4))) for k in [0] * 50 + [1, 2, 2]]
+    df = spark.createDataFrame(rows, "k long, vec array<double>, n long").repartition(5)
+    w = np.array(weights or [((d % 7) - 3) / 10 for d in range(dims)])
+    for x in features.softmax_pool(df, "k", weights).collect():
+        v = np.array([v for k, v, n in rows if k == x.k for _ in range(n)])
+        e = np.exp(v @ w - (v @ w).max())
+        assert np.allclose(x.pooled, (e[:, None] * v).sum(0) / e.sum())
+
+
+def test_longest_line_and_labels(spark):
+    text = "\n".join(["a b  c", "", "d"] + ["x"] * 37)
+    rows = [(1, 0, "a.c", text, "CWE-12", "3"), (2, 0, "b.c", "\n".join([""] * 50), "CWE-7", "3")]
+    win = windows.line_windows(_cases(spark, rows), 40, numeric_class=True, one_based=True).withColumn("split", F.lit("train"))
+    assert {r.file_id: r.cwe_int for r in win.collect()} == {1: 12, 2: 7}
+    for r in win.collect():  # one-based: line 3 is index 2
+        assert r.vlw_content == "" or r.vlw_content.split("\n")[r.vulnerability_location] in ("d", "")
+    assert {r.file_id: r.n_tokens for r in features.longest_line(win, 40).collect()}.get(2) is None
+    tr = features.training_labels(win, 40).collect()
+    assert all(sum(r.label) == 1 for r in tr)
