@@ -72,6 +72,8 @@ ORACLE: dict[str, str] = {
         SELECT test_case_id, path FROM files
         WHERE test_case_id IN (SELECT DISTINCT test_case_id FROM files ORDER BY test_case_id LIMIT 5)"""),
     "file_counts": with_ctes(CORPUS, FILES, body="SELECT ext, language, count(*) AS n_files FROM files GROUP BY ext, language"),
+    "subfolders": with_ctes(CORPUS, body=f"""SELECT regexp_extract(path, {q(r'^(.*)[/\\][^/\\]+$')}, 1) AS folder_name,
+        count(*) AS n_files, min(path) AS first_path FROM corpus GROUP BY 1"""),
     "functions": FUNCTIONS,
     "function_names": with_ctes(*FUNCTION_CHAIN, body="""
         SELECT DISTINCT f.test_case_id, e.name FROM extracted e JOIN files f USING (file_id)"""),

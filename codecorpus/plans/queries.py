@@ -17,6 +17,7 @@ from codecorpus.functions import text as tx
 from codecorpus.operators import functions as fx
 from codecorpus.operators import curate, evaluate, features, grouping, labels, search, stats, windows
 from codecorpus.operators.staging import staged
+from codecorpus.sources import files as fs
 from codecorpus.sources import manifest as mf
 from codecorpus.sources.corpus import virtual_corpus
 from codecorpus.sources.tables import spread, table
@@ -111,6 +112,12 @@ def q_file_counts(spark, sf):
     return grouping.file_counts(catalog(spark, sf))
 
 
+def q_subfolders(spark, sf):
+    """Files by the sub-folder row they join."""
+    placed = fs.with_subfolders(corpus(spark, sf).select("file_id", "path"))
+    return placed.groupBy("folder_name").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"))
+
+
 # --- step 3: functions ------------------------------------------------------
 def q_functions(spark, sf):
     return functions_df(spark, sf).select(
@@ -391,6 +398,7 @@ QUERIES: dict[str, Query] = {
     "testcase_groups": q_testcase_groups,
     "testcase_limit": q_testcase_limit,
     "file_counts": q_file_counts,
+    "subfolders": q_subfolders,
     "functions": q_functions,
     "function_names": q_function_names,
     "function_labels": q_function_labels,

@@ -34,8 +34,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints and stream state.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a private scratch folder is made
-    and registered with ``setCheckpointDir``."""
+    is.  Only when it is unset on a local master (tests) a private scratch folder is
+    made and registered with ``setCheckpointDir``; on a cluster that would be one
+    machine's disk, so it is an error."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -45,5 +46,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="codecorpus-ckpt-"))
     return sc.getCheckpointDir()

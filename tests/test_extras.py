@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codecorpus.functions.code import cwe_number, split_name
 from codecorpus.functions.sql import register_sql_functions
 from codecorpus.operators.grouping import first_k
 from codecorpus.operators.windows import hash_split
+from codecorpus.session import checkpoint_dir
 
 
 def test_sql_functions(spark):
@@ -35,3 +37,21 @@ def test_exact_hash_split(spark):
     assert out.filter("split = 'test'").count() == 21   # ceil(0.2 * 101)
     approx = hash_split(rows, ["file_id"], 20)
     assert approx.count() == 101
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder = master, folder
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.folder} if self.folder else {}
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    session = lambda *a: type("S", (), {"sparkContext": Context(*a)})()
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(session(master))
+        assert checkpoint_dir(session(master, "hdfs://x/ckpt")) == "hdfs://x/ckpt"
