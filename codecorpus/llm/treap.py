@@ -1,7 +1,8 @@
 """Ranked lexical search over a K2-treap of every shard of documents.
 
 A shard is a run of documents of bounded text, and its grid has a row for each
-term (by falling document count) and a column for each document (by id).  A point
+term (by falling document count, rows ``2 ** STRETCH`` apart, so that a cell holds more
+documents than terms and its maximum tells more) and a column for each document (by id).  A point
 is a posting, its value the term's impact, the part of the score that needs no term
 weight.  The grid is halved in both directions down to single points; each
 quadtree cell stores its children's mask and, as the difference to its parent, the
@@ -37,12 +38,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm import exchange as X
-from codecorpus.llm.common import partitions, staged
+from codecorpus.llm.common import partitions, staged, text_batches
 from codecorpus.llm.terms import LOWER, PATTERN, UPPER, Terms, hashes, terms
 
 K = 20
 #: Bytes of text in a shard.
-SHARD = 16 << 20
+SHARD = 4 << 20
+STRETCH = 6
+#: One shard in so many is searched first, for the floors.
+FIRST = 16
+#: Groups of shards a partition.
+SLOTS = 4
 ITEMS, TERMS = 1024, 65_536
 #: Ranges of an item that a step opens.
 OPEN = 8
@@ -127,6 +133,33 @@ def quadtree(row: np.ndarray, col: np.ndarray, value: np.ndarray, bits: int) ->
     return np.concatenate(mask).astype(np.uint8), np.concatenate(losses), np.concatenate(rest)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, as many as the largest needs."""
+    size = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return X.planes(x.astype(np.uint64))[:size * len(x)]
+
+
+def unpacked(b: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros((8, n), np.uint8)
+    out[:len(b) // n] = np.frombuffer(b, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(out.T).view("<u8").ravel()
+
+
+def filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``limit`` bytes, so that short documents make no small shards."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 INDEX = "shard bigint, bits int, n_docs int, ids binary, known binary, words binary, dfs binary, masks binary, losses binary, rests binary"
 
 
@@ -139,7 +172,7 @@ def index(docs: DataFrame, size: tuple[int, int], text: str = "text", doc_id: st
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for chunk in X.chunks(batches, shard):
+        for chunk in X.chunks(filled(batches, shard), shard):
             t = terms(chunk)
             if not len(t.start):
                 continue
@@ -151,10 +184,10 @@ def index(docs: DataFrame, size: tuple[int, int], text: str = "text", doc_id: st
             words, df, row, doc, tf = postings(t)
             m = 75 + 25 * t.counts().astype(np.int64) * n_docs // total
             impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[doc])
-            bits = max(1, int(max(len(words), len(ids)) - 1).bit_length())
-            masks, losses, rests = quadtree(row, column[doc], impact, bits)
-            values = [number, bits, len(ids), X.planes(ids[by]), known[by].tobytes(), b"\n".join(words), X.planes(df.astype(np.int64)),
-                      masks.tobytes(), X.planes(losses.astype(np.uint32)), X.planes(rests)]
+            bits = max(1, int(max((len(words) - 1) << STRETCH, len(ids) - 1)).bit_length())
+            masks, losses, rests = quadtree(row << STRETCH, column[doc], impact, bits)
+            values = [number, bits, len(ids), X.planes(ids[by]), known[by].tobytes(), b"\n".join(words), packed(df),
+                      masks.tobytes(), packed(losses), packed(rests)]
             yield pa.RecordBatch.from_pydict(dict(zip(names, [[v] for v in values], strict=True)), schema=pa.schema(
                 [(n, pa.int64() if n == "shard" else pa.int32() if n in ("bits", "n_docs") else pa.binary()) for n in names]))
             number += 1
@@ -171,16 +204,16 @@ class Treap:
     def __init__(self, bits: int, masks: bytes, losses: bytes, rests: bytes):
         self.bits, self.mask = bits, np.frombuffer(masks, np.uint8)
         children = _BITS[self.mask]
-        self.first = 1 + np.cumsum(children) - children
-        self.top = X.unplanes(losses, "<u4").astype(np.int64)
-        parent = np.repeat(np.arange(len(children)), children)  # of cells 1, 2, ...
+        self.first = (1 + np.cumsum(children) - children).astype(np.int32)
+        self.top = unpacked(losses, len(children)).astype(np.int32)
+        parent = np.repeat(np.arange(len(children), dtype=np.int32), children)  # of cells 1, 2, ...
         a, b = 1, 1 + int(children[0])
         while a < b:  # a level at a time
             self.top[a:b] = self.top[parent[a - 1:b - 1]] - self.top[a:b]
             a, b = b, 1 + int(np.searchsorted(parent, b))
-        self.row, self.col = np.zeros(len(children), np.int64), np.zeros(len(children), np.int64)
-        rest = X.unplanes(rests, "<u8")
+        self.row, self.col = np.zeros(len(children), np.int32), np.zeros(len(children), np.int32)
         alone = self.mask == 0
+        rest = unpacked(rests, int(alone.sum()))
         self.row[alone], self.col[alone] = gathered(rest >> np.uint64(1)), gathered(rest)
 
     def halves(self, node: np.ndarray, row: np.ndarray, left: np.ndarray, right: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,13 +232,13 @@ class Treap:
 
 def best_documents(treap: Treap, items: list[tuple[np.ndarray, np.ndarray]], k: int, floors: list[int]) -> list[list[tuple[int, int]]]:
     """Per item (rows, weights) its ``k`` best (score, column) of those scoring
-    ``floor`` or more."""
+    ``floor`` (1 at least) or more."""
     found: list[list[tuple[int, int]]] = [[] for _ in items]
     heaps: list[list] = []
     for rows, weights in items:
         node = np.zeros(len(rows), np.int64)
         live = (treap.mask[node] != 0) | (treap.row[node] == rows)
-        bound = int(weights[live].sum() * treap.top[0])
+        bound = int(weights[live].sum()) * int(treap.top[0])
         heaps.append([(-bound, 0, treap.bits, rows[live], weights[live], node[live])] if bound else [])
     ready = [i for i, h in enumerate(heaps) if h]
     while ready:
@@ -229,7 +262,7 @@ def best_documents(treap: Treap, items: list[tuple[np.ndarray, np.ndarray]], k:
         sizes = np.array([len(x[5]) for x in opened])
         row, weight, node = (np.concatenate([x[c] for x in opened]) for c in (3, 4, 5))
         left = np.repeat([x[2] for x in opened], sizes)
-        ends = np.cumsum(sizes)
+        ends, floor = np.cumsum(sizes), np.array([floors[x[0]] for x in opened])
         for right in (0, 1):
             there, child = treap.halves(node, row, left, right)
             gain = np.where(there, weight * treap.top[child], 0)
@@ -237,7 +270,7 @@ def best_documents(treap: Treap, items: list[tuple[np.ndarray, np.ndarray]], k:
             kept = np.r_[0, np.cumsum(there)[ends - 1]]
             rows, weights, nodes = row[there], weight[there], child[there]
             settled = np.diff(np.r_[0, np.cumsum(there & (treap.mask[child] != 0))[ends - 1]]) == 0
-            for e in np.flatnonzero(bounds):
+            for e in np.flatnonzero(bounds >= floor):
                 i, column, bits = opened[e][:3]
                 part, start = slice(kept[e], kept[e + 1]), column + (right << (bits - 1))
                 if settled[e]:  # single points only: their documents' scores
@@ -247,7 +280,7 @@ def best_documents(treap: Treap, items: list[tuple[np.ndarray, np.ndarray]], k:
                     for c, s in zip(at.tolist(), scores.tolist(), strict=True):
                         if s >= floors[i]:
                             heapq.heappush(heaps[i], (-s, start + c, 0))
-                elif bounds[e] >= floors[i]:
+                else:
                     heapq.heappush(heaps[i], (-int(bounds[e]), start, bits - 1, rows[part], weights[part], nodes[part]))
     return found
 
@@ -265,6 +298,8 @@ def met(left: DataFrame, blocks: int, index: DataFrame, slots: int, columns: lis
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("slot", every(slots))
     b = index.select("shard", *columns, slot.alias("slot"), every(blocks).alias("block"))
+    # a fixed number of partitions: shards are few rows and much work, so they are not coalesced
+    a, b = (x.repartition(partitions(index), "block", "slot") for x in (a, b))
     return a.groupBy("block", "slot").cogroup(b.groupBy("block", "slot"))
 
 
@@ -279,11 +314,12 @@ def document_counts(asked: DataFrame, index: DataFrame, slots: int) -> DataFrame
     def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         wanted = {x.encode(): 0 for x in a["term"]}
         for words, dfs in zip(b["words"], b["dfs"], strict=True):
-            for w, n in zip(words.split(b"\n"), X.unplanes(dfs, "<i8").tolist(), strict=True):
+            held = words.split(b"\n")
+            for w, n in zip(held, unpacked(dfs, len(held)).tolist(), strict=True):
                 if w in wanted:
                     wanted[w] += n
-        held = [(w.decode(), n) for w, n in wanted.items() if n]
-        return pd.DataFrame(held, columns=["term", "df"])
+        counted = [(w.decode(), n) for w, n in wanted.items() if n]
+        return pd.DataFrame(counted, columns=["term", "df"])
 
     groups = met(asked.select("term", block_of("term", blocks).alias("block")), blocks, index, slots, ["words", "dfs"])
     return groups.applyInPandas(look, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
@@ -292,24 +328,40 @@ def document_counts(asked: DataFrame, index: DataFrame, slots: int) -> DataFrame
 def search(index: DataFrame, items: DataFrame, n_docs: int, k: int = K, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id, rank, doc_id, score`` from a stored index."""
     said = staged(item_terms(items, item_id, text), "item-terms")
-    slots = max(1, min(index.count(), partitions(index)))
+    slots = max(1, min(index.count(), SLOTS * partitions(index)))
     counts = document_counts(said.select("term").distinct(), index, slots)
     weight = F.floor(1000 * F.log((2 * F.lit(float(n_docs)) + 2) / (2 * F.col("df").cast("double") + 1))).cast("bigint")
     weighed = said.join(counts, "term").select("item_id", "term", (weight * F.col("times")).alias("weight")).filter("weight > 0")
-    packed = weighed.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    packed = staged(packed.select("item_id", F.col("terms.term").alias("terms"), F.col("terms.weight").alias("weights")), "items")
-    blocks = max(1, -(-packed.count() // ITEMS))
+    asked = weighed.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    asked = staged(asked.select("item_id", F.col("terms.term").alias("terms"), F.col("terms.weight").alias("weights")), "items")
+    blocks = max(1, -(-asked.count() // ITEMS))
+    asked = asked.withColumn("block", block_of("item_id", blocks))
+    sample = index.filter(F.pmod(F.xxhash64("shard", F.lit(FIRST)), F.lit(FIRST)) == 0)
+    first = best_of(scored(asked.withColumn("floor", F.lit(1).cast("bigint")), blocks, sample, slots, k), k)
+    # a null item id is an item
+    floors = first.filter(F.col("rank") == k).select(F.col("item_id").alias("of"), F.col("score").alias("least"))
+    floored = asked.join(floors, F.col("item_id").eqNullSafe(F.col("of")), "left").select(*asked.columns, F.coalesce("least", F.lit(1)).alias("floor"))
+    return best_of(scored(staged(floored, "floored-items"), blocks, index, slots, k), k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+
+
+def scored(packed: DataFrame, blocks: int, index: DataFrame, slots: int, k: int) -> DataFrame:
+    """``item_id, doc_id, score``: the best of each slot that reach the item's floor."""
     item_type = packed.schema["item_id"].dataType.simpleString()
 
     def descend(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         asked = [([t.encode() for t in terms], np.asarray(weights, np.int64)) for terms, weights in zip(a["terms"], a["weights"], strict=True)]
-        wanted = {t for terms, _ in asked for t in terms}
+        wanted, least = {t for terms, _ in asked for t in terms}, a["floor"].tolist()
         best: list[list[tuple]] = [[] for _ in asked]
         for x in b.itertuples(index=False):
-            place = {w: i for i, w in enumerate(x.words.split(b"\n")) if w in wanted}
+            place = {w: i << STRETCH for i, w in enumerate(x.words.split(b"\n")) if w in wanted}
             here = [[j for j, t in enumerate(terms) if t in place] for terms, _ in asked]
             rows = [(np.array([place[terms[j]] for j in js], np.int64), weights[js]) for js, (terms, weights) in zip(here, asked, strict=True)]
-            floors = [max(1, y[k - 1][0]) if len(y) == k else 1 for y in best]
+            floors = [max(low, y[k - 1][0]) if len(y) == k else low for low, y in zip(least, best, strict=True)]
             ids, known = X.unplanes(x.ids, "<i8"), np.frombuffer(x.known, bool)
             for i, found in enumerate(best_documents(Treap(x.bits, x.masks, x.losses, x.rests), rows, k, floors)):
                 found = [(score, bool(known[c]), int(ids[c])) for score, c in found]
@@ -319,15 +371,13 @@ def search(index: DataFrame, items: DataFrame, n_docs: int, k: int = K, item_id:
                              "score": [score for x in best for score, _, _ in x]})
 
     columns = ["bits", "ids", "known", "words", "masks", "losses", "rests"]
-    packed = packed.withColumn("block", block_of("item_id", blocks))
-    found = met(packed, blocks, index, slots, columns).applyInPandas(descend, f"item_id {item_type}, doc_id bigint, score bigint")
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return met(packed, blocks, index, slots, columns).applyInPandas(descend, f"item_id {item_type}, doc_id bigint, score bigint")
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = K, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
            item_text: str = "text", shard: int = SHARD) -> DataFrame:
     """The ``k`` best documents of each item."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # the counting pass needs no ids
     size = corpus_size(rows.select("text", F.lit(0).cast("bigint").alias(X.ORDER)))

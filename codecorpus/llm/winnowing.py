@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.llm import exchange as X
-from codecorpus.llm.common import staged
+from codecorpus.llm.common import staged, text_batches
 from codecorpus.llm.terms import Terms, hashes, terms
 
 SPAN = 10
@@ -154,6 +154,7 @@ def overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN, text: str = "t
              item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document ``doc_id, n_words, spans`` (first and last word of maximal
     hit runs, from 0) ``, items`` (ids as strings, sorted)."""
+    text_batches(docs.sparkSession)
     keyed = X.keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id")
     known = staged(item_windows(items, span, item_id, item_text), "item-windows")
     spans = sorted(r.span for r in known.select("span").distinct().collect())  # at most ``span`` rows

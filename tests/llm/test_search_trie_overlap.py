@@ -85,9 +85,7 @@ def test_quadtree_holds_every_point():
         code = r.choice(1 << 2 * bits, n, replace=False)
         row, col, value = code >> bits, code & ((1 << bits) - 1), r.integers(1, 1000, n)
         masks, losses, rests = treap.quadtree(row, col, value, bits)
-        from codecorpus.llm import exchange as X
-
-        t = treap.Treap(bits, masks.tobytes(), X.planes(losses.astype(np.uint32)), X.planes(rests))
+        t = treap.Treap(bits, masks.tobytes(), treap.packed(losses), treap.packed(rests))
         assert t.top[0] == value.max() and (t.mask == 0).sum() == n
         for k in range(0, n, 7):  # descend to the point
             node = np.array([0])
