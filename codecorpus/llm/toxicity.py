@@ -56,7 +56,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _L, _A, _X = r"[^\W\d_]", r"[^\W_]", r"[^\W_]|[@$!|+*#(<]"
 #: Separated: two repeats or more of one letter or look-alike, three or more with double letters.  A run
 #: is found once and read if a letter stands alone in it.
-_RUN = rf"(?<!{_A})(?<!{_A}')(?:{_X})(?!{_A})(?:(?:[ .\-_~']++(?:{_L}{_L}|{_X})(?!{_A})){{3,}}|(?:[ .\-_~']++(?:{_X})(?!{_A})){{2,}})"
+_RUN = rf"(?<!{_A}')(?:{_X})(?!{_A})(?:(?:[ .\-_~']++(?:{_L}{_L}|{_X})(?!{_A})){{3,}}|(?:[ .\-_~']++(?:{_X})(?!{_A})){{2,}})"
 _ALONE = re.compile(rf"(?<!{_A}){_L}(?!{_A})")
 #: A piece ends before white space and before any sign that is no look-alike.
 _MIXED = (
@@ -64,7 +64,8 @@ _MIXED = (
     rf"(?<![\w@$!|+*#(<])_*+(?:{_L}[^\W0-9]*+[0-9@$!|+*#(<]|[0-9@$!|+*#(<][0-9@$!|+*#(<_]*+{_L})[\w@$!|+*#(<]*+"
     # repeated
     rf"|(?<!\w)\w*({_L})\1\1\w*")
-DISGUISED = re.compile(rf"(?P<run>{_RUN})|" + _MIXED.replace(r"\1", r"\2"))
+#: No piece starts inside a word, which is asked first as most places of a text are inside one.
+DISGUISED = re.compile(rf"(?<!{_A})(?:(?P<run>{_RUN})|" + _MIXED.replace(r"\1", r"\2") + ")")
 MIXED = re.compile(_MIXED)
 #: Characters of a piece that are read together (the reading so far is then settled), and of one that is remembered.
 STRETCH, REMEMBERED = 512, 64
@@ -165,16 +166,20 @@ class Restorer:
         best: dict[str, tuple[float, int]] = {"  ": (0.0, -1)}
         trace: list[tuple[int, str]] = []  # (earlier entry, character)
         settled: list[str] = []
+        known = self.costs.get
         for place, options in enumerate(self.lattice(piece), 1):
             after: dict[str, tuple[float, int, str]] = {}
             for state, (score, entry) in best.items():
                 for c, cost in options:
-                    to = state if c == "" else "  " if c == " " else state[1] + c
-                    if c == " " and state == "  ":
-                        to, s = state, score + cost
+                    s = score + cost
+                    if not c or c == " " and state == "  ":
+                        to = state
                     else:
-                        s = score + cost + (self.cost(state + c) if c else 0.0)
-                    if to not in after or s < after[to][0]:
+                        to, gram = "  " if c == " " else state[1] + c, state + c
+                        own = known(gram)
+                        s += self.cost(gram) if own is None else own
+                    before = after.get(to)
+                    if before is None or s < before[0]:
                         after[to] = (s, entry, c)
             best = {}
             for to, (s, entry, c) in after.items():
@@ -260,9 +265,15 @@ def lexicon(rows: DataFrame, shared, support: float = SUPPORT, min_weight: float
 
 
 def evidence(text: str | None, restorer: Restorer, lexicon: dict[str, float]) -> float:
+    """Sum of the lexicon's log odds of ``marks`` of the restored text."""
     if not text or not lexicon:
         return 0.0
-    return sum(lexicon[m] for m in sorted(marks(restorer.restored(text)) & lexicon.keys()))
+    words = set(LETTERS.findall(restorer.restored(text)))
+    found = words & lexicon.keys()
+    for size in (5, 6):  # only beginnings that the lexicon has become marks
+        begun = {w[:size] for w in words if len(w) > size}
+        found |= {m for b in begun if (m := b + "*") in lexicon} if len(begun) < len(lexicon) else {m for m in lexicon if len(m) == size + 1 and m[-1] == "*" and m[:-1] in begun}
+    return sum(lexicon[m] for m in sorted(found))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", cut: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:

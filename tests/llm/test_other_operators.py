@@ -239,6 +239,18 @@ def test_restoration_of_mixed_forms(spark, written, want):
         assert toxicity.evidence(f"Come {written}", r, {word: 4.0}) == 4.0
 
 
+@pytest.mark.parametrize("size", [1, 40])
+def test_evidence_is_the_sum_over_marks(size):
+    r = toxicity.Restorer([np.ones(c, np.int64) for c in toxicity.CELLS])
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 9)))
+    for _ in range(200):
+        text = " ".join(word() for _ in range(rng.randint(0, 60)))
+        every = sorted(toxicity.marks(r.restored(" ".join(word() for _ in range(60)) + text)))
+        lexicon = {m: rng.random() for m in rng.sample(every, min(size, len(every)))}
+        assert toxicity.evidence(text, r, lexicon) == pytest.approx(sum(lexicon[m] for m in toxicity.marks(r.restored(text)) & lexicon.keys()))
+
+
 @pytest.mark.parametrize("model", [quality_model.quality, toxicity.toxicity])
 def test_classifiers_on_awkward_rows(spark, model):
     docs = fixtures.documents(spark)
