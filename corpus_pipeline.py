@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.llm import bpe, mixing, quality_rules, simhash, suffix_array
-from codecorpus.llm.common import fresh
+from codecorpus.llm.common import fresh, text_batches
 from codecorpus.llm.queries import tokenizer_path
 from codecorpus.session import checkpoint_dir
 from codecorpus.sources.tables import table
@@ -25,11 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
+    text_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier document already has."""
+    text_batches(spark)
     return suffix_array.cleaned(docs)
 
 
@@ -41,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hashes of the token ids and of the text decoded from them, and their number
     (the ids themselves: ``run``)."""
+    text_batches(spark)
     return bpe.digests(spark, docs, tokenizer_path())
 
 
