@@ -308,7 +308,9 @@ def q_shape_audit(spark, sf):
 
 
 def q_batches(spark, sf):
-    b = features.batches(features.training_labels(split_windows_df(spark, sf), P.WINDOW_LINES))
+    # written once: the block scan samples its input before it reads it
+    rows = staged(features.training_labels(split_windows_df(spark, sf), P.WINDOW_LINES), "labels")
+    b = features.batches(rows)
     return b.select("split", "batch_id", *_long("n_rows", "label_pos_sum", "first_file_id"))
 
 
