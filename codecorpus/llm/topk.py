@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import partitions
+from codecorpus.llm.common import partitions, staged
 
 SCALE = 256
 QUERY_BLOCK = 4096
@@ -91,7 +91,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
            query_block: int = QUERY_BLOCK, shard: int = SHARD, fan_in: int = FAN_IN) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose id meets the
     condition ``queries`` (over the column ``vec_id``)."""
-    rows = whole_numbers(vectors, vec_id, embedding, scale)
+    rows = staged(whole_numbers(vectors, vec_id, embedding, scale), "vectors")  # counted twice, read by both sides
     asked = rows.filter(queries & (F.col("vec_id") != LAST))
     n_rows, n_asked = rows.count(), asked.count()
     blocks, shards = max(1, -(-n_asked // query_block)), max(partitions(vectors), -(-n_rows // shard))
