@@ -84,6 +84,35 @@ def test_mixing_weights_and_edges(spark):
     assert mixing.interleave(fixtures.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shares", [[5, 2, 12, 1], [1] * 40, [7, 7, 3, 3, 3, 1, 1, 600], [3, 900, 97], [250, 250, 250, 250]])
+def test_mixing_pattern_is_earliest_deadline_first(spark, shares):
+    period = sum(shares)
+    w = spark.createDataFrame([(f"s{i:03d}", a, period) for i, a in enumerate(shares)], "source string, weight long, period long")
+    done, want = [0] * len(shares), []
+    for t in range(period):
+        due, i = min((-(-(k + 1) * period // a), i) for i, (k, a) in enumerate(zip(done, shares)) if k * period // a <= t)
+        want.append((f"s{i:03d}", shares[i], period, done[i], t))
+        done[i] += 1
+    assert [tuple(r) for r in mixing.pattern(w).orderBy("slot").collect()] == want
+
+
+def test_mixing_of_many_sources_and_hot_null_ids(spark, monkeypatch):
+    n = spark.range(5000).select(F.concat(F.lit("host"), "id").alias("source"), (F.col("id") % 700 + 1).alias("n"))
+    slots = mixing.pattern(mixing.target_weights(n))
+    assert slots.count() == 10_000 and slots.select("source").distinct().count() == 5000
+    rows = [(None, "a", f"t{i}") for i in range(3000)] + [(i, "a", "t") for i in range(500)] + [(None, "b", "same")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for most in (mixing.BROADCAST_ROWS, 0):  # broadcast and joined by source and turn
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        out, name = mixing.placed(docs, block_rows=8)
+        got = out.select("doc_id", "source", F.col(f"{name}.*")).collect()
+        for s, size in (("a", 3500), ("b", 200)):
+            own = sorted((r for r in got if r.source == s), key=lambda r: (r.block, r["rank"]))
+            assert [r.block * 8 + r["rank"] for r in own] == list(range(size))
+            ids = [math.inf if r.doc_id is None else r.doc_id for r in own]
+            assert ids == sorted(ids)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><header><h1>Site</h1></header><div class="ad">Buy now, a very long advert text that goes on and on.</div>
 <article><h1>Title &amp; more</h1><p><b>First   paragraph of the article, with&nbsp;an <a href=x>inline link</a>.<br>It goes on.<p>Be.</p>
