@@ -35,7 +35,23 @@ FUNCTIONS = {
 }
 
 
+_LINES = r"split(t, '\\n', -1)"
+
+#: Table functions, for ``FROM files f, LATERAL source_lines(f.content)``: the lines of a text (from 0), and
+#: those of a window round a location (a 0-based line index), which itself has the number
+#: ``least(location, lines_before)``.  All that reads an argument stands inside the generator: then a call is one narrow step, else it would be a join on the text.
+TABLE_FUNCTIONS = {
+    "source_lines": ("t STRING", "line_no INT, line STRING", f"SELECT pos, col FROM posexplode({_LINES})"),
+    "window_lines": (
+        "t STRING, location INT, lines_before INT, lines_after INT", "line_no INT, line STRING",
+        f"SELECT pos, col FROM posexplode(CASE WHEN location >= 0 AND location < size({_LINES}) THEN "
+        f"slice({_LINES}, greatest(0, location - lines_before) + 1, least(location, lines_before) + lines_after + 1) END)"),
+}
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     for name, (args, ret, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
-    return list(FUNCTIONS)
+    for name, (args, columns, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE({columns}) RETURN {body}")
+    return [*FUNCTIONS, *TABLE_FUNCTIONS]

@@ -86,6 +86,18 @@ def training_labels(windows: DataFrame, window: int = P.WINDOW_LINES) -> DataFra
         "file_id", "file_name", "split", one_hot(F.col("vulnerability_location"), window).alias("label"))
 
 
+def training_rejects(windows: DataFrame, window: int = P.WINDOW_LINES) -> DataFrame:
+    """FLT-4 and ARR-2: the windows that give no training row or one without a label, with
+    the ``reason``: ``lines`` (fewer than ``window``; the location is then not asked),
+    ``no location``, or ``location out of range`` (where the reference stops)."""
+    n_lines = F.size(split_lines(F.coalesce("vlw_content", F.lit(""))))
+    at = F.col("vulnerability_location")
+    reason = (F.when(n_lines < window, "lines").when(at.isNull(), "no location")
+              .when((at < 0) | (at >= window), "location out of range"))
+    return windows.select("file_id", "file_name", "split", n_lines.alias("n_lines"), "vulnerability_location", reason.alias("reason")).filter(
+        F.col("reason").isNotNull())
+
+
 def training_rows(windows: DataFrame, encoded: DataFrame, window: int = P.WINDOW_LINES,
                   width: int = P.TOKENS_PER_LINE) -> DataFrame:
     """J5: per complete window the first ``window`` lines as padded id lists and

@@ -295,6 +295,18 @@ ORACLE.update({
         SELECT tr.file_id, file_name, split, seq,
                array_to_string(list_transform(range({W}), lambda i: CASE WHEN i = rel THEN 1 ELSE 0 END), ',') AS label
         FROM tr JOIN seqs USING (file_id)"""),
+    "training_rejects": with_ctes(*CUR, HS, body=f"""
+        SELECT * FROM (
+          SELECT w.file_id, w.file_name, split, n_lines, loc AS vulnerability_location,
+                 CASE WHEN n_lines < {W} THEN 'lines' WHEN loc IS NULL THEN 'no location'
+                      WHEN loc NOT BETWEEN 0 AND {W - 1} THEN 'location out of range' END AS reason
+          FROM (SELECT file_id, file_name, len(string_split(vlw_content, chr(10)))::BIGINT AS n_lines,
+                       vulnerability_location + CASE WHEN file_id % 7 = 0 THEN {W} ELSE 0 END AS loc FROM win) w
+          JOIN hs ON hs.file_id = w.file_id) WHERE reason IS NOT NULL"""),
+    "window_lines": with_ctes(*CUR, body="""
+        SELECT file_id, unnest(range(len(l))) AS line_no, unnest(l) AS line, unnest(range(len(l))) = loc AS is_location
+        FROM (SELECT file_id, vulnerability_location AS loc, string_split(vlw_content, chr(10)) AS l FROM win
+              WHERE vulnerability_location IS NOT NULL)"""),
     "shape_audit": with_ctes(*TRAIN, body=f"""
         SELECT count(*) AS rows, count(*) FILTER (WHERE n_lines <> {W} OR bad_lines > 0) AS bad_seq,
                count(*) FILTER (WHERE rel IS NULL OR rel < 0 OR rel >= {W}) AS bad_label

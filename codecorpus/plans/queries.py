@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.functions import patterns as P
 from codecorpus.functions import text as tx
+from codecorpus.functions.sql import register_sql_functions
 from codecorpus.operators import functions as fx
 from codecorpus.operators import curate, evaluate, features, grouping, labels, search, stats, windows
 from codecorpus.operators.staging import staged
@@ -302,6 +303,25 @@ def q_training_rows(spark, sf):
     return t.select("file_id", "file_name", "split", seq.alias("seq"), F.array_join("label", ",").alias("label"))
 
 
+def q_training_rejects(spark, sf):
+    """Every seventh location is moved past the window, so that both kinds of rejects stand in the result."""
+    moved = split_windows_df(spark, sf).withColumn("vulnerability_location", F.col("vulnerability_location") + F.when(
+        F.col("file_id") % 7 == 0, P.WINDOW_LINES).otherwise(0))
+    r = features.training_rejects(moved, P.WINDOW_LINES)
+    return r.select("file_id", "file_name", "split", *_long("n_lines", "vulnerability_location"), "reason")
+
+
+def q_window_lines(spark, sf):
+    """The lines of every window by the SQL table function."""
+    register_sql_functions(spark)
+    before, after = windows.window_offsets(F.col("file_id"), P.WINDOW_LINES)
+    located = cases_df(spark, sf).filter(~F.col("vulnerability_location").contains(",")).select(
+        "file_id", "file_content", F.trim("vulnerability_location").try_cast("int").alias("location"),
+        before.cast("int").alias("lines_before"), after.cast("int").alias("lines_after"))
+    return spark.sql("SELECT c.file_id, CAST(w.line_no AS BIGINT) AS line_no, w.line, w.line_no = least(c.location, c.lines_before) AS is_location "
+                     "FROM {cases} c, LATERAL window_lines(c.file_content, c.location, c.lines_before, c.lines_after) w", cases=located)
+
+
 def q_shape_audit(spark, sf):
     a = features.shape_audit(training_df(spark, sf), P.WINDOW_LINES, P.TOKENS_PER_LINE)
     return a.select(*[F.col(c).cast("bigint").alias(c) for c in a.columns])
@@ -434,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "token_encode": q_token_encode,
     "token_lengths": q_token_lengths,
     "training_rows": q_training_rows,
+    "training_rejects": q_training_rejects,
+    "window_lines": q_window_lines,
     "shape_audit": q_shape_audit,
     "batches": q_batches,
     "embedding_lookup": q_embedding_lookup,

@@ -21,6 +21,27 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT function_label('helper_badSink', '') AS l").collect()[0].l == "POSITIVE"
 
 
+def test_sql_table_functions(spark):
+    register_sql_functions(spark)
+    rows = [(1, "a\nb\n\nd\n", 1), (2, "", 0), (3, None, 0), (4, "x\ny", 7), (5, "x\ny\nz", None)]
+    spark.createDataFrame(rows, "id int, t string, at int").createOrReplaceTempView("sources")
+    lines = spark.sql("SELECT s.id, l.* FROM sources s, LATERAL source_lines(s.t) l").collect()
+    assert sorted(map(tuple, lines)) == sorted((i, k, x) for i, t, _ in rows if t is not None for k, x in enumerate(t.split("\n")))
+    found = spark.sql("SELECT s.id, w.* FROM sources s, LATERAL window_lines(s.t, s.at, 2, 1) w").collect()
+    want = []
+    for i, t, at in rows:
+        lines = (t or "").split("\n")
+        if t is not None and at is not None and at < len(lines):
+            start = max(0, at - 2)
+            want += [(i, k, x) for k, x in enumerate(lines[start:at + 2])]
+    assert sorted(map(tuple, found)) == sorted(want)
+    for call in ("source_lines(s.t)", "window_lines(s.t, s.at, 2, 1)"):  # one narrow step, no join on the text
+        plan = spark.sql(f"EXPLAIN SELECT s.id, w.* FROM sources s, LATERAL {call} w").collect()[0][0]
+        assert "Generate" in plan and "Exchange" not in plan and "Join" not in plan
+    many = spark.sql("SELECT count(*) AS n, count(DISTINCT s.id) AS k FROM range(2000) s, LATERAL source_lines(concat('a', char(10), s.id)) l")
+    assert tuple(many.collect()[0]) == (4000, 2000)
+
+
 def test_first_k_and_names(spark):
     df = spark.range(50).select((F.col("id") % 4).alias("g"), "id")
     top = first_k(df, ["g"], [F.desc("id")], 2).collect()

@@ -109,3 +109,16 @@ def test_longest_line_and_labels(spark):
     assert {r.file_id: r.n_tokens for r in features.longest_line(win, 40).collect()}.get(2) is None
     tr = features.training_labels(win, 40).collect()
     assert all(sum(r.label) == 1 for r in tr)
+
+
+def test_training_rejects(spark):
+    full = "\n".join("abcd")
+    rows = [(1, full, 0), (2, full, 3), (3, full, 4), (4, full, -1), (5, full, None), (6, "a\nb", 9), (7, "", None), (8, None, 0), (9, full + "\ne", 1)]
+    w = spark.createDataFrame([(i, f"f{i}", "test", t, at) for i, t, at in rows],
+                              "file_id long, file_name string, split string, vlw_content string, vulnerability_location int")
+    got = {r.file_id: (r.n_lines, r.reason) for r in features.training_rejects(w, 4).collect()}
+    assert got == {3: (4, "location out of range"), 4: (4, "location out of range"), 5: (4, "no location"),
+                   6: (2, "lines"), 7: (1, "lines"), 8: (1, "lines")}
+    # a window is a row with a label, or a reject
+    labelled = features.training_labels(w, 4).filter("label is not null")
+    assert sorted(r.file_id for r in labelled.collect()) == [1, 2, 9]
