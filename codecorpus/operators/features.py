@@ -10,6 +10,8 @@ row, so nothing is ever zipped by position.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from codecorpus.functions import patterns as P
 from codecorpus.functions.text import split_lines
 from codecorpus.operators.scan import row_index
+from codecorpus.operators.staging import staged
 from codecorpus.operators.windows import md5_int
 
 
@@ -143,8 +146,9 @@ def batches(rows: DataFrame, batch_size: int = P.BATCH_SIZE, seed: str = "batch"
     return full.filter(F.col("n_rows") == batch_size)
 
 
-#: Token ids up to this are joined by broadcast: ids rank tokens by frequency, so these are the hot keys.
-HOT_TOKENS = 1024
+#: Token ids up to this, and with no more numbers in their vectors, are joined by broadcast (as floats 32 MB at
+#: most): ids rank tokens by frequency, so these are the hot keys.
+HOT_TOKENS, HOT_NUMBERS = 1 << 17, 1 << 23
 #: Scores of one step apart differ by a factor of e**STEP, which doubles hold with room to spare.
 STEP = 64
 
@@ -162,31 +166,50 @@ def token_ids(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return tokens.join(vocabulary.select("token", "token_id"), "token").select("file_id", "line_no", "pos", "token_id")
 
 
-def with_vectors(ids: DataFrame, embeddings: DataFrame, hot: int = HOT_TOKENS) -> DataFrame:
+def hot_tokens(length: int) -> int:
+    """How many tokens are joined by broadcast with vectors of this length."""
+    return min(HOT_TOKENS, HOT_NUMBERS // max(length, 1))
+
+
+def with_vectors(ids: DataFrame, embeddings: DataFrame, hot: int = HOT_TOKENS, made: dict[str, Callable[[Column], Column]] | None = None,
+                 key: str = "file_id") -> DataFrame:
     """JN-6: rows with a ``token_id`` and its vector ``vec`` (``vec_id`` = vocabulary
-    id; null without one).  The ``hot`` most frequent tokens, which may be most
-    of all rows, meet their vectors by broadcast of at most ``hot`` rows; the others are
-    shuffled, and none of them is frequent."""
-    vectors = embeddings.filter(F.col("embedding").isNotNull()).groupBy(F.col("vec_id").alias("token_id")).agg(
-        F.max(F.col("embedding").cast("array<double>")).alias("vec"))
+    id; null without one), and with what is ``made`` of it, once a vector; rows of one
+    ``key`` lie in one partition.  The rows of the ``hot`` most frequent tokens, which may
+    be most of all, are brought to their key's partition as ids and meet their vectors
+    there, by broadcast of at most ``hot`` rows; only the others' vectors are shuffled, as
+    the table's own numbers, and none of those tokens is frequent."""
+    ids = staged(ids, "ids")  # both kinds of tokens read one result
+    doubles = lambda vec: F.col(vec).cast("array<double>")
+    vectors = embeddings.filter(F.col("embedding").isNotNull()).groupBy(F.col("vec_id").alias("token_id")).agg(F.max("embedding").alias("vec"))
+    vectors = vectors.withColumns({name: f(doubles("vec")) for name, f in (made or {}).items()})
     frequent = F.coalesce(F.col("token_id").between(1, hot), F.lit(False))
-    return (ids.filter(frequent).join(F.broadcast(vectors.filter(frequent)), "token_id", "left")
-            .unionByName(ids.filter(~frequent).join(vectors.filter(~frequent), "token_id", "left")))
+    found = {f.name: f.dataType for f in vectors.schema if f.name != "token_id"}
+    rare = ids.filter(~frequent).join(vectors.filter(~frequent), "token_id", "left")
+    later = ids.filter(frequent).select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in found.items()])
+    near = vectors.filter(frequent).select("token_id", *[F.col(c).alias(f"hot_{c}") for c in found])
+    both = rare.unionByName(later).repartition(key).join(F.broadcast(near), "token_id", "left")
+    either = both.select(*ids.columns, *[F.coalesce(c, f"hot_{c}").alias(c) for c in found])
+    return either.withColumn("vec", doubles("vec"))
 
 
-def sequence_vectors(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
+def sequence_vectors(ids: DataFrame, embeddings: DataFrame, form: Callable[[Column], Column] | None = None) -> DataFrame:
     """JN-6 with its order: ``file_id, line_no, vectors``, the vectors of a line's
-    tokens in token order; a token without one has zeros, as padding does."""
-    zeros = F.array_repeat(F.lit(0.0), vector_length(embeddings))
-    placed = with_vectors(ids, embeddings).select("file_id", "line_no", F.struct("pos", F.coalesce("vec", zeros).alias("vec")).alias("p"))
+    tokens in token order, or their ``form``, made once a vector; a token without one
+    has zeros, as padding does."""
+    length = vector_length(embeddings)
+    form = form or (lambda vec: vec)
+    zeros = F.lit(ids.sparkSession.range(1).select(form(F.array_repeat(F.lit(0.0), length))).first()[0])
+    placed = with_vectors(ids, embeddings, hot_tokens(length), {"form": form}).select(
+        "file_id", "line_no", F.struct("pos", F.coalesce("form", zeros).alias("vec")).alias("p"))
     return placed.groupBy("file_id", "line_no").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
         "file_id", "line_no", F.col("p.vec").alias("vectors"))
 
 
-def token_counts(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
+def token_counts(ids: DataFrame, embeddings: DataFrame, length: int, made: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """``file_id, vec, n``: a file's distinct tokens with their vectors and
     numbers (pooling does not ask for the order; counted before vectors travel)."""
-    return with_vectors(ids.groupBy("file_id", "token_id").agg(F.count(F.lit(1)).alias("n")), embeddings)
+    return with_vectors(ids.groupBy("file_id", "token_id").agg(F.count(F.lit(1)).alias("n")), embeddings, hot_tokens(length), made)
 
 
 def weighted_sum(vec: Column, weight: Column) -> Column:
@@ -197,8 +220,9 @@ def weighted_sum(vec: Column, weight: Column) -> Column:
 def token_vectors(tokens: DataFrame, vocabulary: DataFrame, embeddings: DataFrame) -> DataFrame:
     """JN-6 + AGG-16: the mean of the vectors of a row's tokens, as flat ``(file_id,
     dim, n_tokens, n_matched, value)``.  A token without a vector counts as zeros."""
-    counted = token_counts(token_ids(tokens, vocabulary), embeddings)
-    zeros = F.array_repeat(F.lit(0.0), vector_length(embeddings))
+    length = vector_length(embeddings)
+    counted = token_counts(token_ids(tokens, vocabulary), embeddings, length)
+    zeros = F.array_repeat(F.lit(0.0), length)
     sums = counted.groupBy("file_id").agg(
         F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("vec").isNotNull(), F.col("n")).otherwise(0)).alias("n_matched"),
         weighted_sum(F.coalesce("vec", zeros), F.col("n").cast("double")).alias("sums"))
@@ -224,13 +248,13 @@ def attention_score(vec: Column, weights: list[float] | None = None) -> Column:
 
 def softmax_pool(rows: DataFrame, key: str, weights: list[float] | None = None) -> DataFrame:
     """AGG-17 + WIN-8 + MTH-5 over rows ``key, vec, n`` (``n`` equal positions): score
-    = <w, v>, softmax over a key's positions, pooled value = sum of weight * v, as
+    = <w, v> (or the rows' own ``s``), softmax over a key's positions, pooled value = sum of weight * v, as
     ``key, pooled``.  States of one key merge in any order: scores fall into steps,
     a state holds the sums of e**(score - its step) and of that times the vector, and
     states of different steps are scaled to the highest one.  So no maximum has
     to be known before the sums, partial states leave each task, and a key that holds
     most rows is no hot one."""
-    scored = rows.withColumn("s", attention_score(F.col("vec"), weights)).withColumn("step", F.floor(F.col("s") / STEP))
+    scored = (rows if "s" in rows.columns else rows.withColumn("s", attention_score(F.col("vec"), weights))).withColumn("step", F.floor(F.col("s") / STEP))
     e = F.col("n") * F.exp(F.col("s") - F.col("step") * STEP)
     states = scored.groupBy(key, "step").agg(F.sum(e).alias("z"), weighted_sum(F.col("vec"), e).alias("sums"))
     top = F.array_max(F.transform("states", lambda x: x["step"]))
@@ -250,8 +274,10 @@ def attention_pool(embeddings: DataFrame, key: str = "label", weights: list[floa
 
 def sequence_attention(tokens: DataFrame, vocabulary: DataFrame, embeddings: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """AGG-17 per sequence row: the tokens of a window are its positions."""
-    zeros = F.array_repeat(F.lit(0.0), vector_length(embeddings))
-    counted = token_counts(token_ids(tokens, vocabulary), embeddings).withColumn("vec", F.coalesce("vec", zeros))
+    length = vector_length(embeddings)
+    zeros = F.array_repeat(F.lit(0.0), length)
+    counted = token_counts(token_ids(tokens, vocabulary), embeddings, length, {"s": lambda vec: attention_score(vec, weights)})
+    counted = counted.withColumns({"s": F.when(F.col("vec").isNull(), 0.0).otherwise(F.col("s")), "vec": F.coalesce("vec", zeros)})
     return _flat(softmax_pool(counted, "file_id", weights), "file_id", 4)
 
 

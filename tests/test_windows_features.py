@@ -122,3 +122,25 @@ def test_training_rejects(spark):
     # a window is a row with a label, or a reject
     labelled = features.training_labels(w, 4).filter("label is not null")
     assert sorted(r.file_id for r in labelled.collect()) == [1, 2, 9]
+
+
+def test_vectors_of_frequent_tokens_are_not_shuffled(spark):
+    """Only ids travel to a file's partition: the vector is met after the last exchange, once a file."""
+    toks, voc, emb = _sequences(spark)
+    for pooled in (features.token_vectors(toks, voc, emb), features.sequence_attention(toks, voc, emb),
+                   features.sequence_vectors(features.token_ids(toks, voc), emb)):
+        plan = pooled._jdf.queryExecution().executedPlan().toString()
+        last = plan.index("Exchange hashpartitioning(file_id")  # nothing above the join deals rows out again
+        assert "Exchange" not in plan[:last].replace("BroadcastExchange", "") and "BroadcastHashJoin" in plan[:last]
+
+
+def test_score_is_made_once_a_vector(spark):
+    """Attention takes the scores that travel with the vectors: as by scoring every row."""
+    toks, voc, emb = _sequences(spark)
+    for weights in (None, [0.01, -0.02, 0.5]):
+        got = {(r.file_id, r.dim): r.value for r in features.sequence_attention(toks, voc, emb, weights).collect()}
+        w = np.array(weights or [((d % 7) - 3) / 10 for d in range(3)])
+        v = np.array([[3.0, 6.0, 1.0], [3.0, 6.0, 1.0], [0.0] * 3, [300.0, -900.0, 2.0]])
+        e = np.exp(v @ w - (v @ w).max())
+        assert np.allclose([got[1, d] for d in range(3)], (e[:, None] * v).sum(0) / e.sum(), atol=1e-4)
+        assert [got[2, d] for d in range(3)] == [0.0] * 3
