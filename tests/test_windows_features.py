@@ -144,3 +144,12 @@ def test_score_is_made_once_a_vector(spark):
         e = np.exp(v @ w - (v @ w).max())
         assert np.allclose([got[1, d] for d in range(3)], (e[:, None] * v).sum(0) / e.sum(), atol=1e-4)
         assert [got[2, d] for d in range(3)] == [0.0] * 3
+
+
+def test_form_of_vectors(spark):
+    """A form is made once a vector, frequent, rare or missing."""
+    toks, voc, emb = _sequences(spark)
+    text = lambda v: F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), ",")
+    got = {(r.file_id, r.line_no): r.vectors for r in features.sequence_vectors(features.token_ids(toks, voc), emb, text).collect()}
+    assert got == {(1, 0): ["3,6,1", "0,0,0", "3,6,1"], (1, 3): ["300,-900,2"], (2, 0): ["0,0,0"]}
+    assert features.hot_tokens(64) == 1 << 17 and features.hot_tokens(1024) == 1 << 13  # bounded by numbers, not by the table
