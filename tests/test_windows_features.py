@@ -153,3 +153,31 @@ def test_form_of_vectors(spark):
     got = {(r.file_id, r.line_no): r.vectors for r in features.sequence_vectors(features.token_ids(toks, voc), emb, text).collect()}
     assert got == {(1, 0): ["3,6,1", "0,0,0", "3,6,1"], (1, 3): ["300,-900,2"], (2, 0): ["0,0,0"]}
     assert features.hot_tokens(64) == 1 << 17 and features.hot_tokens(1024) == 1 << 13  # bounded by numbers, not by the table
+
+
+def test_manifest_is_made_once(spark, tmp_dir):
+    """Every reader of the test cases reads the manifest's rows as written, and no text moves for a small one."""
+    flaws = spark.createDataFrame([(0, 0, "a/CWE1.c", "CWE-1", "3"), (1, 0, "CWE1.c", "CWE-2", "4")],
+                                  "doc_pos int, file_pos int, file_name string, cwe string, vulnerability_location string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f
+
+    seen = flaws.mapInPandas(counted, flaws.schema)
+    files = spark.createDataFrame([(1, "/r", "/r/CWE1.c", "CWE1.c", ".c", "x // y\nz"), (2, "/r", "/r/CWE2.c", "CWE2.c", ".c", "x")],
+                                  "file_id long, folder string, path string, file_name string, file_extension string, content string")
+    table = curate.testcase_table(files, seen)
+    good, bad = curate.audited_cases(table)
+    assert [(r.file_id, r.cwe, r.vulnerability_location, r.file_content) for r in good.collect()] == [(1, "CWE-2", "4", "x \nz")]
+    assert bad.count() == 0 and table.count() == 1
+    assert calls.value == 2
+    small = spark.read.parquet(_written(files, tmp_dir))
+    assert "SortMergeJoin" not in curate.testcase_table(small, flaws)._jdf.queryExecution().sparkPlan().toString()
+
+
+def _written(rows, folder):
+    rows.write.parquet(f"{folder}/files")
+    return f"{folder}/files"
