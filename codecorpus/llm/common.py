@@ -15,12 +15,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it
-    back: the lineage ends there, so a lost executor costs no recomputation and
-    several readers see one result.  The folder name is unique per call."""
+def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (``options``: the writer's) into the shared checkpoint
+    folder and read it back: the lineage ends there, so a lost executor costs no
+    recomputation and several readers see one result.  The folder name is unique per call."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

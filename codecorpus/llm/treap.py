@@ -18,8 +18,11 @@ next, and when it is a single document the bound is its score: nothing left can
 it, ties included.  A step opens the best ranges of all items of a block at once.
 Ranges below the ``k``-th score that earlier shards of the task gave are not opened.
 
-Items come in blocks, and each block meets each slot of shards in a task of its own; the
-``k`` best of every item and slot are left, and of these the best by item.
+Shards are few rows and much data, so they stay where they are stored: items come in
+blocks of bounded size, a row each, and every block goes to every partition of the
+index.  A task reads its shards one after the other; the ``k`` best of every item and
+task are left, and of these the best by item.  Shards are compressed where they are
+built and stored in row groups of about one shard, which bounds what a reader holds.
 
 Defined results: null text has no terms; rows with one item id are one item; each
 document row ranks for itself, a null id last among equal scores; terms that no
@@ -32,23 +35,22 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm import exchange as X
-from codecorpus.llm.common import partitions, staged, text_batches
+from codecorpus.llm.common import staged, text_batches
 from codecorpus.llm.terms import LOWER, PATTERN, UPPER, Terms, hashes, terms
 
 K = 20
 #: Bytes of text in a shard.
 SHARD = 4 << 20
+#: How an index is stored: a shard fills a row group, and the size is looked at after every row.
+STORED = {"parquet.block.size": str(1 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 STRETCH = 6
 #: One shard in so many is searched first, for the floors.
 FIRST = 16
-#: Groups of shards a partition.
-SLOTS = 4
 ITEMS, TERMS = 1024, 65_536
 #: Ranges of an item that a step opens.
 OPEN = 8
@@ -147,6 +149,15 @@ def unpacked(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u8").ravel()
 
 
+def squeezed(b: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def expanded(b: pa.Buffer) -> bytes:
+    return pa.decompress(b.slice(8), int.from_bytes(b.slice(0, 8).to_pybytes(), "little"), "zstd", asbytes=True)
+
+
 def filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Batches put together to about ``limit`` bytes, so that short documents make no small shards."""
     held, size = [], 0
@@ -186,8 +197,8 @@ def index(docs: DataFrame, size: tuple[int, int], text: str = "text", doc_id: st
             impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[doc])
             bits = max(1, int(max((len(words) - 1) << STRETCH, len(ids) - 1)).bit_length())
             masks, losses, rests = quadtree(row << STRETCH, column[doc], impact, bits)
-            values = [number, bits, len(ids), X.planes(ids[by]), known[by].tobytes(), b"\n".join(words), packed(df),
-                      masks.tobytes(), packed(losses), packed(rests)]
+            data = (X.planes(ids[by]), known[by].tobytes(), b"\n".join(words), packed(df), masks.tobytes(), packed(losses), packed(rests))
+            values = [number, bits, len(ids), *map(squeezed, data)]
             yield pa.RecordBatch.from_pydict(dict(zip(names, [[v] for v in values], strict=True)), schema=pa.schema(
                 [(n, pa.int64() if n == "shard" else pa.int32() if n in ("bits", "n_docs") else pa.binary()) for n in names]))
             number += 1
@@ -292,44 +303,42 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     return found.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def met(left: DataFrame, blocks: int, index: DataFrame, slots: int, columns: list[str]):
-    """Blocks (column ``block``) and shards, a group for each block and slot."""
-    slot = F.pmod(F.xxhash64("shard"), F.lit(slots)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.withColumn("slot", every(slots))
-    b = index.select("shard", *columns, slot.alias("slot"), every(blocks).alias("block"))
-    # a fixed number of partitions: shards are few rows and much work, so they are not coalesced
-    a, b = (x.repartition(partitions(index), "block", "slot") for x in (a, b))
-    return a.groupBy("block", "slot").cogroup(b.groupBy("block", "slot"))
+def met(asked: DataFrame, blocks: int, index: DataFrame) -> DataFrame:
+    """Every shard beside every block (column ``block``, one row each)."""
+    return index.crossJoin(asked.repartition(blocks).hint("shuffle_replicate_nl"))
 
 
 def block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
-def document_counts(asked: DataFrame, index: DataFrame, slots: int) -> DataFrame:
+def document_counts(asked: DataFrame, index: DataFrame) -> DataFrame:
     """``term, df`` over all shards for the column ``term`` of ``asked``."""
     blocks = max(1, -(-asked.count() // TERMS))
 
-    def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        wanted = {x.encode(): 0 for x in a["term"]}
-        for words, dfs in zip(b["words"], b["dfs"], strict=True):
-            held = words.split(b"\n")
-            for w, n in zip(held, unpacked(dfs, len(held)).tolist(), strict=True):
-                if w in wanted:
-                    wanted[w] += n
-        counted = [(w.decode(), n) for w, n in wanted.items() if n]
-        return pd.DataFrame(counted, columns=["term", "df"])
-
-    groups = met(asked.select("term", block_of("term", blocks).alias("block")), blocks, index, slots, ["words", "dfs"])
-    return groups.applyInPandas(look, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[int, dict[bytes, int]] = {}
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block not in counted:
+                    counted[block] = {x.encode(): 0 for x in batch.column("asked")[i].as_py()}
+                wanted = counted[block]
+                held = expanded(batch.column("words")[i].as_buffer()).split(b"\n")
+                for w, n in zip(held, unpacked(expanded(batch.column("dfs")[i].as_buffer()), len(held)).tolist(), strict=True):
+                    if w in wanted:
+                        wanted[w] += n
+        for wanted in counted.values():
+            found = {w: n for w, n in wanted.items() if n}
+            yield pa.RecordBatch.from_pydict({"term": [w.decode() for w in found], "df": pa.array(found.values(), pa.int64())})
+
+    packed = asked.groupBy(block_of("term", blocks).alias("block")).agg(F.collect_list("term").alias("asked"))
+    return met(packed, blocks, index.select("words", "dfs")).mapInArrow(look, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def search(index: DataFrame, items: DataFrame, n_docs: int, k: int = K, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id, rank, doc_id, score`` from a stored index."""
     said = staged(item_terms(items, item_id, text), "item-terms")
-    slots = max(1, min(index.count(), SLOTS * partitions(index)))
-    counts = document_counts(said.select("term").distinct(), index, slots)
+    counts = document_counts(said.select("term").distinct(), index)
     weight = F.floor(1000 * F.log((2 * F.lit(float(n_docs)) + 2) / (2 * F.col("df").cast("double") + 1))).cast("bigint")
     weighed = said.join(counts, "term").select("item_id", "term", (weight * F.col("times")).alias("weight")).filter("weight > 0")
     asked = weighed.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
@@ -337,11 +346,11 @@ def search(index: DataFrame, items: DataFrame, n_docs: int, k: int = K, item_id:
     blocks = max(1, -(-asked.count() // ITEMS))
     asked = asked.withColumn("block", block_of("item_id", blocks))
     sample = index.filter(F.pmod(F.xxhash64("shard", F.lit(FIRST)), F.lit(FIRST)) == 0)
-    first = best_of(scored(asked.withColumn("floor", F.lit(1).cast("bigint")), blocks, sample, slots, k), k)
+    first = best_of(scored(asked.withColumn("floor", F.lit(1).cast("bigint")), blocks, sample, k), k)
     # a null item id is an item
     floors = first.filter(F.col("rank") == k).select(F.col("item_id").alias("of"), F.col("score").alias("least"))
     floored = asked.join(floors, F.col("item_id").eqNullSafe(F.col("of")), "left").select(*asked.columns, F.coalesce("least", F.lit(1)).alias("floor"))
-    return best_of(scored(staged(floored, "floored-items"), blocks, index, slots, k), k)
+    return best_of(scored(staged(floored, "floored-items"), blocks, index, k), k)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -349,29 +358,55 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def scored(packed: DataFrame, blocks: int, index: DataFrame, slots: int, k: int) -> DataFrame:
-    """``item_id, doc_id, score``: the best of each slot that reach the item's floor."""
-    item_type = packed.schema["item_id"].dataType.simpleString()
+#: What a search reads of a shard.
+SEARCHED = ["bits", "ids", "known", "words", "masks", "losses", "rests"]
+
+
+def scored(asked: DataFrame, blocks: int, index: DataFrame, k: int) -> DataFrame:
+    """``item_id, doc_id, score``: the best of each task that reach the item's floor."""
+    schema = f"item_id {asked.schema['item_id'].dataType.simpleString()}, doc_id bigint, score bigint"
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: dict[int, Block] = {}
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block not in here:
+                    here[block] = Block(batch.column("asked")[i].values, k)
+                here[block].descend(*(batch.column(c)[i] for c in SEARCHED))
+        for x in here.values():
+            yield x.result()
+
+    packed = asked.groupBy("block").agg(F.collect_list(F.struct("item_id", "terms", "weights", "floor")).alias("asked"))
+    return met(packed, blocks, index.select(*SEARCHED)).mapInArrow(descend, schema)
+
+
+class Block:
+    """A block's items and their best documents so far."""
+
+    def __init__(self, asked: pa.StructArray, k: int):
+        ids, terms, weights, floors = asked.flatten()
+        # a copy: a view would hold the whole batch with its shards
+        self.ids, self.k, self.least = ids.take(pa.array(range(len(ids)), pa.int64())), k, floors.to_pylist()
+        self.asked = [([t.encode() for t in ts], np.asarray(ws, np.int64)) for ts, ws in zip(terms.to_pylist(), weights.to_pylist(), strict=True)]
+        self.wanted = {t for ts, _ in self.asked for t in ts}
+        self.best: list[list[tuple]] = [[] for _ in self.asked]
 
-    def descend(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        asked = [([t.encode() for t in terms], np.asarray(weights, np.int64)) for terms, weights in zip(a["terms"], a["weights"], strict=True)]
-        wanted, least = {t for terms, _ in asked for t in terms}, a["floor"].tolist()
-        best: list[list[tuple]] = [[] for _ in asked]
-        for x in b.itertuples(index=False):
-            place = {w: i << STRETCH for i, w in enumerate(x.words.split(b"\n")) if w in wanted}
-            here = [[j for j, t in enumerate(terms) if t in place] for terms, _ in asked]
-            rows = [(np.array([place[terms[j]] for j in js], np.int64), weights[js]) for js, (terms, weights) in zip(here, asked, strict=True)]
-            floors = [max(low, y[k - 1][0]) if len(y) == k else low for low, y in zip(least, best, strict=True)]
-            ids, known = X.unplanes(x.ids, "<i8"), np.frombuffer(x.known, bool)
-            for i, found in enumerate(best_documents(Treap(x.bits, x.masks, x.losses, x.rests), rows, k, floors)):
-                found = [(score, bool(known[c]), int(ids[c])) for score, c in found]
-                best[i] = sorted(best[i] + found, key=lambda y: (-y[0], not y[1], y[2]))[:k]
-        place = [i for i, found in enumerate(best) for _ in found]
-        return pd.DataFrame({"item_id": a["item_id"].iloc[place].array, "doc_id": pd.array([doc if known else None for x in best for _, known, doc in x], "Int64"),
-                             "score": [score for x in best for score, _, _ in x]})
+    def descend(self, bits: pa.Scalar, *data: pa.Scalar) -> None:
+        ids, known, words, masks, losses, rests = (expanded(x.as_buffer()) for x in data)
+        place = {w: i << STRETCH for i, w in enumerate(words.split(b"\n")) if w in self.wanted}
+        here = [[j for j, t in enumerate(terms) if t in place] for terms, _ in self.asked]
+        rows = [(np.array([place[terms[j]] for j in js], np.int64), weights[js]) for js, (terms, weights) in zip(here, self.asked, strict=True)]
+        k = self.k
+        floors = [max(low, y[k - 1][0]) if len(y) == k else low for low, y in zip(self.least, self.best, strict=True)]
+        ids, known = X.unplanes(ids, "<i8"), np.frombuffer(known, bool)
+        for i, found in enumerate(best_documents(Treap(bits.as_py(), masks, losses, rests), rows, k, floors)):
+            found = [(score, bool(known[c]), int(ids[c])) for score, c in found]
+            self.best[i] = sorted(self.best[i] + found, key=lambda y: (-y[0], not y[1], y[2]))[:k]
 
-    columns = ["bits", "ids", "known", "words", "masks", "losses", "rests"]
-    return met(packed, blocks, index, slots, columns).applyInPandas(descend, f"item_id {item_type}, doc_id bigint, score bigint")
+    def result(self) -> pa.RecordBatch:
+        place = pa.array([i for i, found in enumerate(self.best) for _ in found], pa.int64())
+        docs = pa.array([doc if known else None for x in self.best for _, known, doc in x], pa.int64())
+        return pa.RecordBatch.from_arrays([self.ids.take(place), docs, pa.array([score for x in self.best for score, _, _ in x], pa.int64())], ["item_id", "doc_id", "score"])
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = K, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
@@ -383,4 +418,4 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K, text: str = "text", do
     size = corpus_size(rows.select("text", F.lit(0).cast("bigint").alias(X.ORDER)))
     if not size[1]:
         return items.sparkSession.createDataFrame([], f"item_id {items.schema[item_id].dataType.simpleString()}, rank int, doc_id bigint, score bigint")
-    return search(staged(index(rows, size, shard=shard), "treaps"), items, size[0], k, item_id, item_text)
+    return search(staged(index(rows, size, shard=shard), "treaps", STORED), items, size[0], k, item_id, item_text)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -9,9 +10,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from codecorpus.llm import prefix_trie, treap, winnowing
+from codecorpus.session import checkpoint_dir
 from tests.llm import fixtures
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,6 +83,43 @@ def test_one_index_answers_several_searches(spark):
         assert rows(treap.search(index, b, size[0], k=3)) == brute_ranked(docs, part, 3)
 
 
+def test_blocks_of_items_meet_every_shard(spark, monkeypatch):
+    docs, items = searched()
+    monkeypatch.setattr(treap, "ITEMS", 4)
+    monkeypatch.setattr(treap, "TERMS", 8)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(i if i is None else str(i), t) for i, t in items], "item_id string, text string")
+    found = [(i if i is None else int(i), *x) for i, *x in rows(treap.ranked(d, b, shard=300))]
+    assert sorted(found, key=repr) == brute_ranked(docs, items)
+
+
+def test_shards_are_not_shuffled(spark):
+    docs, items = searched()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    size = treap.corpus_size(d.selectExpr("text", "0L as doc_order"))
+    found = treap.search(treap.index(d, size, shard=500), spark.createDataFrame(items, "item_id long, text string"), size[0])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\n\(\d+\) Exchange\nInput[^\n]*", plan)
+    assert moved and "masks#" in plan and not any("masks#" in x for x in moved)
+
+
+def test_a_reader_of_an_index_holds_few_shards(spark, tmp_path):
+    r = random.Random(4)
+    docs = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(2000))) for i in range(400)]  # 8 MB
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    treap.ranked(d, spark.createDataFrame([(1, "none")], "item_id long, text string"), shard=1 << 20)
+    newest = max(pathlib.Path(checkpoint_dir(spark).removeprefix("file:")).glob("treaps-*"), key=lambda p: p.stat().st_mtime)
+    groups = [g for f in newest.glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) > 5 and max(g.num_rows for g in groups) <= 2
+
+
+def test_items_hold_no_shards():
+    ids = pa.array(range(100_000), pa.int64())
+    lists = pa.array([["a"]] * len(ids))
+    asked = pa.StructArray.from_arrays([ids, lists, pa.array([[1]] * len(ids)), ids], ["item_id", "terms", "weights", "floor"])
+    assert treap.Block(asked.slice(5, 2), 3).ids.get_total_buffer_size() < 1000
+
+
 def test_quadtree_holds_every_point():
     r = np.random.default_rng(1)
     for n, bits in ((1, 1), (2, 3), (500, 6), (3000, 12)):
